@@ -20,9 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what one Arrow batch holds, so that Python memory doesn't follow the text length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
@@ -55,8 +55,8 @@ def replaced(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*(by.get(c.lower(), F.col("__row").getField(c)).alias(c) for c in columns))
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    bounded_batches(df.sparkSession)
+def map_arrow(df: DataFrame, function: Callable, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    bounded_batches(df.sparkSession, rows)
     return df.mapInArrow(function, schema)
 
 
