@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayloom.llm import audio, language, licences, line_dedup, mixing, topk, url_filter
+from arrayloom.llm import audio, language, licences, line_dedup, minhash, mixing, pieces, topk, url_filter
 from arrayloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors.where(F.pmod("vec_id", F.lit(50)) == 0), vectors)
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language.identify(docs.select("doc_id", "text"), language.learn(docs))
@@ -38,11 +42,16 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "digest", "licence", "notices")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return out.select("doc_id", "n_tokens", "tokens", F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op4_language_id, op5_telephony_audio, op6_source_mixing, op8_licence_scan, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_minhash_dedup, op4_language_id, op5_telephony_audio, op6_source_mixing, op8_licence_scan, op9_sentencepiece, op10_url_filter)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
