@@ -33,7 +33,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 NEVER = float("inf")
 #: Units and pairs that a worker remembers before it starts anew; results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+HISTORIES = 10_000
 # Piece types and model types of the format.
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNIGRAM, BPE = 1, 2
@@ -41,6 +42,22 @@ UNIGRAM, BPE = 1, 2
 FALLBACK_COST = 10.0
 
 
+class Speller:
+    """The inverse machine: what each id is written as, and the normaliser backwards."""
+
+    def __init__(self, model: bytes):
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        m = pb.ModelProto()
+        m.ParseFromString(model)
+        self.dummy = m.normalizer_spec.add_dummy_prefix
+        self.written = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE_MARK, " ").encode() if p.type == NORMAL else b" \xe2\x81\x87 " if p.type == UNKNOWN else b"" for p in m.pieces]
+
+    def decode(self, ids: np.ndarray) -> str:
+        raw = b"".join(map(self.written.__getitem__, ids.tolist()))
+        return (raw[1:] if self.dummy and raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
 class Transducer:
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -59,7 +76,6 @@ class Transducer:
         self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type == NORMAL}
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
-        self.written = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.encode() if p.type == NORMAL else b" \xe2\x81\x87 " if p.type == UNKNOWN else b"" for p in m.pieces]
         self.longest = max(map(len, self.cost), default=1)
         self.worst = max(self.cost.values(), default=0.0) + FALLBACK_COST
         # A unit may end before a space mark only if no piece has one after another character.
@@ -68,7 +84,7 @@ class Transducer:
         mark = re.escape(SPACE_MARK)
         word = rf"{mark}*[^{mark}\n]+|{mark}+" if self.by_line else rf"{mark}*[^{mark}]+|{mark}+"
         self.units = re.compile((r"\n|" if self.by_line else "") + (word if self.by_space else r"[^\n]+" if self.by_line else r"(?s:.+)"))
-        self.histories: dict[str, tuple | None] = {}
+        self.histories: dict[str, tuple] = {}
         self.known: dict[str, bytes] = {}
         if self.bpe:
             self._compile()
@@ -81,8 +97,8 @@ class Transducer:
         Each is (first symbol, [(rank of a merge, symbol at that end after it), ...]) in the order of
         the merges. None if the merges of the piece's characters don't end in the piece.
         """
-        if piece in self.histories:
-            return self.histories[piece]
+        if (known := self.histories.get(piece)) is not None:
+            return known
         parts, merges = list(piece), []
         while len(parts) > 1:
             rank, at = min(((self.cost.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1)))
@@ -92,8 +108,12 @@ class Transducer:
             merges.append((rank, parts[-1], parts[0]))
         right = (piece[-1], [(r, last) for r, last, _ in merges])
         left = (piece[0], [(r, first) for r, _, first in merges])
-        self.histories[piece] = made = (right, left) if len(parts) == 1 else None
-        return made
+        if len(parts) > 1:
+            return None
+        if len(self.histories) >= HISTORIES:
+            self.histories.clear()
+        self.histories[piece] = right, left
+        return right, left
 
     def _compile(self) -> None:
         """The pieces that merges can make, numbered, as a tree over their characters from the last to the first."""
@@ -103,6 +123,7 @@ class Transducer:
         for p in self.cost:
             if self.history(p) is not None:
                 self._number(p)
+        self.histories.clear()
 
     def _number(self, piece: str) -> int:
         node = self.tree
@@ -215,19 +236,16 @@ class Transducer:
         self.known.update(zip(new, self.compose(new), strict=True))
         return [b"".join(map(self.known.__getitem__, units)) for units in cut]
 
-    def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.written.__getitem__, ids.tolist())).replace(SPACE_MARK.encode(), b" ")
-        return (raw[1:] if self.dummy and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
+_MACHINES: dict[tuple, Transducer | Speller] = {}
 
-_MACHINES: dict[int, Transducer] = {}
 
-
-def machine_of(model: bytes) -> Transducer:
-    key = hash(model)
+def machine_of(model: bytes, kind: type = Transducer) -> Transducer | Speller:
+    """One machine of a kind for each worker process, whatever the number of its tasks."""
+    key = kind, hash(model)
     if key not in _MACHINES:
         _MACHINES.clear()
-        _MACHINES[key] = Transducer(model)
+        _MACHINES[key] = kind(model)
     return _MACHINES[key]
 
 
@@ -267,7 +285,7 @@ def decode(rows: DataFrame, model: str = MODEL, tokens_col: str = "tokens") -> D
     shared = rows.sparkSession.sparkContext.broadcast(_read(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = machine_of(shared.value)
+        m = machine_of(shared.value, Speller)
         for b in batches:
             column = b.column("__ids")
             texts = [m.decode(column[i].values.drop_null().to_numpy(zero_copy_only=False)) if column[i].is_valid else None for i in range(b.num_rows)]
@@ -280,8 +298,8 @@ def decode(rows: DataFrame, model: str = MODEL, tokens_col: str = "tokens") -> D
 
 def round_trip(texts: list[str], model: bytes) -> list[tuple[list[int], str]]:
     m = machine_of(model)
-    ids = [np.frombuffer(e, "<i4") for e in m.encode(texts)]
-    return [(i.tolist(), m.decode(i)) for i in ids]
+    ids, speller = [np.frombuffer(e, "<i4") for e in m.encode(texts)], Speller(model)
+    return [(i.tolist(), speller.decode(i)) for i in ids]
 
 
-__all__ = ["Transducer", "decode", "encode", "machine_of", "round_trip"]
+__all__ = ["Speller", "Transducer", "decode", "encode", "machine_of", "round_trip"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayloom.llm import audio, language, licences, line_dedup, minhash, mixing, pieces, topk, url_filter
+from arrayloom.llm import audio, language, licences, line_dedup, lm, minhash, mixing, pieces, topk, url_filter
 from arrayloom.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, lm.fit(docs)).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
+
+
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "digest", "licence", "notices")
 
@@ -51,7 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_minhash_dedup, op4_language_id, op5_telephony_audio, op6_source_mixing, op8_licence_scan, op9_sentencepiece, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_minhash_dedup, op4_language_id, op5_telephony_audio, op6_source_mixing, op7_pseudo_likelihood, op8_licence_scan, op9_sentencepiece, op10_url_filter)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
