@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,15 +27,30 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Only a session that names none (a test on one machine) gets a temporary one."""
+    sc = spark.sparkContext
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or _own_folder(spark)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
+    return spark.sparkContext.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder the cluster names in spark.checkpoint.dir.
+    """Cut the lineage by a table written to the shared folder; it goes when the application ends.
 
-    Only a session that names no folder (a test on one machine) gets a temporary one.
+    A table rather than checkpoint(): it is columnar and compressed, and its plan carries no
+    constraints of the plan that made it, which grow without bound in a loop.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def packed(df: DataFrame, **named: Column) -> DataFrame:
