@@ -8,9 +8,11 @@ under a rank bound that makes about k ln k + 2k of them, the earliest on each of
 stays. Coordinates agree with the probability of the weighted Jaccard similarity.
 
 Bands of coordinates are joined to buckets. Texts that are equal are one node from the start. In a bucket every
-node is held against a leader, by the exact similarity of both texts; verified links join nodes to
-components, and buckets in which several components are left get another leader, until a round
-finds no link. No bucket is ever expanded into its pairs.
+node is held against a leader, by the exact similarity of both texts. Verified links join nodes to
+components. Leaders leave their buckets, and buckets in which several components are left get other
+leaders in the next round; from the second round on only while their leaders find links. So buckets
+of up to five nodes are searched through, and no bucket is ever expanded into its pairs. Two similar
+texts share several buckets; they are missed only if all of those hold many other texts and are left before one of them leads.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrayloom.llm.common import checkpointed, map_arrow, packed, unpacked
-from arrayloom.llm.wordhash import U, mix, shingles
+from arrayloom.llm.wordhash import U, mix, portions, shingles
 
-COORDINATES, ROWS = 120, 5
+COORDINATES, ROWS = 252, 7
+#: Leaders of a bucket in the first round (most buckets hold one class) and in each later one. From the second round on, a bucket is left when its leaders find no link.
+LEADERS, TURNS = (1, 3), 2
 SIMILARITY, SHINGLE = 0.8, 5
 EMPTY = np.iinfo(np.uint64).max
 
@@ -98,18 +102,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def _sketch(batches: Iterator[pa.RecordBatch], size: int, k: int, rows: int, weighted: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        made = bands(shingles(b.column("text").to_pylist(), size), k, rows, weighted)
-        yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("id"), pa.array(made, pa.list_(pa.int64()))], names=["digest", "id", "bands"])
+        texts = b.column("text").to_pylist()
+        for lo, hi in portions(texts):
+            made = bands(shingles(texts[lo:hi], size), k, rows, weighted)
+            yield pa.RecordBatch.from_arrays([b.column("digest").slice(lo, hi - lo), b.column("id").slice(lo, hi - lo), pa.array(made, pa.list_(pa.int64()))], names=["digest", "id", "bands"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], size: int, least: float, weighted: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        a, c = b.column("a").to_numpy(), b.column("b").to_numpy()
         left, right = b.column("left").to_pylist(), b.column("right").to_pylist()
         texts = list({*left, *right})
         made = dict(zip(texts, shingles(texts, size), strict=True))
-        good = np.array([similarity(made[x], made[y], weighted) >= least for x, y in zip(left, right, strict=True)], bool)
-        yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(c[good])], names=["a", "b"])
+        good = pa.array([similarity(made[x], made[y], weighted) >= least for x, y in zip(left, right, strict=True)], pa.bool_())
+        yield b.select(["a", "b", "la", "lb", "bucket"]).filter(good)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -137,24 +142,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """All columns and class_id (the smallest id of the row's class) and class_size (rows); they replace columns of their names.
 
     A class joins equal texts and all texts that verified links connect. Two texts of similarity s
-    share a band with probability 1 - (1 - s**rows)**(k // rows): 0.99993 at 0.8. A text without words
+    share a band with probability 1 - (1 - s**rows)**(k // rows): 0.9998 at 0.8. A text without words
     is in a class with equal texts only; a row with null text is a class of its own. A null id
     takes no part in the choice of the smallest. Rows that repeat are copies. Empty table: empty result.
     """
     known = docs.where(F.col(text_col).isNotNull()).select(F.unhex(F.md5(text_col)).alias("digest"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    sketched = map_arrow(known, lambda b: _sketch(b, size, k, rows, weighted), f"digest binary, id {id_type}, bands array<bigint>")
+    sketched = map_arrow(known, lambda b: _sketch(b, size, k, rows, weighted), f"digest binary, id {id_type}, bands array<bigint>", rows=250)
     nodes = sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
     held = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("bucket")
     met = checkpointed(held.join(shared, "bucket"))
-    labels, links = None, None
+    labels = None
     if met.limit(1).count():
         texts = known.groupBy("digest").agg(F.first("text").alias("text"))
         asked = met.select("node").distinct().join(nodes.select("node", "digest"), "node")
         texts = checkpointed(texts.join(asked, "digest").select("node", "text"))
-        labels, links = _linked(met, texts, least, size, weighted)
+        links = _linked(met, texts, least, size, weighted)
+        labels = components(links) if links is not None else None
     out = nodes.select("digest", "node", "rep", "copies")
     if labels is None:
         out = out.select("digest", F.col("rep").alias("class_id"), F.col("copies").alias("class_size"))
@@ -169,38 +175,43 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return unpacked(df, docs.columns, class_id=F.when(alone, F.col("__id")).otherwise(F.col("__class")), class_size=F.when(alone, F.lit(1)).otherwise(F.col("__n")).cast("long"))
 
 
-def _linked(met: DataFrame, texts: DataFrame, least: float, size: int, weighted: bool) -> tuple[DataFrame | None, DataFrame | None]:
-    """Components over verified links. met: (node, bucket) of buckets with several nodes."""
-    labels = links = tested = None
+def _linked(met: DataFrame, texts: DataFrame, least: float, size: int, weighted: bool) -> DataFrame | None:
+    """Verified links (a, b), or None. met: (node, bucket) of buckets with several nodes."""
+    state = met.select("bucket", "node", F.col("node").alias("label"))
+    links = tested = None
     turn = 0
     while True:
         turn += 1
-        if labels is None:
-            now = met.withColumn("label", F.col("node"))
+        # The leaders of a bucket are its least nodes under hashes that depend on the bucket and the turn.
+        keys = [F.xxhash64("node", "bucket", F.lit(turn), F.lit(j)) for j in range(LEADERS[min(turn, len(LEADERS)) - 1])]
+        chosen = [c.alias(f"{n}{j}") for j, key in enumerate(keys) for n, c in (("n", F.min_by("node", key)), ("m", F.min_by("label", key)))]
+        lead = state.groupBy(F.col("bucket").alias("k")).agg(*chosen, F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("l0") != F.col("l1"))
+        lead = lead.select("k", F.array(*(F.struct(F.col(f"n{j}").alias("node"), F.col(f"m{j}").alias("label")) for j in range(len(keys)))).alias("leads"))
+        live = checkpointed(state.join(lead, F.col("bucket") == F.col("k")).select("bucket", "node", "label", "leads"))
+        # Within a component no pair needs a test, and none is tested twice.
+        apart = live.select("bucket", "node", "label", F.explode(F.filter("leads", lambda x: x["label"] != F.col("label"))).alias("lead"))
+        swap = F.col("lead.node") < F.col("node")
+        pairs = apart.select("bucket", F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b"), F.when(swap, F.col("lead.label")).otherwise(F.col("label")).alias("la"), F.when(swap, F.col("label")).otherwise(F.col("lead.label")).alias("lb"))
+        pairs = pairs.groupBy("a", "b", "la", "lb").agg(F.min("bucket").alias("bucket"))
+        pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        live = live.where(~F.array_contains("leads.node", F.col("node"))).select("bucket", "node", "label")
+        some = pairs.limit(1).count()
+        if some:
+            tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+            left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+            whole = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "la", "lb", "bucket", "left", "right")
+            found = checkpointed(map_arrow(whole, lambda b: _verify(b, size, least, weighted), "a bigint, b bigint, la bigint, lb bigint, bucket bigint", rows=250))
+            some = found.limit(1).count()
+        if some:
+            links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
+            moved = components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("old"), F.col("label").alias("new"))
+            state = live.join(moved, F.col("label") == F.col("old"), "left").select("bucket", "node", F.coalesce("new", "label").alias("label"))
         else:
-            now = met.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        # The leader of a bucket is its least node under a reordering that depends on the bucket and the turn.
-        key = F.xxhash64("bucket", F.lit(turn))
-        lead = now.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(key)).alias("low"), F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("l0") != F.col("l1"))
-        lead = lead.select(F.col("bucket").alias("k"), F.col("low").bitwiseXOR(F.xxhash64("bucket", F.lit(turn))).alias("a"))
-        pairs = now.join(lead, F.col("bucket") == F.col("k")).where(F.col("node") != F.col("a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "label")
-        if labels is not None:
-            of = labels.select(F.col("node").alias("x"), F.col("label").alias("lx"))
-            # Within a component no pair needs a test, and none is tested twice.
-            pairs = pairs.join(of, F.col("a") == F.col("x"), "left").withColumn("la", F.coalesce("lx", "a")).drop("x", "lx")
-            pairs = pairs.join(of, F.col("b") == F.col("x"), "left").where(F.col("la") != F.coalesce("lx", "b")).select("a", "b")
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs.select("a", "b").distinct())
-        if not pairs.limit(1).count():
-            return labels, links
-        tested = pairs if tested is None else tested.union(pairs)
-        left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-        whole = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
-        found = checkpointed(map_arrow(whole, lambda b: _verify(b, size, least, weighted), "a bigint, b bigint"))
-        if not found.limit(1).count():
-            return labels, links
-        links = found if links is None else links.union(found)
-        labels = components(links)
+            state = live
+        if turn >= TURNS:
+            if not some:
+                return links
+            state = state.join(found.select("bucket").distinct(), "bucket", "left_semi")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
