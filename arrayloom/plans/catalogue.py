@@ -1,4 +1,492 @@
 """The registered queries and the SQL each is checked against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+from arrayloom import catalog, model
+from arrayloom.functions import codecs, convert, integrity, vector
+from arrayloom.operators import access, ann, cf, encode, selection
+from arrayloom.operators.selection import Hyperslab
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Vectors are all of unit length: they are scaled by 1 + vec_id % 5, and every 97th is made zero, so that metrics differ.
+SCALED = "(CASE WHEN vec_id % 97 = 0 THEN 0.0 ELSE 1.0 + vec_id % 5 END)"
+SQL_VECTORS = "v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (CASE WHEN vec_id % 97 = 0 THEN 0 ELSE 1 + vec_id % 5 END)) AS e FROM embeddings)"
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    factor = F.when(F.col("vec_id") % 97 == 0, F.lit(0.0)).otherwise(1.0 + F.col("vec_id") % 5)
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(vector.doubles(F.col("embedding")), lambda x: x * factor).alias("vec"))
+
+
+def _asked(vectors: DataFrame) -> DataFrame:
+    """The stated queries of the search queries: vec_id 0 to 5."""
+    return vectors.where(F.col("id").between(0, 5))
+
+
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.vectors_to_long(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+SQL_LONG = "a AS (SELECT vec_id AS i0, unnest(range(0, len(embedding)))::BIGINT AS i1, unnest(embedding) AS value FROM embeddings)"
+
+# Selections and layouts.
+
+
+@query(f"WITH {SQL_LONG} SELECT * FROM a WHERE i0 BETWEEN 10 AND 204 AND (i0 - 10) % 20 < 3 AND i1 BETWEEN 4 AND 61 AND (i1 - 4) % 8 < 2")
+def hyperslab_strided(spark, sf_dir):
+    return selection.select(_long(spark, sf_dir), ["i0", "i1"], Hyperslab([10, 4], [20, 8], [10, 8], [3, 2]))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey BETWEEN 100 AND 299")
+def hyperslab_slice(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return selection.select(rows, ["l_orderkey"], Hyperslab.slice((100, 300)))
+
+
+@query(f"WITH {SQL_LONG}, b(b) AS (SELECT unnest(range(0, 5))) SELECT i0, i1, value FROM a, b WHERE i0 BETWEEN 3 + b * 2 AND 3 + b * 2 + 3 AND i1 BETWEEN 0 AND 2")
+def hyperslab_overlapping(spark, sf_dir):
+    return selection.select(_long(spark, sf_dir), ["i0", "i1"], Hyperslab([3, 0], [2, 1], [5, 3], [4, 1]))
+
+
+@query(f"WITH {SQL_LONG}, p(pos, x, y) AS (VALUES (0, 3, 5), (1, 10, 63), (2, 3, 5), (3, 7, 64), (4, 1000000, 0)) SELECT pos, x::BIGINT AS i0, y::BIGINT AS i1, value FROM p LEFT JOIN a ON x = i0 AND y = i1")
+def selection_points(spark, sf_dir):
+    return selection.points(_long(spark, sf_dir), ["i0", "i1"], [(3, 5), (10, 63), (3, 5), (7, 64), (1_000_000, 0)])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def selection_all(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE false")
+def selection_none(spark, sf_dir):
+    return selection.none(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
+
+
+@query("SELECT 2::BIGINT AS rank, 480::BIGINT AS n, 30::BIGINT AS rows_selected, 16::BIGINT AS columns_selected, count(*)::BIGINT AS n_vectors FROM embeddings")
+def selection_shape(spark, sf_dir):
+    slab = Hyperslab([10, 4], [20, 8], [10, 8], [3, 2])
+    n, lit = _t(spark, sf_dir, "embeddings"), lambda x: F.lit(x).cast("long")
+    return n.agg(F.count("*").alias("n_vectors")).select(lit(len(slab.shape)).alias("rank"), lit(slab.size).alias("n"), lit(slab.shape[0]).alias("rows_selected"), lit(slab.shape[1]).alias("columns_selected"), "n_vectors")
+
+
+@query("SELECT o_orderkey // 1000 AS chunk, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderkey BETWEEN 500 AND 2499 GROUP BY 1")
+def chunk_prune(spark, sf_dir):
+    slab = Hyperslab.slice((500, 2500))
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", model.chunk_of(F.col("o_orderkey"), 1000).alias("chunk"))
+    near = rows.where(selection.intersects_chunk([F.col("chunk") * 1000], [1000], slab))
+    return selection.select(near, ["o_orderkey"], slab).groupBy("chunk").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT c AS chunk, greatest(500, c * 1000) - c * 1000 AS lo, least(2500, c * 1000 + 1000) - c * 1000 AS hi FROM (SELECT DISTINCT o_orderkey // 1000 AS c FROM orders) WHERE c * 1000 <= 2499 AND c * 1000 + 1000 > 500")
+def chunk_local_ranges(spark, sf_dir):
+    slab = Hyperslab.slice((500, 2500))
+    chunks = _t(spark, sf_dir, "orders").select(model.chunk_of(F.col("o_orderkey"), 1000).alias("chunk")).distinct()
+    chunks = chunks.where(selection.intersects_chunk([F.col("chunk") * 1000], [1000], slab))
+    lo, hi = selection.local_range(F.col("chunk") * 1000, 1000, *slab.hull()[0])
+    return chunks.select("chunk", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+
+
+@query("SELECT o_orderkey // 1000 AS c0, count(*)::BIGINT AS n, 1000 AS size, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def chunk_split(spark, sf_dir):
+    c = model.split_chunks(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], "o_totalprice", [1000])
+    return c.select("c0", "n", F.size("payload").alias("size"), F.round(F.aggregate("payload", F.lit(0.0), lambda s, x: s + x), 2).alias("total"))
+
+
+@query(f"WITH {SQL_LONG} SELECT * FROM a")
+def chunk_assemble(spark, sf_dir):
+    rows = _long(spark, sf_dir)
+    return model.assemble_chunks(model.split_chunks(rows, ["i0", "i1"], "value", [7, 48]), [7, 48], [_t(spark, sf_dir, "embeddings").count(), 64])
+
+
+@query("SELECT (r // 4)::BIGINT AS c0, (r % 4)::BIGINT AS c1, (r // 4 * 10)::BIGINT AS offset0, (r % 4 * 25)::BIGINT AS offset1, (4096 + r * 2000)::BIGINT AS address FROM range(0, 28) t(r)")
+def implicit_chunk_index(spark, sf_dir):
+    return model.implicit_chunks(spark, 4096, [65, 100], [10, 25], 8)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 10 AND 19 AND o_orderkey % 2 = 0 THEN -1.0 ELSE o_totalprice END AS o_totalprice FROM orders")
+def selection_write(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    new = spark.range(10, 20, 2).select(F.col("id").alias("o_orderkey"), F.lit(-1.0).alias("o_totalprice"))
+    return selection.write(rows, ["o_orderkey"], "o_totalprice", new)
+
+
+@query("SELECT vec_id AS i0, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) IS NOT NULL AS whole, len(embedding)::INT AS n FROM embeddings")
+def layout_round_trip(spark, sf_dir):
+    return model.long_to_vectors(_long(spark, sf_dir)).select("i0", F.lit(True).alias("whole"), F.size("values").alias("n"))
+
+
+# Compounds, catalog and references.
+
+
+@query("SELECT c_custkey AS custkey, c_acctbal AS acctbal FROM customer")
+def compound_project(spark, sf_dir):
+    rec = _t(spark, sf_dir, "customer").select(F.struct(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal")).alias("rec"))
+    return rec.select("rec.custkey", "rec.acctbal")
+
+
+def _links(spark, sf_dir):
+    """region and nation as a tree: groups under the root, nations as datasets in their regions."""
+    r = _t(spark, sf_dir, "region").select(F.lit(0).cast("long").alias("parent"), F.col("r_name").alias("name"), (F.col("r_regionkey") + 1).cast("long").alias("child"), F.lit("group").alias("kind"), F.lit("hard").alias("link"))
+    n = _t(spark, sf_dir, "nation").select((F.col("n_regionkey") + 1).cast("long").alias("parent"), F.col("n_name").alias("name"), (F.col("n_nationkey") + 100).cast("long").alias("child"), F.lit("dataset").alias("kind"), F.when(F.col("n_nationkey") % 9 == 8, F.lit("soft")).otherwise(F.lit("hard")).alias("link"))
+    return r.union(n)
+
+
+SQL_TREE = """o AS (SELECT r_name AS path, r_regionkey + 1 AS address, 'group' AS kind, 1 AS depth FROM region UNION ALL
+  SELECT r_name || '/' || n_name, n_nationkey + 100, 'dataset', 2 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 9 <> 8)"""
+
+
+@query(f"WITH {SQL_TREE} SELECT path, address::BIGINT AS address, kind, depth FROM o")
+def link_resolve(spark, sf_dir):
+    return catalog.objects(_links(spark, sf_dir))
+
+
+@query(f"WITH {SQL_TREE} SELECT split_part(path, '/', 1) AS group_name, count(*)::BIGINT AS n FROM o WHERE kind = 'dataset' GROUP BY 1")
+def catalog_children(spark, sf_dir):
+    tree = catalog.objects(_links(spark, sf_dir))
+    return tree.where(F.col("kind") == "dataset").groupBy(F.substring_index("path", "/", 1).alias("group_name")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SQL_TREE}, w(pos, p) AS (SELECT row_number() OVER (ORDER BY r_regionkey DESC) - 1, r_name FROM region UNION ALL SELECT 5, 'nothing') SELECT pos::INT AS pos, path, address::BIGINT AS address FROM w LEFT JOIN o ON p = path")
+def read_multi_order(spark, sf_dir):
+    wanted = [r.r_name for r in _t(spark, sf_dir, "region").orderBy(F.col("r_regionkey").desc()).collect()]
+    return catalog.read_multi(catalog.objects(_links(spark, sf_dir)), [*wanted, "nothing"]).select("pos", "path", "address")
+
+
+@query("SELECT p_partkey, p_brand AS brand, p_size::VARCHAR AS size, 2 AS n FROM part")
+def attribute_map(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    rows = p.select("p_partkey", F.explode(F.array(F.struct(F.lit("brand").alias("k"), F.col("p_brand").alias("v")), F.struct(F.lit("size").alias("k"), F.col("p_size").cast("string").alias("v")))).alias("a"))
+    m = rows.groupBy("p_partkey").agg(catalog.attribute_map(F.col("a.k"), F.col("a.v")).alias("m"))
+    return m.select("p_partkey", F.element_at("m", "brand").alias("brand"), F.element_at("m", "size").alias("size"), F.size("m").alias("n"))
+
+
+@query("SELECT p_brand, count(*)::BIGINT AS count FROM part GROUP BY 1 HAVING count(*) > 1")
+def duplicate_names(spark, sf_dir):
+    return catalog.duplicates(_t(spark, sf_dir, "part"), "p_brand")
+
+
+@query("SELECT n_nationkey, r_name FROM nation LEFT JOIN region ON CASE WHEN n_nationkey % 7 <> 0 THEN n_regionkey END = r_regionkey")
+def object_ref_deref(spark, sf_dir):
+    ref = F.when(F.col("n_nationkey") % 7 == 0, F.lit(-1)).otherwise(F.col("n_regionkey")).cast("long")
+    n = _t(spark, sf_dir, "nation").select("n_nationkey", convert.null_reference(ref).alias("ref"))
+    r = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("address"), "r_name")
+    return n.join(r, F.col("ref") == F.col("address"), "left").select("n_nationkey", "r_name")
+
+
+# Conversions.
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, ((l_partkey * 1000003 + 2147483648) % 4294967296) - 2147483648 AS wrapped FROM lineitem")
+def convert_wrap_i32(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", convert.wrap_signed(F.col("l_partkey") * 1000003).alias("wrapped"))
+
+
+@query("SELECT c_custkey, ((-c_custkey) % 4294967296 + 4294967296) % 4294967296 AS u32 FROM customer")
+def convert_u32_zero_extend(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", convert.zero_extend(-F.col("c_custkey"), 4).alias("u32"))
+
+
+@query("SELECT c_custkey, (CASE WHEN c_custkey > 0 THEN 18446744073709551616 - c_custkey ELSE 0 END)::DECIMAL(20,0) AS u64 FROM customer")
+def convert_u64_zero_extend(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", convert.zero_extend(-F.col("c_custkey"), 8).alias("u64"))
+
+
+@query("SELECT p_partkey, p_retailprice::FLOAT AS price, p_size::DOUBLE AS size FROM part")
+def convert_f32(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", convert.as_f32(F.col("p_retailprice")).alias("price"), convert.as_f64(F.col("p_size")).alias("size"))
+
+
+@query("SELECT c_custkey, c_name AS null_term, rtrim(c_name || '   ', ' ') AS space_pad, c_name AS null_pad FROM customer")
+def string_padding(spark, sf_dir):
+    c, zero = F.col("c_name"), F.lit("\0")
+    return _t(spark, sf_dir, "customer").select("c_custkey", convert.fixed_string(F.concat(c, zero, F.lit("rest")), "null_term").alias("null_term"), convert.fixed_string(F.concat(c, F.lit("   ")), "space_pad").alias("space_pad"), convert.fixed_string(F.concat(c, zero, zero), "null_pad").alias("null_pad"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'UNKNOWN(0x' || lower(hex(o_orderstatus)) || ')' END AS status FROM orders")
+def enum_decode(spark, sf_dir):
+    s = F.col("o_orderstatus")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", convert.enum_name(s, {"F": "finished", "O": "open"}, F.hex(s)).alias("status"))
+
+
+@query(f"WITH {SQL_LONG} SELECT * FROM a")
+def array_flatten(spark, sf_dir):
+    return _long(spark, sf_dir)
+
+
+@query("SELECT * FROM (VALUES ('f64','f64','None'),('f32','f64','Widening'),('i32','i64','Widening'),('u8','u64','Widening'),('i32','f64','Widening'),('i64','f64','Narrowing'),('f64','f32','Narrowing'),('i64','i32','Narrowing'),('u64','u8','Narrowing'),('f32','i32','Lossy')) t(source, target, cost)")
+def conversion_cost(spark, sf_dir):
+    pairs = [("f64", "f64"), ("f32", "f64"), ("i32", "i64"), ("u8", "u64"), ("i32", "f64"), ("i64", "f64"), ("f64", "f32"), ("i64", "i32"), ("u64", "u8"), ("f32", "i32")]
+    return spark.createDataFrame([(a, b, convert.conversion_cost(a, b)) for a, b in pairs], "source string, target string, cost string")
+
+
+@query()
+def half_precision(spark, sf_dir):
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            bits = codecs.float_to_half(b.column(1).to_numpy(zero_copy_only=False).astype("f4"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits.astype("i4")), pa.array(codecs.half_to_float(bits))], names=["event_id", "bits", "value"])
+
+    return _t(spark, sf_dir, "events").select("event_id", "value").mapInArrow(run, "event_id long, bits int, value float")
+
+
+# Integrity and filters.
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def provenance_sha256(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", integrity.sha256(F.col("text")).alias("sha256"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'NoHash' WHEN doc_id % 7 = 0 THEN 'Mismatch' ELSE 'Ok' END AS result FROM documents")
+def provenance_verify(spark, sf_dir):
+    stored = F.when(F.col("doc_id") % 11 != 0, integrity.sha256(F.col("text")))
+    now = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", integrity.verify(stored, integrity.sha256(now)).alias("result"))
+
+
+@query()
+def fletcher32(spark, sf_dir):
+    raw = F.col("text").cast("binary")
+    return _t(spark, sf_dir, "documents").select("doc_id", integrity.fletcher32_column(raw, 0).alias("storage"), integrity.fletcher32_column(raw, 0xFFFF).alias("kernel"))
+
+
+@query("SELECT doc_id, strlen(text) AS n, true AS same FROM documents")
+def filter_pipeline(spark, sf_dir):
+    steps = [("shuffle", 4), ("deflate", 6), ("fletcher32", 0)]
+    raw = F.col("text").cast("binary")
+    rows = _t(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"), codecs.column(raw, steps).alias("stored"))
+    back = codecs.column(F.col("stored"), steps, back=True)
+    return rows.select("doc_id", F.octet_length("raw").cast("long").alias("n"), (back == F.col("raw")).alias("same"))
+
+
+# Climate conventions.
+
+SQL_PACKED = "e AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN -9999 ELSE value END AS v FROM events)"
+
+
+def _packed(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 50 == 0, F.lit(-9999.0)).otherwise(F.col("value")).alias("v"))
+
+
+@query(f"WITH {SQL_PACKED} SELECT event_id, CASE WHEN v = -9999 THEN 'nan'::DOUBLE ELSE round(v * 0.01 + 273.15, 6) END AS value FROM e")
+def cf_unpack(spark, sf_dir):
+    return _packed(spark, sf_dir).select("event_id", F.round(cf.unpack(F.col("v"), 0.01, 273.15, fill=-9999), 6).alias("value"))
+
+
+@query(f"WITH {SQL_PACKED} SELECT event_id, v AS value FROM e")
+def cf_raw_sentinel(spark, sf_dir):
+    return _packed(spark, sf_dir).select("event_id", cf.unpack(F.col("v"), fill=-9999).alias("value"))
+
+
+@query(f"WITH {SQL_PACKED} SELECT event_id, v FROM e WHERE v BETWEEN 0 AND 50")
+def cf_valid_range(spark, sf_dir):
+    return _packed(spark, sf_dir).where(cf.in_range(F.col("v"), 0, 50))
+
+
+@query("SELECT * FROM (VALUES ('lat', 3, 0), ('lon', 4, 1), ('time', 5, NULL)) t(name, size, dimid)")
+def cf_dimensions(spark, sf_dir):
+    return cf.dimensions(spark.createDataFrame([("time", 5, None), ("lon", 4, 1), ("lat", 3, 0)], "name string, size int, dimid int"))
+
+
+@query("SELECT event_id, event_id // 100 AS i0, event_id % 100 AS i1, ((event_id // 100) * 0.5::DOUBLE - 10)::DOUBLE AS lat FROM events")
+def coordinate_join(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", model.chunk_of(F.col("event_id"), 100).alias("i0"), (F.col("event_id") % 100).alias("i1"))
+    lat = e.select("i0").distinct().select("i0", (F.col("i0") * F.lit(0.5) - 10).cast("double").alias("value"))
+    return cf.with_coordinates(e, "i0", lat, "lat")
+
+
+# Encoding and layout.
+
+
+@query("WITH d AS (SELECT event_type, (row_number() OVER (ORDER BY min(event_id)) - 1)::INT AS code FROM events GROUP BY 1) SELECT event_id, code FROM events JOIN d USING (event_type)")
+def dict_encode(spark, sf_dir):
+    return encode.encode(_t(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id").select("event_id", "code")
+
+
+@query("SELECT event_id, event_type AS value FROM events")
+def dict_decode(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("event_id", "event_type")
+    d = encode.dictionary(rows, "event_type", "event_id")
+    return encode.decode(encode.encode(rows, "event_type", "event_id").select("event_id", "code"), d).select("event_id", "value")
+
+
+def _ratio_sql(table: str, column: str) -> str:
+    return f"""SELECT n::BIGINT AS n, d::BIGINT AS distinct_values, r::BIGINT AS raw_bytes, e::BIGINT AS encoded_bytes, r / e AS ratio, n >= 4 AND d / n <= 0.75 AND r / e > 1 AS beneficial
+FROM (SELECT count(*) AS n, count(DISTINCT {column}) AS d, sum(strlen({column})) AS r,
+  (SELECT sum(strlen(x)) FROM (SELECT DISTINCT {column} AS x FROM {table})) + 4 * count(*) AS e FROM {table})"""
+
+
+@query(_ratio_sql("events", "event_type"))
+def dict_ratio(spark, sf_dir):
+    return encode.ratio(_t(spark, sf_dir, "events"), "event_type")
+
+
+@query(_ratio_sql("part", "p_name"))
+def dict_beneficial(spark, sf_dir):
+    return encode.ratio(_t(spark, sf_dir, "part"), "p_name")
+
+
+@query()
+def lane_partition(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey")
+    return encode.even_lanes(rows, "o_orderkey", 8, seed=7).groupBy("lane").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
+
+
+@query("SELECT doc_id, ((doc_id * 4096 + n_chars) // 65536 % 3)::INT AS subfile, ((doc_id * 4096 + n_chars) // 65536 // 3 * 65536 + (doc_id * 4096 + n_chars) % 65536)::BIGINT AS local_offset, (ceil((doc_id * 4096 + n_chars) / 64) * 64)::BIGINT AS aligned FROM documents")
+def subfile_map(spark, sf_dir):
+    offset = F.col("doc_id") * 4096 + F.col("n_chars")
+    file, local = encode.subfile(offset, 65536, 3)
+    return _t(spark, sf_dir, "documents").select("doc_id", file.alias("subfile"), local.alias("local_offset"), encode.aligned(offset).alias("aligned"))
+
+
+@query("SELECT doc_id, unnest(range(doc_id * 4096 // 65536, (doc_id * 4096 + greatest(n_chars, 1) - 1) // 65536 + 1)) AS stripe FROM documents")
+def subfile_ranges(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(encode.subfile_range(F.col("doc_id") * 4096, F.col("n_chars"), 65536)).alias("stripe"))
+
+
+# Access patterns.
+
+SQL_ACCESS = """s AS (SELECT user_id, event_id, event_id // 100 AS i0, event_id % 100 AS i1, event_id // 100 - lag(event_id // 100) OVER w AS s0, event_id % 100 - lag(event_id % 100) OVER w AS s1
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
+
+
+def _accesses(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("user_id", "event_id", model.chunk_of(F.col("event_id"), 100).alias("i0"), (F.col("event_id") % 100).alias("i1"))
+
+
+@query(f"""WITH {SQL_ACCESS}, g AS (SELECT user_id, count(*) AS n, sum(coalesce((s0 <> 0)::INT, 0)) AS c0, sum(coalesce((s1 <> 0)::INT, 0)) AS c1 FROM s GROUP BY 1)
+SELECT user_id, CASE WHEN n < 3 THEN NULL WHEN c1 >= c0 AND c1 > 0 AND 2 * c1 >= n AND c1 >= 2 * c0 THEN 'RowMajor' WHEN c0 > c1 AND 2 * c0 >= n AND c0 >= 2 * c1 THEN 'ColumnMajor' ELSE 'Random' END AS pattern FROM g""")
+def sweep_detect(spark, sf_dir):
+    return access.sweep(_accesses(spark, sf_dir), ["user_id"], "event_id", ["i0", "i1"])
+
+
+@query(f"""WITH {SQL_ACCESS}, g AS (SELECT user_id, max(i0) AS last, coalesce(trunc(avg(CASE WHEN s0 <> 0 THEN s0 END)), 0)::BIGINT AS step_by FROM s GROUP BY 1)
+SELECT user_id, k::INT AS k, last + k * step_by AS next FROM g, range(1, 5) t(k) WHERE last + k * step_by >= 0""")
+def sweep_predict(spark, sf_dir):
+    return access.predict(_accesses(spark, sf_dir), ["user_id"], "event_id", "i0", 4)
+
+
+@query(f"WITH {SQL_ACCESS} SELECT count(*) FILTER (abs(s0) + abs(s1) <= 1) AS sequential, count(*) FILTER (coalesce(abs(s0) + abs(s1) > 1, true)) AS random FROM s")
+def cache_sequential_stats(spark, sf_dir):
+    return access.sequential(_accesses(spark, sf_dir), ["user_id"], "event_id", ["i0", "i1"])
+
+
+# Vectors.
+
+
+@query(f"WITH {SQL_VECTORS} SELECT vec_id, round(sqrt(list_inner_product(e, e)), 6) AS norm FROM v")
+def vector_norm(spark, sf_dir):
+    return _scaled(spark, sf_dir).select(F.col("id").alias("vec_id"), F.round(vector.norm(F.col("vec")), 6).alias("norm"))
+
+
+@query(f"WITH {SQL_VECTORS} SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.e, v.e), 6) + 0 AS dot FROM v q, v WHERE q.vec_id BETWEEN 0 AND 5")
+def dot_batch(spark, sf_dir):
+    v = _scaled(spark, sf_dir)
+    return vector.against(_asked(v), v).select("query_id", "vec_id", (F.round(vector.dot(F.col("q"), F.col("v")), 6) + F.lit(0.0)).alias("dot"))
+
+
+def _knn_sql(score: str, order: str) -> str:
+    return f"""WITH {SQL_VECTORS}, n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS m FROM v),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, {score} AS score FROM n q, n v WHERE q.vec_id BETWEEN 0 AND 5)
+SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) + 0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) {order}, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+def _knn(spark, sf_dir, score, descending):
+    v = _scaled(spark, sf_dir)
+    scored = vector.against(_asked(v), v).select("query_id", "vec_id", F.round(score(), 9).alias("score"))
+    return vector.top_k(scored, 10, descending).select("query_id", "rank", "vec_id", (F.round("score", 6) + F.lit(0.0)).alias("score"))
+
+
+@query(_knn_sql("CASE WHEN q.m * v.m = 0 THEN 0 ELSE list_inner_product(q.e, v.e) / (q.m * v.m) END", "DESC"))
+def knn_cosine(spark, sf_dir):
+    return _knn(spark, sf_dir, lambda: vector.cosine(vector.dot(F.col("q"), F.col("v")), F.col("qn"), F.col("vn")), True)
+
+
+@query(_knn_sql("CASE WHEN q.m * v.m < 1.1920928955078125e-07 THEN 1 ELSE 1 - list_inner_product(q.e, v.e) / (q.m * v.m) END", "ASC"))
+def knn_cosine_distance(spark, sf_dir):
+    return _knn(spark, sf_dir, lambda: vector.cosine_distance(vector.dot(F.col("q"), F.col("v")), F.col("qn"), F.col("vn")), False)
+
+
+@query(_knn_sql("list_distance(q.e, v.e)", "ASC"))
+def knn_l2(spark, sf_dir):
+    return _knn(spark, sf_dir, lambda: vector.l2(F.col("q"), F.col("v")), False)
+
+
+@query(_knn_sql("pow(list_distance(q.e, v.e), 2)", "ASC"))
+def knn_l2_sq(spark, sf_dir):
+    return _knn(spark, sf_dir, lambda: vector.l2_sq(F.col("q"), F.col("v")), False)
+
+
+@query(f"WITH {SQL_VECTORS} SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i]))), 6) AS distance FROM v q, v WHERE q.vec_id BETWEEN 0 AND 5")
+def distance_matrix(spark, sf_dir):
+    v = _scaled(spark, sf_dir)
+    return vector.against(_asked(v), v).select("query_id", "vec_id", F.round(vector.l2_sq(F.col("q"), F.col("v")), 6).alias("distance"))
+
+
+@query()
+def ann_hnsw_search(spark, sf_dir):
+    v = _scaled(spark, sf_dir)
+    return ann.search(_asked(v), v, 10)
+
+
+# Extensions over long-form arrays.
+
+
+@query(f"WITH {SQL_LONG} SELECT i1, round(avg(value::DOUBLE), 6) + 0 AS mean, count(*) AS n FROM a GROUP BY i1")
+def array_axis_agg(spark, sf_dir):
+    return _long(spark, sf_dir).groupBy("i1").agg((F.round(F.avg(F.col("value").cast("double")), 6) + F.lit(0.0)).alias("mean"), F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_dims(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 6) + 0 AS mean FROM events")
+def rolling_window(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-11, 0)
+    return _t(spark, sf_dir, "events").select("event_id", (F.round(F.avg("value").over(w), 6) + F.lit(0.0)).alias("mean"))
+
+
+@query("(SELECT o_custkey AS key FROM orders INTERSECT SELECT c_custkey FROM customer) EXCEPT SELECT s_suppkey FROM supplier")
+def set_ops(spark, sf_dir):
+    keys = lambda t, c: _t(spark, sf_dir, t).select(F.col(c).alias("key"))
+    return keys("orders", "o_custkey").intersect(keys("customer", "c_custkey")).subtract(keys("supplier", "s_suppkey"))
+
+
+@query("SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def windowed_events(spark, sf_dir):
+    from arrayloom.streaming import append
+
+    return append.windowed(_t(spark, sf_dir, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 6))
+
+
+__all__ = ["ORACLES", "QUERIES"]
