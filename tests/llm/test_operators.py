@@ -1,0 +1,305 @@
+"""Brute force, round trips and edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from arrayloom.llm import audio, language, licences, line_dedup, lm, minhash, mixing, pieces, topk, url_filter
+from arrayloom.llm.wordhash import shingles
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls everywhere, empty and very long texts, repeated rows, columns that clash with working and result columns."""
+    line = "This line stands in many of the documents."
+    rows = [
+        (1, f"{line}\nown one", "en", "a", 10), (2, f" {line.upper()}\t\nown two", "en", "a", 10), (3, line, "en", None, 10), (4, f"{line}\n{line}\n", "en", "b", 10),
+        (5, None, "en", "b", None), (None, f"x\n{line}", None, "b", 5), (6, "", "de", "b", 0), (7, "lang " * 40_000, "en", "c", 200_000), (7, "lang " * 40_000, "en", "c", 200_000), (8, "1234 !!", None, "c", 7),
+    ]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumn("__row", F.lit(1)).withColumn("size", F.lit("x")).withColumn("score", F.lit("y")).withColumn("rank", F.lit(0)).withColumn("N_LINES", F.lit("z")).withColumn("bucket", F.lit(2)).withColumn("row", F.lit(3)).withColumn("text2", F.lit(None).cast("string"))
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def test_line_dedup(odd, none):
+    rows = {(r.doc_id, r.n_dropped, r.kept_text) for r in line_dedup.line_dedup(odd).select("doc_id", "n_dropped", F.substring("kept_text", 1, 60).alias("kept_text")).collect()}
+    assert (1, 1, "own one") in rows and (2, 1, "own two") in rows and (3, 1, "") in rows and (None, 1, "x") in rows
+    assert any(r[0] == 4 and r[1] == 0 for r in rows) and (5, 0, "") in rows and (6, 0, "") in rows
+    assert line_dedup.line_dedup(none).count() == 0
+    kept = line_dedup.dedup_texts(odd)
+    assert kept.columns == odd.columns
+    assert {(r.doc_id, r.text, r.n_chars) for r in kept.where("doc_id in (1, 5, 6)").collect()} == {(1, "own one", 7), (5, None, None), (6, "", 0)}
+
+
+def test_topk_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(0, 0.3, (600, 6)), 1)  # rounded: many ties
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(600, None), (650, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (700, [float("nan")] * 6), (None, [1.0] * 6), (3, v[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    got = {}
+    for r in topk.search(df.where("vec_id % 50 = 0"), df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    q = np.floor(256 * v).astype(int)
+    ids = [*range(600), 3]
+    for i in range(0, 600, 50):
+        want = sorted(((-int(q[i] @ q[j]), j) for j in ids if j != i))[:5]
+        assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(want)]
+    assert set(got) == set(range(0, 600, 50))
+    assert topk.search(df.limit(0), df).count() == 0 and topk.search(df.where("vec_id = 50"), df.limit(0)).count() == 0
+    few = topk.search(df.where("vec_id = 0"), df.where("vec_id < 3")).collect()
+    assert len(few) == 2
+
+
+def test_bounds_leave_blocks_out():
+    rng = np.random.default_rng(6)
+    centre = np.repeat(rng.normal(0, 400, (40, 16)), 128, axis=0)
+    rows = np.floor(centre + rng.normal(0, 5, centre.shape)).astype(np.int64)
+    blocks = topk.Blocks(np.arange(len(rows)), rows)
+    scored = []
+    original, topk._product = topk._product, lambda a, b: scored.append(len(b)) or original(a, b)
+    try:
+        bounds = blocks.bounds(rows[:1])
+        scored.clear()
+        got = blocks.top(0, rows[0], bounds[0], 5)
+    finally:
+        topk._product = original
+    want = sorted((-int(rows[0] @ rows[j]), j) for j in range(1, len(rows)))[:5]
+    assert [(-s, j) for s, j in got] == want and sum(scored) < len(rows) / 4
+
+
+def _brute_classes(texts):
+    sets = shingles([t or "" for t in texts])
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] is not None and texts[j] is not None and (texts[i] == texts[j] or minhash.similarity(sets[i], sets[j]) >= 0.8):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_by_brute_force(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(40):
+        base = [rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randrange(50)) for _ in range(rng.choice([3, 30, 120]))]
+        for _ in range(rng.randrange(1, 5)):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(len(copy))] = "changed" + str(rng.randrange(1000))
+            texts.append(" ".join(copy))
+    texts += ["", "", None, None, "!!", "?!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("class_id", F.lit("x")).withColumn("digest", F.lit(0)).repartition(5)
+    got = {r.doc_id: r.class_id for r in minhash.classes(df).collect()}
+    assert [got[i] for i in range(len(texts))] == _brute_classes(texts)
+    stay = minhash.one_of_each(df)
+    assert stay.columns == df.columns and sorted(r.doc_id for r in stay.collect()) == sorted(set(got.values()))
+
+
+def test_near_duplicates_of_odd_rows(odd, none):
+    rows = {(r.doc_id, r.class_id, r.class_size) for r in minhash.classes(odd).collect()}
+    assert (7, 7, 2) in rows and (5, 5, 1) in rows and (None, 3, 2) in rows  # "x" and the line: 4 of 5 shingles
+    assert minhash.one_of_each(odd).where("doc_id = 7").count() == 1
+    assert minhash.classes(none).count() == 0 and minhash.one_of_each(none).count() == 0
+
+
+def test_darts_estimate_weighted_similarity():
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
+    a, b = rng.integers(1, 9, 400), rng.integers(1, 9, 400)
+    want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    s = minhash.signatures([(keys, a), (keys, b)], 2000, weighted=True)
+    assert abs((s[0] == s[1]).mean() - want) < 0.04
+    plain = minhash.signatures([(keys[:300], a[:300]), (keys[100:], b[100:])], 2000)
+    assert abs((plain[0] == plain[1]).mean() - 0.5) < 0.04
+    assert (s != minhash.EMPTY).all()
+
+
+def test_languages_of_held_out_texts(spark, sf):
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    rows = language.identify(docs, language.learn(docs)).where(language.held_out(F.col("doc_id"))).select("lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) > 0.95 * len(rows)
+
+
+def test_languages_of_odd_rows(odd, none):
+    made = language.learn(odd)
+    assert set(made) <= {"en", "de"}
+    rows = language.identify(odd, made).collect()
+    assert len(rows) == odd.count() and all(r.lang_pred == "und" and r.rejected for r in rows if r.doc_id in (5, 6, 8))
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert language.identify(none, made).count() == 0 and language.learn(none) == {}
+    assert {r.lang_pred for r in language.identify(odd, {}).collect()} == {"und"}
+
+
+def test_held_out_is_the_checksum_rule(spark):
+    rows = spark.range(50).select("id", language.held_out(F.col("id")).alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)
+
+
+def test_audio_tables_and_blocks():
+    # Fixed values of G.711.
+    assert audio.TABLES["mulaw"][[0x00, 0x7F, 0x80, 0xFF]].tolist() == [-32124, 0, 32124, 0]
+    assert audio.TABLES["alaw"][[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
+
+    def slow(block):
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out = [value]
+        for byte in block[4:]:
+            for nibble in (byte & 15, byte >> 4):
+                step = int(audio.STEPS[index])
+                change = (step >> 3) + (step >> 2) * (nibble & 1) + (step >> 1) * (nibble >> 1 & 1) + step * (nibble >> 2 & 1)
+                value = max(-32768, min(32767, value - change if nibble & 8 else value + change))
+                index = max(0, min(88, index + int(audio.CHANGES[nibble & 7])))
+                out.append(value)
+        return out
+
+    data = np.random.default_rng(8).integers(0, 256, 64 * 50, np.uint8).tobytes()
+    assert audio.adpcm_decode(data).tolist() == [x for i in range(0, len(data), 64) for x in slow(data[i : i + 64])]
+    for codec in audio.TAGS:
+        sound = audio.parse(audio.wav(codec, data))
+        assert (sound.codec, sound.data) == (codec, data)
+    with pytest.raises(ValueError, match="WAV"):
+        audio.parse(b"RIFFxxxx")
+    flat = audio.doubled(np.full(50, 1000, np.int16))
+    assert len(flat) == 100 and np.abs(flat - 1000).max() <= 2
+
+
+def test_audio_of_odd_rows(odd, none):
+    rows = audio.store(odd).select("doc_id", "n_bytes", "media", "payload", "feature", F.length("pcm").alias("p")).collect()
+    for r in rows:
+        assert len(r.payload) % 64 == 0 and r.payload and bytes(r.payload) == audio.parse(bytes(r.media)).data
+    by = {r.doc_id: r for r in rows}
+    assert by[5].n_bytes == by[6].n_bytes == 0 and by[5].feature == by[6].feature and bytes(by[5].payload) == b"\0" * 64
+    assert by[7].n_bytes == 200_000 and audio.described(none).count() == 0
+
+
+def test_mixing(odd, none, spark, sf):
+    out = mixing.mix(odd).collect()
+    assert all(r.taken <= 2 * r.size for r in out) and {r.taken for r in out if r.doc_id in (5, 6)} == {0}
+    assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    by = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("source_size").alias("own"), F.max("size").alias("most")).collect()
+    assert all(abs(r.taken - r.target) <= r.most / 2 + 1 and r.target <= 2 * r.own + 1e-6 for r in by)
+    assert abs(sum(r.target for r in by) - 1.5 * sum(r.own for r in by)) < 1e-3
+    assert mixing.mixed(docs).count() == mixing.mix(docs).agg(F.sum("copies")).collect()[0][0]
+
+
+def test_pseudo_likelihood_by_brute_force(spark, odd, none):
+    texts = ["The cat sat on the mat and the dog sat too", "one", "", "a b c d e f g a b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known, net = lm.fit(df, stride=1)
+    for text, n, total in zip(texts, *lm.score_texts(texts, known, net), strict=True):
+        ids = lm.numbered([text], known)[0]
+        want = 0.0
+        for i, t in enumerate(ids):
+            near = [ids[i + o] if 0 <= i + o < len(ids) else 0 for o in (-2, -1, 1, 2)]
+            h = np.tanh(net.bias + sum(net.inner[c][x] for c, x in enumerate(near)))
+            z = (h @ net.outer + net.level).astype(np.float64)
+            want += z[t] - np.log(np.exp(z).sum())
+        assert n == len(ids) and abs(total - want) < 1e-3
+    rows = {r.doc_id: r for r in lm.score(odd, lm.fit(odd)).collect()}
+    assert rows[5].n_tokens == rows[6].n_tokens == 0 and rows[5].mean_log_prob is None and rows[7].n_tokens == 40_000 and rows[7].log_prob < 0
+    assert lm.score(none, lm.fit(none)).count() == 0
+
+
+def test_training_lowers_the_loss():
+    ids = np.tile(np.arange(1, 9), 400)
+    tokens, near = lm.windows([ids])
+    fresh = lm.Net.fresh(12)
+    after = lm.train(fresh, tokens, near)
+    assert lm.log_probabilities(after, tokens, near).mean() > lm.log_probabilities(fresh, tokens, near).mean() + 0.5
+
+
+def test_licences(odd, none, spark):
+    mit = dict(licences.KNOWN[:1])["MIT"]
+    rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENSE")), (2, "text\nReleased under the  MIT licence\nmore"), (3, mit + " and more"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(0)).withColumn("licence", F.lit(0))
+    got = {r.doc_id: (r.licence, r.notices) for r in licences.scan(df).collect()}
+    assert got == {1: ("MIT", None), 2: (None, "MIT"), 3: (None, None), 4: (None, None)}
+    assert licences.scan(odd).count() == odd.count() and licences.scan(none).count() == 0
+    plan = licences.scan(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_pieces_like_the_library():
+    import sentencepiece
+
+    with open(pieces.MODEL, "rb") as f:
+        model = f.read()
+    rng = random.Random(4)
+    parts = ["a", "b", " ", "   ", "aaaa", " the", "\n", "é", "😀", "\t", "漢", "====", "1", "http", "//", "ing", "er", "s"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(20))) for _ in range(3000)]
+    want = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(texts)
+    for text, ids, (got, back) in zip(texts, want, pieces.round_trip(texts, model), strict=True):
+        assert got == ids and back == text
+
+
+def test_unigram_shortest_path():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    for piece, score, kind in [("<unk>", 0, 2), ("▁", -3, 1), ("a", -2, 1), ("b", -2, 1), ("ab", -2.5, 1), ("▁ab", -6, 1), ("abb", -9, 1)]:
+        p = m.pieces.add()
+        p.piece, p.score, p.type = piece, score, kind
+    m.trainer_spec.model_type = 1
+    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = True, False
+    machine = pieces.Transducer(m.SerializeToString())
+    assert machine._cheapest("▁abb") == ["▁", "ab", "b"] and machine._cheapest("▁aé") == ["▁", "a", "é"]
+
+
+def test_pieces_of_odd_rows(odd, none):
+    out = pieces.decode(pieces.encode(odd))
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[5].tokens is None and rows[5].n_tokens == 0 and rows[6].tokens == [] and rows[7].n_tokens > 30_000
+    assert out.where(~F.col("decoded").eqNullSafe(F.col("text"))).count() == 0 and pieces.encode(none).count() == 0
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme", "HTTP://EXAMPLE.ORG/es/x", "http://a.example.org/en/12?q=/fr/", "http://example.org", "http://example.org#x/", "https://x.com/fr/1", "https://x.com/de/1#a", "https://xcom/fr/", "http://b.net/de/", "http://org/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1)).withColumn("verdict", F.lit("x"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df).collect()}
+    assert got[0] == got[1] == got[2] == ("", "", None, "allow")
+    assert got[3] == ("example.org", "/es/x", "example.org/es/", "block") and got[4][2:] == ("example.org/en/1", "block")
+    assert got[5] == ("example.org", "", None, "allow") and got[6][1] == "" and got[7][2:] == ("com/fr/", "allow") and got[8][2:] == ("com/de/", "block")
+    assert got[9][2] is None and got[10][2] is None and got[11][2:] == ("org/", "allow")
+    parts = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, part_bytes=30).collect()}
+    assert parts == got and url_filter.judge(df.limit(0)).count() == 0
+
+
+def test_colliding_digests_are_told_apart(monkeypatch):
+    monkeypatch.setattr(url_filter, "digests", lambda strings: np.array([len(s) for s in strings], "<u8"))
+    found = url_filter.DigestArray.mapped(url_filter.DigestArray.build([("aa", 1), ("bb", 0), ("cc", 1)]))
+    assert found.probe(["bb", "cc", "dd", "a"]).tolist() == [0, 1, -1, -1]
+
+
+def test_pipeline(spark, sf, odd):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = docs
+    for name, stage in p.STAGES[:-1]:
+        before, out = out, stage(spark, out, sf)
+        assert out.columns == docs.columns, name
+        if name == "language ID":
+            assert out.count() >= 0.98 * before.count()
+    last = p.run(spark, sf)
+    assert last.columns == ["doc_id", "lang", "source", "n_tokens", "tokens"] and last.count() == out.count()
+    narrow = odd.select(*docs.columns)
+    for _, stage in p.STAGES:
+        narrow = stage(spark, narrow, sf)
+    assert narrow.count() > 0
