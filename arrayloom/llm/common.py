@@ -79,3 +79,9 @@ def map_arrow(df: DataFrame, function: Callable, schema: str, rows: int = BATCH_
 def sized(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """Marked for broadcast if it has at most so many (narrow) rows; else as it is, and Spark joins by shuffling. df: cheap to count."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def below(h: Column, wanted: int, total: int | Column) -> Column:
+    """Whether a 64-bit hash is so small that about ``wanted`` of ``total`` rows are: a sample whose tasks all send little, whatever their number."""
+    total = F.lit(total) if isinstance(total, int) else total
+    return (h.cast("double") + float(1 << 63)) / float(1 << 64) <= F.lit(float(wanted)) / F.greatest(total, F.lit(1))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import checkpointed, map_arrow, packed, unpacked
+from arrayloom.llm.common import below, checkpointed, map_arrow, packed, unpacked
 from arrayloom.llm.wordhash import U, mix, portions, words
 
 #: Words with a number of their own, numbers for all others, tokens seen to each side, hidden units.
@@ -28,7 +28,7 @@ COMMON, SHARED, SIDE, HIDDEN = 191, 64, 2, 16
 #: Every STRIDE-th position of each document is trained on; positions of one step; rate; documents of the driver's start.
 STRIDE, STEP, RATE, START_DOCS = 4, 256, 0.2, 300
 #: Parameters are added up as integers of this unit, in groups of so many rows.
-UNIT, GROUP = 2.0**-24, 64
+UNIT, GROUP = 2.0**-24, 8
 
 
 class Net(NamedTuple):
@@ -163,7 +163,8 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", stride:
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
     known = vocabulary(texts.select("text"), common)
     # The start: a bounded sample on the driver (the smallest hashes of ids, 20 000 characters of each text at most).
-    seed = texts.orderBy("h", "text").limit(START_DOCS).select(F.substring("text", 1, 20_000).alias("text")).collect()
+    few = texts.where(below(F.col("h"), 2 * START_DOCS, texts.count())).select("h", F.substring("text", 1, 20_000).alias("text"))
+    seed = few.orderBy("h", "text").limit(START_DOCS).collect()
     net = train(Net.fresh(known.size), *_positions([r.text for r in seed], known, 1))
     shared = docs.sparkSession.sparkContext.broadcast((known, net))
 
