@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import bounded_batches, packed, unpacked
+from arrayloom.llm.common import below, bounded_batches, packed, unpacked
 
 #: Bounds of the labelled sample that the dictionaries are cut from: texts a language, characters a text, bytes a dictionary, languages.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES, LANGUAGES = 400, 2000, 400 << 10, 500
@@ -33,11 +33,15 @@ def held_out(id_col: Column) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries by language from the first ``texts`` labelled texts in the order of their hashes.
 
+    Of more than LANGUAGES labels the commonest are learned.
     Of each sampled text one stretch of ``chars`` characters is used, from a place that its hash
     names. Rows with null text or language, without an id or held out are not used.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     rows = rows.select(F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t"))
+    # Languages are counted first, so that of each only about twice the wanted texts are ever moved.
+    counts = rows.groupBy("l").agg(F.count("*").alias("c")).orderBy(F.col("c").desc(), "l").limit(LANGUAGES)
+    rows = rows.join(F.broadcast(counts), "l").where(below(F.col("h"), 2 * texts, F.col("c")))
     start = F.pmod(F.col("h"), F.greatest(F.char_length("t") - chars, F.lit(0)) + 1).cast("int") + 1
     rows = rows.select("l", "h", F.substring(F.col("t"), start, F.lit(chars)).alias("t"))
     nth = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
