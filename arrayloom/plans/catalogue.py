@@ -12,6 +12,7 @@ from arrayloom import catalog, model
 from arrayloom.functions import codecs, convert, integrity, vector
 from arrayloom.operators import access, ann, cf, encode, selection
 from arrayloom.operators.selection import Hyperslab
+from arrayloom.sources import container
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -455,6 +456,27 @@ def ann_hnsw_search(spark, sf_dir):
     return ann.search(_asked(v), v, 10)
 
 
+# Container files.
+
+
+def _written(spark):
+    """Two files of one chunked and compressed 60 x 100 grid each, with an attribute and a group."""
+    import numpy as np
+
+    box = lambda k: container.write({"g/grid": np.arange(6000, dtype="f8").reshape(60, 100) + k, "names": np.array([b"ab", b"c"])}, {"g/grid": {"scale": 0.5}}, {"g/grid": (16, 32)}, [("shuffle", 0), ("deflate", 6)])
+    return spark.createDataFrame([(f"file{k}", bytearray(box(k))) for k in range(2)], "path string, content binary")
+
+
+@query("SELECT 'file' || k AS file, r // 100 AS i0, r % 100 AS i1, (r + k)::DOUBLE AS value FROM range(0, 6000) a(r), range(0, 2) b(k) WHERE r // 100 BETWEEN 20 AND 29 AND r % 100 BETWEEN 40 AND 59")
+def container_selection(spark, sf_dir):
+    return container.read(spark, _written(spark), "g/grid", 2, Hyperslab.slice((20, 30), (40, 60)))
+
+
+@query("SELECT 'file' || k AS file, path, kind, dtype, layout FROM (VALUES ('', 'group', NULL, NULL), ('g', 'group', NULL, NULL), ('g/grid', 'dataset', 'f64', 'fixed'), ('names', 'dataset', 'string', 'contiguous')) t(path, kind, dtype, layout), range(0, 2) b(k)")
+def container_objects(spark, sf_dir):
+    return container.objects(spark, _written(spark)).select("file", "path", "kind", "dtype", "layout")
+
+
 # Extensions over long-form arrays.
 
 
