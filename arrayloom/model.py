@@ -61,8 +61,10 @@ def split_chunks(df: DataFrame, axes: Sequence[str], value: str, chunk: Sequence
     rows = df.select(*coords, inner.alias("at"), F.col(value).alias("v"))
     kind = df.schema[value].dataType.simpleString()
     size = prod(chunk)
-    grouped = rows.groupBy(*(f"c{d}" for d in range(len(axes)))).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"), F.count("*").alias("n"))
-    payload = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(fill).cast(kind)))
+    grouped = rows.groupBy(*(f"c{d}" for d in range(len(axes)))).agg(F.collect_list(F.struct("at", "v")).alias("there"), F.count("*").alias("n"))
+    gaps = F.array_except(F.sequence(F.lit(0), F.lit(size - 1)), F.transform("there", lambda s: s["at"]))
+    filled = F.concat("there", F.transform(gaps, lambda i: F.struct(i.alias("at"), F.lit(fill).cast(kind).alias("v"))))
+    payload = F.transform(F.array_sort(filled), lambda s: s["v"])
     return grouped.select(*(f"c{d}" for d in range(len(axes))), payload.alias("payload"), "n")
 
 
