@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import SPACE, packed, replaced, unpacked
+from arrayloom.llm.common import SPACE, checkpointed, packed, replaced, sized, unpacked
 
+#: Documents that may look one line up in one task, at least.
+HOT_DOCS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,10 +40,17 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_doc
         lines.groupBy("__h1", "__h2", "__id").agg(F.lit(1).alias("__one"))
         .groupBy("__h1", "__h2").agg(F.count("*").alias("__docs"), F.max("__id").alias("__keep"))
         .where(F.col("__docs") >= min_docs)
-        .select("__h1", "__h2", "__keep")
     )
+    # A line of more than a thousandth of all documents is looked up in parts of about that size. There are at
+    # most a thousand times as many such lines as an average document has, and they are counted before they are sent.
+    heavy, part = checkpointed(heavy), max(HOT_DOCS, docs.count() // 1000)
+    parts = F.ceil(F.col("__docs") / part).cast("int")
+    hot = heavy.where(F.col("__docs") > part).select("__h1", "__h2", parts.alias("__parts"))
+    salt = F.pmod(F.xxhash64("__id", "__mark", "__pos"), F.col("__parts")).cast("int")
+    lines = lines.join(sized(hot), ["__h1", "__h2"], "left").withColumn("__salt", F.coalesce(salt, F.lit(0)))
+    heavy = heavy.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("__docs") > part, parts - 1).otherwise(0))))
     drops = (
-        lines.join(heavy, ["__h1", "__h2"])
+        lines.join(heavy.select("__h1", "__h2", "__salt", "__keep"), ["__h1", "__h2", "__salt"])
         .where(F.col("__id").isNull() | (F.col("__id") < F.col("__keep")))
         .groupBy(F.col("__id").alias("__did"), F.col("__mark").alias("__dmark"))
         .agg(F.array_sort(F.collect_set("__pos")).alias("__drop"))

@@ -303,3 +303,11 @@ def test_pipeline(spark, sf, odd):
     for _, stage in p.STAGES:
         narrow = stage(spark, narrow, sf)
     assert narrow.count() > 0
+
+
+def test_hot_lines_are_looked_up_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_DOCS", 10)
+    line = "the same line in every one of the documents"
+    df = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit(line + "\nown line of document number "), F.col("id").cast("string")).alias("text"))
+    rows = {r.doc_id: (r.n_dropped, r.kept_text) for r in line_dedup.line_dedup(df).collect()}
+    assert rows == {i: (int(i < 99), (line + "\n" if i == 99 else "") + f"own line of document number {i}") for i in range(100)}
