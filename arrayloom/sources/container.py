@@ -8,7 +8,7 @@ Spark reads will do; a file is one task's work. What isn't understood raises Con
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from math import prod
 from typing import NamedTuple
 
@@ -24,7 +24,7 @@ SIGNATURE = b"\x89HDF\r\n\x1a\n"
 NOWHERE = (1 << 64) - 1
 DEPTH = 64
 # Message types and filter ids of the format.
-SPACE, TYPE, LINK, LAYOUT, FILTERS, ATTRIBUTE, MORE, TABLE = 1, 3, 6, 8, 11, 12, 16, 17
+SPACE, LINKS, TYPE, LINK, LAYOUT, FILTERS, ATTRIBUTE, MORE, TABLE, DENSE = 1, 2, 3, 6, 8, 11, 12, 16, 17, 21
 FILTER_NAMES = {1: "deflate", 2: "shuffle", 3: "fletcher32", 32015: "zstd"}
 
 
@@ -33,11 +33,17 @@ class ContainerError(ValueError):
 
 
 class Kind(NamedTuple):
-    """An element type: numpy dtype, its name, and for strings how they are padded."""
+    """An element type: numpy dtype, its name, for strings how they are padded, and what else its values need.
+
+    base: the type of an array's or a variable-length value's parts. dims: an array's extents. members: an enum's names by value.
+    """
 
     dtype: np.dtype
     name: str
     padding: str = ""
+    base: Kind | None = None
+    dims: tuple[int, ...] = ()
+    members: dict[int, str] | None = None
 
 
 class Dataset(NamedTuple):
@@ -46,6 +52,7 @@ class Dataset(NamedTuple):
     layout: tuple
     filters: list[tuple[str, int]]
     attributes: dict[str, object]
+    most: tuple[int | None, ...] = ()  # extents that it may grow to, None without bound
 
 
 class Group(NamedTuple):
@@ -53,6 +60,11 @@ class Group(NamedTuple):
     attributes: dict[str, object]
 
 
+def bytes_for(n: int) -> int:
+    """Bytes that hold numbers up to n."""
+    return max(1, (n.bit_length() + 7) // 8)
+
+
 class Bytes:
     """A cursor that never reads past the end."""
 
@@ -102,6 +114,8 @@ class Container:
             raise ContainerError(f"superblock version {version}")
         if self.o not in (2, 4, 8) or self.l not in (2, 4, 8):
             raise ContainerError("size of offsets or lengths")
+        self.nowhere = NOWHERE >> (64 - 8 * self.o)
+        self._heaps: dict[int, dict[int, bytes]] = {}
 
     # Object headers.
 
@@ -132,10 +146,10 @@ class Container:
             least = 4 if new else 8
             while m.at + least <= m.end:
                 if new:
-                    kind, size, _ = m.number(1), m.number(2), m.number(1)
+                    kind, size, marks = m.number(1), m.number(2), m.number(1)
                     m.take(2 * bool(flags & 4))
                 else:
-                    kind, size, _ = m.number(2), m.number(2), m.take(4)
+                    kind, size, marks = m.number(2), m.number(2), m.number(4) & 255
                 body = Bytes(self.data, m.at, m.at + size)
                 m.take(size)
                 if kind == MORE:
@@ -143,9 +157,22 @@ class Container:
                     if new:
                         Bytes(self.data, to).expect(b"OCHK")
                     blocks.append((to + 4, to + n - 4) if new else (to, to + n))
+                elif marks & 2:
+                    yield kind, self._shared(kind, body)
                 else:
                     yield kind, body
 
+    def _shared(self, kind: int, c: Bytes, depth: int = 0) -> Bytes:
+        """A message that stands in another object's header, such as a committed type."""
+        version, which = c.number(1), c.number(1)
+        if depth > DEPTH or version not in (1, 2, 3) or (version == 3 and which != 2):
+            raise ContainerError("shared message")
+        c.take(6 * (version == 1))
+        found = next((body for k, body in self._messages(c.number(self.o)) if k == kind), None)
+        if found is None:
+            raise ContainerError("shared message that isn't there")
+        return found
+
     def _space(self, c: Bytes) -> tuple[int, ...] | None:
         """Extents; () for a scalar, None for a null space."""
         version, rank, flags = c.number(1), c.number(1), c.number(1)
@@ -156,7 +183,10 @@ class Container:
                 return None
         else:
             raise ContainerError(f"dataspace version {version}")
-        return tuple(c.number(self.l) for _ in range(rank))
+        shape = tuple(c.number(self.l) for _ in range(rank))
+        top = NOWHERE >> (64 - 8 * self.l)
+        self._most = tuple(None if n == top else n for n in (c.number(self.l) for _ in range(rank))) if flags & 1 else shape
+        return shape
 
     def _kind(self, c: Bytes, depth: int = 0) -> Kind:
         head, bits, size = c.number(1), c.number(3), c.number(4)
@@ -177,31 +207,58 @@ class Container:
             return Kind(np.dtype(f"{order}f{size}"), f"f{8 * size}")
         if which == 3:
             return Kind(np.dtype(f"V{size}"), "string", ("null_term", "null_pad", "space_pad")[min(bits & 15, 2)])
-        if which == 6 and version >= 3:
+        if which == 6:
             names, fields, offsets = [], [], []
             for _ in range(bits & 0xFFFF):
-                end = self.data.find(b"\0", c.at, c.end)
-                names.append(c.take(end - c.at).decode("utf-8", "replace"))
-                c.take(1)
-                offsets.append(c.number((max(size - 1, 1).bit_length() + 7) // 8 if version == 3 else 4))
-                fields.append(self._kind(c, depth + 1).dtype)
+                names.append(self._named(c, version))
+                offsets.append(c.number(4 if version < 3 else (max(size - 1, 1).bit_length() + 7) // 8))
+                dims = ()
+                if version == 1:
+                    rank = c.number(1)
+                    c.take(11)
+                    dims = tuple([c.number(4) for _ in range(4)][:rank])
+                part = self._kind(c, depth + 1)
+                inner = np.dtype((part.base.dtype, part.dims)) if part.name == "array" else part.dtype
+                fields.append(np.dtype((inner, dims)) if dims else inner)
             return Kind(np.dtype({"names": names, "formats": fields, "offsets": offsets, "itemsize": size}), "compound")
-        return Kind(np.dtype(f"V{size}"), {2: "time", 4: "bitfield", 5: "opaque", 7: "reference", 8: "enum", 9: "variable", 10: "array"}.get(which, f"class {which}"))
+        if which == 8:
+            base = self._kind(c, depth + 1)
+            names = [self._named(c, version) for _ in range(bits & 0xFFFF)]
+            values = np.frombuffer(c.take(len(names) * base.dtype.itemsize), base.dtype).tolist()
+            return Kind(base.dtype, "enum", members=dict(zip(values, names, strict=True)))
+        if which == 9:
+            text = bits & 15 == 1
+            return Kind(np.dtype(f"V{size}"), "variable", "string" if text else "", self._kind(c, depth + 1))
+        if which == 10:
+            rank = c.number(1)
+            c.take(3 * (version < 3))
+            dims = tuple(c.number(4) for _ in range(rank))
+            c.take(4 * rank * (version < 3))
+            return Kind(np.dtype(f"V{size}"), "array", base=self._kind(c, depth + 1), dims=dims)
+        return Kind(np.dtype(f"V{size}"), {2: "time", 4: "bitfield", 5: "opaque", 7: "reference"}.get(which, f"class {which}"))
+
+    def _named(self, c: Bytes, version: int) -> str:
+        """A name that ends with 0; before version 3 filled up to a multiple of 8."""
+        end = c.data.find(b"\0", c.at, c.end)
+        name = c.take(end - c.at)
+        c.take(1 if version >= 3 else 8 - len(name) % 8)
+        return name.decode("utf-8", "replace")
 
     def _attribute(self, c: Bytes) -> tuple[str, object]:
-        version, _, names, types, spaces = c.number(1), c.number(1), c.number(2), c.number(2), c.number(2)
+        version, marks, names, types, spaces = c.number(1), c.number(1), c.number(2), c.number(2), c.number(2)
         if version not in (1, 2, 3):
             raise ContainerError(f"attribute version {version}")
         c.take(version == 3)
         pad = (lambda n: -n % 8) if version == 1 else (lambda n: 0)
         name = c.take(names).split(b"\0")[0].decode("utf-8", "replace")
         c.take(pad(names))
-        kind = self._kind(Bytes(self.data, c.at, c.at + types))
+        told = Bytes(c.data, c.at, c.at + types)
+        kind = self._kind(self._shared(TYPE, told) if version > 1 and marks & 1 else told)
         c.take(types + pad(types))
-        shape = self._space(Bytes(self.data, c.at, c.at + spaces))
+        shape = self._space(Bytes(c.data, c.at, c.at + spaces))
         c.take(spaces + pad(spaces))
         n = 0 if shape is None else prod(shape)
-        values = decoded(np.frombuffer(c.take(n * kind.dtype.itemsize), kind.dtype), kind)
+        values = decoded(np.frombuffer(c.take(n * kind.dtype.itemsize), kind.dtype), kind, self)
         return name, values[0] if shape == () else values
 
     def _filters(self, c: Bytes) -> list[tuple[str, int]]:
@@ -245,16 +302,20 @@ class Container:
         if index == 3:
             c.take(1)
             return "fixed", c.number(self.o), chunk
+        if index in (4, 5):
+            c.take(5 if index == 4 else 6)
+            return ("extensible" if index == 4 else "btree2"), c.number(self.o), chunk
         raise ContainerError(f"chunk index {index}")
 
     # Objects.
 
     def object(self, address: int) -> Dataset | Group:
         shape = kind = layout = None
-        filters, attributes, links = [], {}, {}
+        filters, attributes, links, most = [], {}, {}, ()
         for which, c in self._messages(address):
             if which == SPACE:
                 shape = self._space(c)
+                most = self._most if shape else ()
             elif which == TYPE:
                 kind = self._kind(c)
             elif which == LAYOUT:
@@ -266,6 +327,16 @@ class Container:
                 attributes[name] = value
             elif which == LINK:
                 links.update(self._link(c))
+            elif which in (LINKS, DENSE):
+                c.take(1)
+                marks = c.number(1)
+                c.take((8 if which == LINKS else 2) * (marks & 1))
+                for part in self._dense(c.number(self.o), c.number(self.o)):
+                    if which == LINKS:
+                        links.update(self._link(part))
+                    else:
+                        name, value = self._attribute(part)
+                        attributes[name] = value
             elif which == TABLE:
                 tree, heap = c.number(self.o), c.number(self.o)
                 links.update(self._table(tree, heap))
@@ -273,7 +344,7 @@ class Container:
             return Group(links, attributes)
         if kind is None:
             raise ContainerError("dataset without a type")
-        return Dataset((0,) if shape is None else shape, kind, layout, filters, attributes)
+        return Dataset((0,) if shape is None else shape, kind, layout, filters, attributes, most)
 
     def _link(self, c: Bytes) -> dict[str, int]:
         c.take(1)
@@ -308,6 +379,126 @@ class Container:
             out.update(self._table(c.number(self.o), heap, depth + 1))
         return out
 
+    # Heaps and trees of many small things.
+
+    def _records(self, address: int) -> Iterator[Bytes]:
+        """The records of a version 2 tree, in order."""
+        c = Bytes(self.data, self.base + address)
+        c.expect(b"BTHD")
+        c.take(2)
+        node, size, depth = c.number(4), c.number(2), c.number(2)
+        c.take(2)
+        root, n = c.number(self.o), c.number(2)
+        if depth > DEPTH or not size or node < 10 + size:
+            raise ContainerError("tree of records")
+        # How many records a node of each level can hold, alone and with all below it, bounds the width of the counts.
+        most = whole = (node - 10) // size
+        count, widths = bytes_for(most), [0]
+        for _ in range(depth):
+            pointer = self.o + count + widths[-1]
+            most = (node - 10 - pointer) // (size + pointer)
+            whole = (most + 1) * whole + most
+            widths.append(bytes_for(whole))
+
+        def visit(at: int, n: int, level: int) -> Iterator[Bytes]:
+            c = Bytes(self.data, self.base + at)
+            c.expect(b"BTIN" if level else b"BTLF")
+            c.take(2)
+            held = [Bytes(self.data, c.at + i * size, c.at + (i + 1) * size) for i in range(n)]
+            c.take(n * size)
+            if not level:
+                yield from held
+                return
+            for i in range(n + 1):
+                to, m = c.number(self.o), c.number(count)
+                c.take(widths[level - 1] if level > 1 else 0)
+                yield from visit(to, m, level - 1)
+                yield from held[i : i + 1]
+
+        if root != self.nowhere and n:
+            yield from visit(root, n, depth)
+
+    def _dense(self, heap: int, tree: int) -> Iterator[Bytes]:
+        """Messages in a fractal heap, by the tree of their names."""
+        if heap == self.nowhere or tree == self.nowhere:
+            return
+        kind = Bytes(self.data, self.base + tree + 5).number(1)
+        if kind not in (5, 8):
+            raise ContainerError(f"tree of type {kind}")
+        find = self._fractal(heap)
+        for r in self._records(tree):
+            r.take(4 * (kind == 5))  # links: after the hash of the name
+            yield find(r)
+
+    def _fractal(self, address: int) -> Callable[[Bytes], Bytes]:
+        """What finds an object of a fractal heap by its id."""
+        c = Bytes(self.data, self.base + address)
+        c.expect(b"FRHP")
+        c.take(3)
+        filtered, flags, largest = c.number(2), c.number(1), c.number(4)
+        c.take(10 * self.l + 2 * self.o)
+        width, start, direct, bits = c.number(2), c.number(self.l), c.number(self.l), c.number(2)
+        c.take(2)
+        root, rows = c.number(self.o), c.number(2)
+        if filtered or not width or not start or direct < start:
+            raise ContainerError("filtered or broken heap")
+        offsets, lengths = (bits + 7) // 8, min(bytes_for(direct), bytes_for(largest))
+        straight = (direct // start).bit_length() + 1  # rows of direct blocks
+
+        def block(at: int, rows: int, inside: int, depth: int = 0) -> tuple[int, int]:
+            """Address of the direct block that holds a place, and the place within it."""
+            if depth > DEPTH or at == self.nowhere:
+                raise ContainerError("heap block")
+            if not rows:
+                return at, inside
+            row, low, size = 0, 0, start
+            while inside >= low + width * size:
+                low += width * size
+                size = start << row
+                row += 1
+            which, rest = divmod(inside - low, size)
+            if row >= rows:
+                raise ContainerError("heap id beyond its blocks")
+            i = Bytes(self.data, self.base + at)
+            i.expect(b"FHIB")
+            i.take(1 + self.o + offsets + (row * width + which) * self.o)
+            # An indirect block of n rows spans start * width * 2 ** (n - 1).
+            return block(i.number(self.o), 0 if row < straight else (size // (start * width)).bit_length(), rest, depth + 1)
+
+        def find(c: Bytes) -> Bytes:
+            head = c.number(1)
+            if head >> 4 & 3:
+                raise ContainerError("huge or tiny heap object")
+            place, n = c.number(offsets), c.number(lengths)
+            at, rest = block(root, rows, place)
+            Bytes(self.data, self.base + at).expect(b"FHDB")
+            at = self.base + at + rest
+            Bytes(self.data, at).take(n)
+            return Bytes(self.data, at, at + n)
+
+        return find
+
+    def shared_value(self, heap: int, index: int) -> bytes:
+        """An object of a global heap collection; each collection is parsed once."""
+        if heap not in self._heaps:
+            c = Bytes(self.data, self.base + heap)
+            start = c.at
+            c.expect(b"GCOL")
+            c.take(4)
+            end, held = start + c.number(self.l), {}
+            while c.at + 8 + self.l <= end:
+                i = c.number(2)
+                c.take(6)
+                n = c.number(self.l)
+                if i == 0:
+                    break
+                held[i] = c.take(n)
+                c.take(min(-n % 8, max(0, c.end - c.at)))
+            self._heaps[heap] = held
+        if index not in self._heaps[heap]:
+            raise ContainerError(f"no object {index} in the heap at {heap}")
+        return self._heaps[heap][index]
+
     def walk(self) -> Iterator[tuple[str, Dataset | Group]]:
         """All objects with their paths, each once; the root's path is empty."""
         seen, todo = set(), [("", self.root)]
@@ -334,33 +525,125 @@ class Container:
     def _chunks(self, d: Dataset) -> Iterator[tuple[tuple[int, ...], int, int | None, int]]:
         """(offsets, address, stored bytes or None for all, filter mask) of the chunks that are there."""
         which, address, chunk = d.layout[:3]
-        counts = [-(-n // c) for n, c in zip(d.shape, chunk, strict=True)]
-        place = lambda i: tuple(int(x) * c for x, c in zip(np.unravel_index(i, counts), chunk, strict=True))
+        # Numbers of chunks follow the extents that the array may grow to; an axis without bound counts slowest.
+        most = d.most or d.shape
+        free = most.index(None) if which == "extensible" and None in most else 0
+        axes = [free, *(a for a in range(len(chunk)) if a != free)]
+        counts = [-(-(d.shape[a] if most[a] is None else max(most[a], d.shape[a])) // chunk[a]) for a in axes]
+
+        def place(i: int) -> tuple[int, ...]:
+            at = [0] * len(chunk)
+            for a, n in zip(reversed(axes), reversed(counts), strict=True):
+                i, at[a] = (i, 0) if n == 0 else divmod(i, n) if a != axes[0] else (0, i)
+            return tuple(x * c for x, c in zip(at, chunk, strict=True))
+
         size = prod(chunk) * d.kind.dtype.itemsize
-        if address == NOWHERE >> (64 - 8 * self.o):
+        if address == self.nowhere:
             return
         if which == "single":
             yield (0,) * len(chunk), address, d.layout[3][0], d.layout[3][1]
         elif which == "implicit":
             yield from ((place(i), address + i * size, None, 0) for i in range(prod(counts)))
-        elif which == "fixed":
-            c = Bytes(self.data, self.base + address)
-            c.expect(b"FAHD")
-            c.take(1)
-            filtered, entry, bits, n, block = c.number(1), c.number(1), c.number(1), c.number(self.l), c.number(self.o)
-            if n > 1 << bits:
-                raise ContainerError("paged fixed arrays can't be read")
-            c = Bytes(self.data, self.base + block)
-            c.expect(b"FADB")
-            c.take(2 + self.o)
-            for i in range(min(n, prod(counts))):
-                to = c.number(self.o)
-                stored, mask = (c.number(entry - self.o - 4), c.number(4)) if filtered else (None, 0)
-                if to != NOWHERE >> (64 - 8 * self.o):
+        elif which in ("fixed", "extensible"):
+            found = self._fixed(address) if which == "fixed" else self._extensible(address)
+            for i, to, stored, mask in found:
+                if to != self.nowhere:
                     yield place(i), to, stored, mask
+        elif which == "btree2":
+            for r in self._records(address):
+                to, n = r.number(self.o), r.end - r.at - 8 * len(chunk)
+                stored, mask = (r.number(n - 4), r.number(4)) if n else (None, 0)
+                yield tuple(r.number(8) * c for c in chunk), to, stored, mask
         else:
             yield from self._leaves(address, len(chunk), 0)
 
+    def _entries(self, c: Bytes, first: int, n: int, entry: int, filtered: int) -> Iterator[tuple[int, int, int | None, int]]:
+        """n entries of a chunk array: (number, address, stored bytes, mask)."""
+        for i in range(first, first + n):
+            to = c.number(self.o)
+            stored, mask = (c.number(entry - self.o - 4), c.number(4)) if filtered else (None, 0)
+            yield i, to, stored, mask
+
+    def _pages(self, c: Bytes, first: int, n: int, page: int, there: bytes | None, entry: int, filtered: int) -> Iterator[tuple[int, int, int | None, int]]:
+        """Entries of a paged block. there: a bit for each page that was written, or None for all."""
+        for k in range(-(-n // page)):
+            held = min(page, n - k * page)
+            if there is None or there[k // 8] & (128 >> k % 8):
+                yield from self._entries(c, first + k * page, held, entry, filtered)
+                c.take(4)
+            else:
+                c.take(held * entry + 4)
+
+    def _fixed(self, address: int) -> Iterator[tuple[int, int, int | None, int]]:
+        c = Bytes(self.data, self.base + address)
+        c.expect(b"FAHD")
+        c.take(1)
+        filtered, entry, bits, n, block = c.number(1), c.number(1), c.number(1), c.number(self.l), c.number(self.o)
+        if block == self.nowhere:
+            return
+        c = Bytes(self.data, self.base + block)
+        c.expect(b"FADB")
+        c.take(2 + self.o)
+        if n <= 1 << bits:
+            yield from self._entries(c, 0, n, entry, filtered)
+        else:
+            there = c.take((-(-n >> bits) + 7) // 8)
+            c.take(4)
+            yield from self._pages(c, 0, n, 1 << bits, there, entry, filtered)
+
+    def _extensible(self, address: int) -> Iterator[tuple[int, int, int | None, int]]:
+        c = Bytes(self.data, self.base + address)
+        c.expect(b"EAHD")
+        c.take(1)
+        filtered, entry, bits, inline, least, pointers, paged = (c.number(1) for _ in range(7))
+        c.take(4 * self.l)
+        n = c.number(self.l)
+        c.take(self.l)
+        index = c.number(self.o)
+        if index == self.nowhere:
+            return
+        if bits > 64 or not least or not pointers:
+            raise ContainerError("extensible array")
+        wide, page = (bits + 7) // 8, 1 << paged
+        c = Bytes(self.data, self.base + index)
+        c.expect(b"EAIB")
+        c.take(2 + self.o)
+        yield from self._entries(c, 0, min(inline, n), entry, filtered)
+        c.take((inline - min(inline, n)) * entry)
+
+        def block(to: int, first: int, size: int, there: bytes | None) -> Iterator[tuple[int, int, int | None, int]]:
+            held = min(size, n - first)
+            if to == self.nowhere or held <= 0:
+                return
+            b = Bytes(self.data, self.base + to)
+            b.expect(b"EADB")
+            b.take(2 + self.o + wide)
+            if size <= page:
+                yield from self._entries(b, first, held, entry, filtered)
+            else:
+                b.take(4)
+                yield from (e for e in self._pages(b, first, size, page, there, entry, filtered) if e[0] < n)
+
+        first = inline
+        for level, blocks, size in levels(bits, least):
+            if first >= n:
+                return
+            if level < 2 * (pointers.bit_length() - 1):  # the index block points to the first levels' blocks itself
+                for _ in range(blocks):
+                    yield from block(c.number(self.o), first, size, None)
+                    first += size
+            else:
+                to = c.number(self.o)
+                if to != self.nowhere:
+                    b = Bytes(self.data, self.base + to)
+                    b.expect(b"EASB")
+                    b.take(2 + self.o + wide)
+                    marks = (-(-size // page) + 7) // 8 if size > page else 0
+                    there = [b.take(marks) for _ in range(blocks)]
+                    for k in range(blocks):
+                        yield from block(b.number(self.o), first + k * size, size, there[k] if marks else None)
+                first += blocks * size
+
     def _leaves(self, address: int, rank: int, depth: int) -> Iterator[tuple[tuple[int, ...], int, int | None, int]]:
         if depth > DEPTH:
             raise ContainerError("chunk tree too deep")
@@ -382,14 +665,14 @@ class Container:
         """(offsets, elements) of the parts of a dataset that meet the selection's hull; unwritten parts are left out."""
         item = d.kind.dtype.itemsize
         if d.layout[0] in ("compact", "contiguous"):
-            raw = d.layout[1] if d.layout[0] == "compact" else b"" if d.layout[1] == NOWHERE >> (64 - 8 * self.o) else Bytes(self.data, self.base + d.layout[1]).take(prod(d.shape) * item)
+            raw = d.layout[1] if d.layout[0] == "compact" else b"" if d.layout[1] == self.nowhere else Bytes(self.data, self.base + d.layout[1]).take(prod(d.shape) * item)
             if len(raw) >= prod(d.shape) * item and raw:
                 yield (0,) * len(d.shape), np.frombuffer(raw, d.kind.dtype, prod(d.shape)).reshape(d.shape)
             return
         chunk = d.layout[2]
         hull = slab.hull() if slab else [(0, n - 1) for n in d.shape]
         for offsets, address, stored, mask in self._chunks(d):
-            if all(o <= hi and o + c > lo for o, c, (lo, hi) in zip(offsets, chunk, hull, strict=True)):
+            if all(o < n and o <= hi and o + c > lo for n, o, c, (lo, hi) in zip(d.shape, offsets, chunk, hull, strict=True)):
                 raw = Bytes(self.data, self.base + address).take(prod(chunk) * item if stored is None else stored)
                 try:
                     raw = codecs.undo(raw, d.filters, mask)
@@ -411,15 +694,36 @@ class Container:
         return out
 
 
-def decoded(values: np.ndarray, kind: Kind) -> list:
-    """Python values; strings by their padding, other raw bytes as they are."""
+def levels(bits: int, least: int) -> Iterator[tuple[int, int, int]]:
+    """(level, data blocks, elements of each) of an extensible array: every second level doubles the blocks, the others their size."""
+    for u in range(bits - least.bit_length() + 2):
+        yield u, 1 << u // 2, least << (u + 1) // 2
+
+
+def decoded(values: np.ndarray, kind: Kind, box: Container | None = None) -> list:
+    """Python values; strings by their padding, enums by name, other raw bytes as they are. box: the file, for values of variable length."""
     flat = values.ravel()
     if kind.name == "string":
         cut = {"null_term": lambda b: b.split(b"\0")[0], "null_pad": lambda b: b.rstrip(b"\0"), "space_pad": lambda b: b.rstrip(b" ")}[kind.padding]
         return [cut(v.tobytes()).decode("utf-8", "replace") for v in flat]
+    if kind.name == "enum":
+        return [kind.members.get(v.item(), f"UNKNOWN(0x{v.tobytes().hex()})") for v in flat]
+    if kind.name == "array":
+        return [np.frombuffer(v.tobytes(), kind.base.dtype).reshape(kind.dims).tolist() for v in flat]
+    if kind.name == "variable" and box:
+        return [_variable(Bytes(v.tobytes()), kind, box) for v in flat]
     return [v.tobytes() for v in flat] if kind.dtype.kind == "V" and not kind.dtype.names else flat.tolist()
 
 
+def _variable(c: Bytes, kind: Kind, box: Container) -> str | list:
+    """A value of variable length; one that is nowhere is empty."""
+    n, heap, index = c.number(4), c.number(box.o), c.number(4)
+    raw = b"" if not n or heap in (0, box.nowhere) else box.shared_value(heap, index)
+    if kind.padding == "string":
+        return raw[:n].split(b"\0")[0].decode("utf-8", "replace")
+    return decoded(np.frombuffer(raw[: n * kind.base.dtype.itemsize], kind.base.dtype), kind.base, box)
+
+
 # Spark.
 
 
@@ -463,7 +767,7 @@ def read(spark: SparkSession, path: str | DataFrame, dataset: str, rank: int, sl
                     raise ContainerError(f"{dataset} is no dataset of {rank} axes")
                 for offsets, part in box.blocks(d, slab):
                     places = [i.ravel() + o for i, o in zip(np.indices(part.shape), offsets, strict=True)]
-                    values = pa.array(decoded(part, d.kind), pa.string()) if kind == "string" else pa.array(part.ravel().astype("f8" if kind == "double" else "i8"), arrow)
+                    values = pa.array(decoded(part, d.kind, box), pa.string()) if kind == "string" else pa.array(part.ravel().astype("f8" if kind == "double" else "i8"), arrow)
                     yield pa.RecordBatch.from_arrays([pa.array([file] * part.size, pa.string()), *(pa.array(p.astype("i8")) for p in places), values], names=["file", *axes, "value"])
 
     rows = _files(spark, path).mapInArrow(run, f"file string, {', '.join(f'{a} bigint' for a in axes)}, value {kind}")
@@ -475,6 +779,9 @@ def read(spark: SparkSession, path: str | DataFrame, dataset: str, rank: int, sl
 
 def _type_message(dtype: np.dtype) -> bytes:
     size = dtype.itemsize
+    if members := (dtype.metadata or {}).get("enum"):
+        names = b"".join(n.encode() + b"\0" for n in members)
+        return struct.pack("<BHBI", 0x38, len(members), 0, size) + _type_message(np.dtype(dtype.str)) + names + np.array(list(members.values()), dtype.str).tobytes()
     if dtype.kind in "iu":
         return struct.pack("<B3BIHH", 0x10, 8 * (dtype.kind == "i"), 0, 0, size, 0, 8 * size)
     if dtype.kind == "f" and size in (4, 8):
@@ -482,6 +789,15 @@ def _type_message(dtype: np.dtype) -> bytes:
         return struct.pack("<B3BIHHBBBBI", 0x11, 0x20, sign, 0, size, 0, 8 * size, mantissa, exponent, 0, mantissa, bias)
     if dtype.kind == "S":
         return struct.pack("<B3BI", 0x13, 1, 0, 0, max(1, size))
+    if dtype.subdtype:
+        base, dims = dtype.subdtype
+        return struct.pack("<B3BIB", 0x3A, 0, 0, 0, size, len(dims)) + struct.pack(f"<{len(dims)}I", *dims) + _type_message(base)
+    if dtype.names:
+        wide = (max(size - 1, 1).bit_length() + 7) // 8
+        parts = b"".join(n.encode() + b"\0" + dtype.fields[n][1].to_bytes(wide, "little") + _type_message(dtype.fields[n][0]) for n in dtype.names)
+        return struct.pack("<BHBI", 0x36, len(dtype.names), 0, size) + parts
+    if dtype.kind == "O":  # strings of variable length
+        return struct.pack("<B3BI", 0x39, 1, 1, 0, 16) + _type_message(np.dtype("u1"))
     raise ContainerError(f"{dtype} can't be written")
 
 
@@ -491,8 +807,9 @@ def _header(messages: Sequence[tuple[int, bytes]]) -> bytes:
     return raw + struct.pack("<I", lookup3(raw))
 
 
-def _space_message(shape: Sequence[int]) -> bytes:
-    return struct.pack("<BBBB", 2, len(shape), 0, int(bool(shape))) + b"".join(struct.pack("<Q", n) for n in shape)
+def _space_message(shape: Sequence[int], most: Sequence[int | None] | None = None) -> bytes:
+    told = [*shape, *(NOWHERE if n is None else n for n in most or ())]
+    return struct.pack("<BBBB", 2, len(shape), int(bool(most)), int(bool(shape))) + b"".join(struct.pack("<Q", n) for n in told)
 
 
 def _attribute_message(name: str, value: object) -> bytes:
@@ -502,11 +819,19 @@ def _attribute_message(name: str, value: object) -> bytes:
     return struct.pack("<BBHHHB", 3, 0, len(n), len(t), len(s), 1) + n + t + s + (a.tobytes() or b"\0")
 
 
-def write(arrays: Mapping[str, np.ndarray], attributes: Mapping[str, Mapping[str, object]] | None = None, chunks: Mapping[str, Sequence[int]] | None = None, filters: Sequence[tuple[str, int]] = ()) -> bytes:
+# The writer's parameters: bits of a page's entries; of extensible arrays bits, entries in the index block, pointers and entries at least; of heaps width, first and largest block.
+PAGE_BITS, GROWING, HEAP, COMPACT = 10, (32, 4, 4, 16), (4, 512, 65536), 8
+
+
+def write(arrays: Mapping[str, np.ndarray], attributes: Mapping[str, Mapping[str, object]] | None = None, chunks: Mapping[str, Sequence[int]] | None = None, filters: Sequence[tuple[str, int]] = (), most: Mapping[str, Sequence[int | None]] | None = None) -> bytes:
     """One file's bytes: datasets by path (groups are made), attributes by path, chunk shapes by path.
 
-    filters hold for chunked datasets. Edge chunks are filled with 0. One chunk: single-chunk index; more: a fixed array.
+    filters hold for chunked datasets. most: the extents that a chunked dataset may grow to, at most one axis None (without bound).
+    Edge chunks are filled with 0. An axis without bound: extensible array; else one chunk: single-chunk index; more: a fixed array.
+    Objects with more than eight attributes or links keep them in a heap. Types: numbers, S strings, object arrays of str
+    (variable length), structured types, and integers whose dtype.metadata names an "enum".
     """
+    most = most or {}
     attributes, chunks = attributes or {}, chunks or {}
     out = bytearray(48)
     ids = {v: k for k, v in FILTER_NAMES.items()}
@@ -521,52 +846,159 @@ def write(arrays: Mapping[str, np.ndarray], attributes: Mapping[str, Mapping[str
             raise ContainerError(f"{path} can't be placed")
         node[parts[-1]] = path
 
+    def summed(raw: bytes) -> int:
+        return put(raw + struct.pack("<I", lookup3(raw)))
+
+    def kept(which: int, named: list[tuple[str, bytes]]) -> list[tuple[int, bytes]]:
+        """Messages for the header: each one, or for many of them one that points to a heap and a tree."""
+        if len(named) <= COMPACT:
+            return [(which, m) for _, m in named]
+        width, start, direct = HEAP
+        head, blocks = len(out), []  # blocks: [place in the heap, size, bytes in use, contents]
+        put(bytes(146))
+        places, ids = [], []
+        for _, m in named:
+            while not blocks or blocks[-1][2] + len(m) > blocks[-1][1]:
+                size = start << max(0, len(blocks) // width - 1)
+                if size > direct:
+                    raise ContainerError("too many messages")
+                blocks.append([sum(b[1] for b in blocks), size, 5 + 8 + 4, b""])
+            b = blocks[-1]
+            ids.append(struct.pack("<BIH", 0, b[0] + b[2], len(m)))
+            b[2] += len(m)
+            b[3] += m
+        for place, size, used, raw in blocks:
+            places.append(put((b"FHDB" + struct.pack("<BQI", 0, head, place) + raw).ljust(size, b"\0")) if used > 17 else NOWHERE)
+        rows = 0 if len(blocks) == 1 else -(-len(blocks) // width)
+        root = places[0]
+        if rows:
+            root = summed(b"FHIB" + struct.pack("<BQI", 0, head, 0) + b"".join(struct.pack("<Q", p) for p in [*places, *[NOWHERE] * (rows * width - len(places))]))
+        total = sum(b[1] for b in blocks)
+        told = b"FRHP" + struct.pack("<BHHBI", 0, 8, 0, 0, 4096) + struct.pack("<QQQQ", 0, NOWHERE, 0, NOWHERE) + struct.pack("<8Q", total, total, total, len(named), 0, 0, 0, 0) + struct.pack("<HQQHHQH", width, start, direct, 32, 1, root, rows)
+        told += struct.pack("<I", lookup3(told))
+        out[head : head + len(told)] = told
+        entries = sorted((lookup3(n.encode()), i) for (n, _), i in zip(named, ids, strict=True))
+        if which == LINK:
+            records = [struct.pack("<I", h) + i for h, i in entries]
+        else:
+            records = [i + b"\0" + struct.pack("<BII", 0, 0, h) for h, i in entries]
+        kind, size = (5, 11) if which == LINK else (8, 17)
+        node = max(512, 10 + size * len(records))
+        leaf = put((lambda raw: raw + struct.pack("<I", lookup3(raw)))(b"BTLF" + struct.pack("<BB", 0, kind) + b"".join(records)).ljust(node, b"\0"))
+        tree = summed(b"BTHD" + struct.pack("<BBIHHBBQHQ", 0, kind, node, size, 0, 100, 40, leaf, len(records), len(records)))
+        return [(LINKS if which == LINK else DENSE, struct.pack("<BBQQ", 0, 0, head, tree))]
+
     def attrs(path: str) -> list[tuple[int, bytes]]:
-        return [(ATTRIBUTE, _attribute_message(k, v)) for k, v in sorted(attributes.get(path, {}).items())]
+        return kept(ATTRIBUTE, [(k, _attribute_message(k, v)) for k, v in sorted(attributes.get(path, {}).items())])
+
+    def in_heaps(values: np.ndarray) -> np.ndarray:
+        """Strings of variable length: their bytes go to global heaps, what stays points to them."""
+        made, raws = np.zeros(values.size, [("n", "<u4"), ("heap", "<u8"), ("i", "<u4")]), [str(v).encode() for v in values.ravel()]
+        for lo in range(0, len(raws), 60000):
+            part = raws[lo : lo + 60000]
+            held = b"".join(struct.pack("<HHIQ", i + 1, 1, 0, len(r)) + r + bytes(-len(r) % 8) for i, r in enumerate(part))
+            size = max(4096, len(held) + 16)
+            at = put((b"GCOL" + struct.pack("<B3xQ", 1, size) + held + struct.pack("<HHIQ", 0, 0, 0, size - 16 - len(held)))[:size].ljust(size, b"\0"))
+            for i, r in enumerate(part):
+                made[lo + i] = (len(r), at, i + 1) if r else (0, 0, 0)
+        return made.reshape(values.shape)
 
     def dataset(path: str) -> int:
         a = np.ascontiguousarray(arrays[path])
-        a = a.astype(a.dtype.newbyteorder("<"))
-        head = [(SPACE, _space_message(a.shape)), (TYPE, _type_message(a.dtype))]
+        grows = most.get(path)
+        head = [(SPACE, _space_message(a.shape, grows)), (TYPE, _type_message(a.dtype))]
+        a = in_heaps(a) if a.dtype.kind == "O" else a.astype(a.dtype.newbyteorder("<"))
+        if grows and (path not in chunks or sum(n is None for n in grows) > 1 or any(n is not None and n < have for n, have in zip(grows, a.shape, strict=True))):
+            raise ContainerError(f"{path} can't grow to {grows}")
         if path not in chunks:
             at = put(a.tobytes()) if a.size else NOWHERE
             return put(_header([*head, (LAYOUT, struct.pack("<BBQQ", 3, 1, at, a.nbytes)), *attrs(path)]))
-        chunk = [min(c, max(n, 1)) for c, n in zip(chunks[path], a.shape, strict=True)]
-        counts = [-(-n // c) for n, c in zip(a.shape, chunk, strict=True)]
+        free = list(grows).index(None) if grows and None in grows else None
+        top = [have if n is None else n for n, have in zip(grows or a.shape, a.shape, strict=True)]
+        chunk = [c if d == free else min(c, max(n, 1)) for d, (c, n) in enumerate(zip(chunks[path], top, strict=True))]
         steps = [(n, a.itemsize if n == "shuffle" else v) for n, v in filters]
+        axes = sorted(range(a.ndim), key=lambda d: d != free)  # the axis without bound counts slowest
+        counts = [-(-top[d] // chunk[d]) for d in axes]
         held = []
         for i in range(prod(counts)):
-            offsets = [int(x) * c for x, c in zip(np.unravel_index(i, counts), chunk, strict=True)]
+            at = dict(zip(axes, np.unravel_index(i, counts), strict=True))
+            offsets = [int(at[d]) * chunk[d] for d in range(a.ndim)]
+            if any(o >= n for o, n in zip(offsets, a.shape, strict=True)):
+                held.append((NOWHERE, 0))
+                continue
             part = a[tuple(slice(o, o + c) for o, c in zip(offsets, chunk, strict=True))]
             full = np.zeros(chunk, a.dtype)
             full[tuple(slice(0, n) for n in part.shape)] = part
             raw = codecs.apply(full.tobytes(), steps)
             held.append((put(raw), len(raw)))
-        layout = struct.pack("<BBBBB", 4, 2, 2 * (len(held) == 1 and bool(steps)), len(chunk) + 1, 8) + b"".join(struct.pack("<Q", c) for c in (*chunk, a.itemsize))
-        if len(held) == 1:
+        single = len(held) == 1 and free is None
+        layout = struct.pack("<BBBBB", 4, 2, 2 * (single and bool(steps)), len(chunk) + 1, 8) + b"".join(struct.pack("<Q", c) for c in (*chunk, a.itemsize))
+        entries = [struct.pack("<QQI", at, n, 0) if steps else struct.pack("<Q", at) for at, n in held]
+        size, mark = 20 if steps else 8, bytes([0, bool(steps)])
+        if single:
             layout += b"\x01" + (struct.pack("<QI", held[0][1], 0) if steps else b"") + struct.pack("<Q", held[0][0])
-        else:
-            entries = b"".join(struct.pack("<QQI", at, n, 0) if steps else struct.pack("<Q", at) for at, n in held)
-            bits = max(10, (len(held) - 1).bit_length())
+        elif free is None:
             at = len(out)
-            head_size = 4 + 4 + 8 + 8 + 4
-            fahd = b"FAHD" + struct.pack("<BBBBQQ", 0, bool(steps), 20 if steps else 8, bits, len(held), at + head_size)
-            put(fahd + struct.pack("<I", lookup3(fahd)))
-            fadb = b"FADB" + struct.pack("<BBQ", 0, bool(steps), at) + entries
-            put(fadb + struct.pack("<I", lookup3(fadb)))
-            layout += b"\x03" + bytes([bits]) + struct.pack("<Q", at)
+            summed(b"FAHD" + mark + struct.pack("<BBQQ", size, PAGE_BITS, len(held), at + 28))
+            fadb = b"FADB" + mark + struct.pack("<Q", at)
+            if len(held) <= 1 << PAGE_BITS:
+                summed(fadb + b"".join(entries))
+            else:
+                pages = -(-len(held) >> PAGE_BITS)
+                there = sum(128 >> k % 8 << 8 * (k // 8) for k in range(pages))
+                summed(fadb + there.to_bytes((pages + 7) // 8, "little"))
+                for k in range(pages):
+                    summed(b"".join(entries[k << PAGE_BITS : k + 1 << PAGE_BITS]))
+            layout += b"\x03" + bytes([PAGE_BITS]) + struct.pack("<Q", at)
+        else:
+            layout += b"\x04" + bytes([GROWING[0], GROWING[1], GROWING[2], GROWING[3], PAGE_BITS]) + struct.pack("<Q", growing(entries, mark, size))
         if steps:
             listed = b"".join(struct.pack("<H", ids[n]) + (struct.pack("<H", 0) if ids[n] >= 256 else b"") + struct.pack("<HHI", 0, 1, v) for n, v in steps)
             head.append((FILTERS, struct.pack("<BB", 2, len(steps)) + listed))
         return put(_header([*head, (LAYOUT, layout), *attrs(path)]))
 
+    def growing(entries: list[bytes], mark: bytes, size: int) -> int:
+        """An extensible array of these entries; its header's place."""
+        bits, inline, pointers, least = GROWING
+        none = struct.pack("<QQI", NOWHERE, 0, 0) if size == 20 else struct.pack("<Q", NOWHERE)
+        filled = lambda lo, n: b"".join(entries[lo : lo + n]) + none * (n - len(entries[lo : lo + n]))
+        head, place = put(bytes(72)), (bits + 7) // 8
+
+        def block(lo: int, n: int) -> int:
+            start = b"EADB" + mark + struct.pack("<Q", head) + (lo - inline).to_bytes(place, "little")
+            if n <= 1 << PAGE_BITS:
+                return summed(start + filled(lo, n))
+            at = summed(start)
+            for k in range(lo, lo + n, 1 << PAGE_BITS):
+                summed(filled(k, 1 << PAGE_BITS))
+            return at
+
+        index, first, n_blocks, n_super = [], inline, 0, 0
+        for level, blocks, n in levels(bits, least):
+            direct = level < 2 * (pointers.bit_length() - 1)
+            at = [block(lo, n) if lo < len(entries) else NOWHERE for lo in range(first, first + blocks * n, n)] if direct or first < len(entries) else []
+            n_blocks += sum(x != NOWHERE for x in at)
+            if direct:
+                index += at
+            elif not at:
+                index.append(NOWHERE)
+            else:
+                marks = (-(-n >> PAGE_BITS) + 7) // 8 if n > 1 << PAGE_BITS else 0
+                index.append(summed(b"EASB" + mark + struct.pack("<Q", head) + (first - inline).to_bytes(place, "little") + b"\xff" * (marks * blocks) + struct.pack(f"<{blocks}Q", *at)))
+                n_super += 1
+            first += blocks * n
+        to = summed(b"EAIB" + mark + struct.pack("<Q", head) + filled(0, inline) + struct.pack(f"<{len(index)}Q", *index))
+        told = b"EAHD" + mark + bytes([size, bits, inline, least, pointers, PAGE_BITS]) + struct.pack("<7Q", n_super, 0, n_blocks, 0, len(entries), len(entries), to)
+        out[head : head + 72] = told + struct.pack("<I", lookup3(told))
+        return head
+
     def group(node: dict, path: str) -> int:
         links = []
         for name, x in sorted(node.items()):
             to = group(x, f"{path}/{name}".lstrip("/")) if isinstance(x, dict) else dataset(x)
             raw = name.encode()
-            links.append((LINK, struct.pack("<BBH", 1, 1, len(raw)) + raw + struct.pack("<Q", to)))
-        return put(_header([*links, *attrs(path)]))
+            links.append((name, struct.pack("<BBH", 1, 1, len(raw)) + raw + struct.pack("<Q", to)))
+        return put(_header([*kept(LINK, links), *attrs(path)]))
 
     root = group(tree, "")
     head = SIGNATURE + struct.pack("<BBBBQQQQ", 3, 8, 8, 0, 0, NOWHERE, len(out), root)

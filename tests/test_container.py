@@ -89,3 +89,73 @@ def test_broken_files(file):
         c.Container(file).find("nothing")
     with pytest.raises(c.ContainerError, match="placed"):
         c.write({"a": np.zeros(1), "a/b": np.zeros(1)})
+
+
+def test_types():
+    rec = np.array([(1.0, 2.0, 10, [1, 2]), (3.0, 4.0, 20, [3, 4])], [("x", "<f8"), ("y", "<f8"), ("id", "<i4"), ("pair", "<i4", (2,))])
+    colours = np.array([0, 1, 7], np.dtype("<i4", metadata={"enum": {"RED": 0, "GREEN": 1}}))
+    names = np.array(["Alice", "", "Zoë", "Bob" * 5000], object)
+    box = c.Container(c.write({"rec": rec, "colours": colours, "names": names}))
+    got = box.array("rec")
+    assert got["x"].tolist() == [1.0, 3.0] and got["id"].tolist() == [10, 20] and got["pair"].tolist() == [[1, 2], [3, 4]]
+    assert c.decoded(box.array("colours"), box.find("colours").kind) == ["RED", "GREEN", "UNKNOWN(0x07000000)"]
+    assert c.decoded(box.array("names"), box.find("names").kind, box) == names.tolist()
+
+
+def test_strings_of_variable_length_through_spark(spark, tmp_path):
+    (tmp_path / "a.h5").write_bytes(c.write({"names": np.array(["Alice", "Bob", "Charlie"], object)}, chunks={"names": (2,)}, filters=[("deflate", 6)]))
+    assert {(r.i0, r.value) for r in c.read(spark, str(tmp_path), "names", 1, kind="string").collect()} == {(0, "Alice"), (1, "Bob"), (2, "Charlie")}
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 36, 68, 500, 5000, 40000])
+@pytest.mark.parametrize("filters", [(), [("deflate", 1)]])
+def test_extensible_arrays(n, filters):
+    a = np.arange(n, dtype="i4")
+    box = c.Container(c.write({"a": a}, chunks={"a": (1 if n < 40000 else 3,)}, filters=filters, most={"a": (None,)}))
+    d = box.find("a")
+    assert d.layout[0] == "extensible" and d.most == (None,) and (box.array("a") == a).all()
+
+
+def test_growing_axes_count_slowest():
+    a = np.arange(7 * 9, dtype="f8").reshape(7, 9)
+    for most in ((7, None), (None, 9), (10, 20), (7, 9)):
+        box = c.Container(c.write({"a": a}, chunks={"a": (2, 2)}, most={"a": most}))
+        assert box.find("a").most == most and (box.array("a") == a).all(), most
+        assert {o for o, _ in box.blocks(box.find("a"), Hyperslab.slice((6, 40), (0, 2)))} == {(6, 0)}
+    with pytest.raises(c.ContainerError, match="grow"):
+        c.write({"a": a}, chunks={"a": (2, 2)}, most={"a": (None, None)})
+
+
+def test_paged_fixed_arrays():
+    a = np.arange(20000, dtype="i8")
+    for filters in ((), [("deflate", 1)]):
+        assert (c.Container(c.write({"a": a}, chunks={"a": (2,)}, filters=filters)).array("a") == a).all()
+
+
+@pytest.mark.parametrize("n", [9, 50, 2000])
+def test_many_links_and_attributes(n):
+    box = c.Container(c.write({f"g/d{i}": np.array([i]) for i in range(n)}, {"g": {f"a{i}": "x" * (i % 300) for i in range(n)}, "g/d0": {"units": "K"}}))
+    g = box.find("g")
+    assert g.attributes == {f"a{i}": "x" * (i % 300) for i in range(n)} and len(g.links) == n
+    assert box.array(f"g/d{n - 1}").tolist() == [n - 1] and box.find("g/d0").attributes == {"units": "K"}
+
+
+def test_record_trees_of_two_levels_and_committed_types():
+    """A version 2 tree of depth 1 as a chunk index, and a type that stands in another header, built by hand."""
+    size, node = 8 + 8, 64  # leaves of at most 3 records
+    out = bytearray(48)
+    put = lambda b: (len(out), out.extend(b))[0]
+    at = [put(np.array([2 * i, 2 * i + 1], "<i4").tobytes()) for i in range(5)]
+    rec = [struct.pack("<QQ", at[i], i) for i in range(5)]
+    leaves = [put((b"BTLF\0\x0a" + b"".join(rec[a:b])).ljust(node, b"\0")) for a, b in ((0, 2), (3, 5))]
+    root = put((b"BTIN\0\x0a" + rec[2] + b"".join(struct.pack("<QB", x, 2) for x in leaves)).ljust(node, b"\0"))
+    tree = put(b"BTHD" + struct.pack("<BBIHHBBQHQ", 0, 10, node, size, 1, 100, 40, root, 1, 5) + b"\0" * 4)
+    committed = put(c._header([(c.TYPE, c._type_message(np.dtype("<i4")))]))
+    layout = struct.pack("<BBBBBQQBIBBQ", 4, 2, 0, 2, 8, 2, 4, 5, node, 100, 40, tree)
+    body = b"".join(struct.pack("<BHB", k, len(m), f) + m for k, m, f in [(c.SPACE, c._space_message((10,), (None,)), 0), (c.TYPE, struct.pack("<BBQ", 3, 2, committed), 2), (c.LAYOUT, layout, 0)])
+    raw = b"OHDR" + struct.pack("<BBI", 2, 2, len(body)) + body
+    data = put(raw + struct.pack("<I", c.lookup3(raw)))
+    top = put(c._header([(c.LINK, struct.pack("<BBH", 1, 1, 1) + b"a" + struct.pack("<Q", data))]))
+    head = c.SIGNATURE + struct.pack("<BBBBQQQQ", 3, 8, 8, 0, 0, c.NOWHERE, len(out), top)
+    out[:48] = head + struct.pack("<I", c.lookup3(head))
+    assert c.Container(bytes(out)).array("a").tolist() == list(range(10))
