@@ -159,3 +159,24 @@ def test_record_trees_of_two_levels_and_committed_types():
     head = c.SIGNATURE + struct.pack("<BBBBQQQQ", 3, 8, 8, 0, 0, c.NOWHERE, len(out), top)
     out[:48] = head + struct.pack("<I", c.lookup3(head))
     assert c.Container(bytes(out)).array("a").tolist() == list(range(10))
+
+
+def test_altered_bytes_raise_only_container_errors():
+    data = c.write(
+        {"names": np.array(["Alice", "Bob"], object), "grows": np.arange(300.0), **{f"m/d{i}": np.array([i]) for i in range(12)}},
+        {"": {f"a{i}": i for i in range(20)}}, {"grows": (2,)}, [("deflate", 1)], {"grows": (None,)},
+    )
+    rng = np.random.default_rng(1)
+    altered = [data[:n] for n in range(0, len(data), 211)]
+    for _ in range(400):
+        d = bytearray(data)
+        d[rng.integers(len(d))] = rng.integers(256)
+        altered.append(bytes(d))
+    for d in altered:
+        try:
+            box = c.Container(d)
+            for path, x in box.walk():
+                if isinstance(x, c.Dataset):
+                    c.decoded(box.array(path), x.kind, box)
+        except c.ContainerError:
+            pass
