@@ -10,9 +10,10 @@ stays. Coordinates agree with the probability of the weighted Jaccard similarity
 Bands of coordinates are joined to buckets. Texts that are equal are one node from the start. In a bucket every
 node is held against a leader, by the exact similarity of both texts. Verified links join nodes to
 components. Leaders leave their buckets, and buckets in which several components are left get other
-leaders in the next round; from the second round on only while their leaders find links. So buckets
-of up to five nodes are searched through, and no bucket is ever expanded into its pairs. Two similar
-texts share several buckets; they are missed only if all of those hold many other texts and are left before one of them leads.
+leaders in the next round; from the second round on only while their leaders find links. No bucket
+is ever expanded into its pairs: the nodes of all buckets that then still hold several components
+are joined by their rarest shingles, which finds every similar pair among them. So each similar pair that
+shares a bucket is found, or is in one component without its own test.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrayloom.llm.common import checkpointed, map_arrow, packed, unpacked
 from arrayloom.llm.wordhash import U, mix, portions, shingles
 
 COORDINATES, ROWS = 252, 7
-#: Leaders of a bucket in the first round (most buckets hold one class) and in each later one. From the second round on, a bucket is left when its leaders find no link.
+#: Leaders of a bucket in the first round (most buckets hold one class) and in each later one. From the second round on, a bucket whose leaders find no link is left to the join by rare shingles.
 LEADERS, TURNS = (1, 3), 2
+#: Texts of one shingle that the join by rare shingles holds against all others in one part.
+PART = 1000
 SIMILARITY, SHINGLE = 0.8, 5
 EMPTY = np.iinfo(np.uint64).max
 
@@ -175,32 +178,43 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return unpacked(df, docs.columns, class_id=F.when(alone, F.col("__id")).otherwise(F.col("__class")), class_size=F.when(alone, F.lit(1)).otherwise(F.col("__n")).cast("long"))
 
 
+def _tested(pairs: DataFrame, texts: DataFrame, least: float, size: int, weighted: bool) -> DataFrame:
+    """The similar ones of pairs (a, b, la, lb, bucket), by the texts themselves."""
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+    whole = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "la", "lb", "bucket", "left", "right")
+    return checkpointed(map_arrow(whole, lambda b: _verify(b, size, least, weighted), "a bigint, b bigint, la bigint, lb bigint, bucket bigint", rows=250))
+
+
 def _linked(met: DataFrame, texts: DataFrame, least: float, size: int, weighted: bool) -> DataFrame | None:
     """Verified links (a, b), or None. met: (node, bucket) of buckets with several nodes."""
     state = met.select("bucket", "node", F.col("node").alias("label"))
-    links = tested = None
+    links = tested = rest = None
     turn = 0
     while True:
         turn += 1
-        # The leaders of a bucket are its least nodes under hashes that depend on the bucket and the turn.
-        keys = [F.xxhash64("node", "bucket", F.lit(turn), F.lit(j)) for j in range(LEADERS[min(turn, len(LEADERS)) - 1])]
+        # The leaders of a bucket are its least nodes under a hash of the turn, of different remainders so that they are different nodes.
+        # Buckets that hold the same nodes have the same leaders, so that a pair that shares many buckets is one test.
+        number = LEADERS[min(turn, len(LEADERS)) - 1]
+        key = F.xxhash64("node", F.lit(turn))
+        keys = [F.when(F.pmod(key, F.lit(number)) == j, key) for j in range(number)]
         chosen = [c.alias(f"{n}{j}") for j, key in enumerate(keys) for n, c in (("n", F.min_by("node", key)), ("m", F.min_by("label", key)))]
         lead = state.groupBy(F.col("bucket").alias("k")).agg(*chosen, F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("l0") != F.col("l1"))
-        lead = lead.select("k", F.array(*(F.struct(F.col(f"n{j}").alias("node"), F.col(f"m{j}").alias("label")) for j in range(len(keys)))).alias("leads"))
+        leads = F.array(*(F.struct(F.col(f"n{j}").alias("node"), F.col(f"m{j}").alias("label")) for j in range(number)))
+        lead = lead.select("k", F.filter(leads, lambda x: x["node"].isNotNull()).alias("leads"))
         live = checkpointed(state.join(lead, F.col("bucket") == F.col("k")).select("bucket", "node", "label", "leads"))
         # Within a component no pair needs a test, and none is tested twice.
         apart = live.select("bucket", "node", "label", F.explode(F.filter("leads", lambda x: x["label"] != F.col("label"))).alias("lead"))
         swap = F.col("lead.node") < F.col("node")
         pairs = apart.select("bucket", F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b"), F.when(swap, F.col("lead.label")).otherwise(F.col("label")).alias("la"), F.when(swap, F.col("label")).otherwise(F.col("lead.label")).alias("lb"))
+        # A link counts for all buckets that hold its pair.
+        credit = pairs.select("a", "b", F.col("bucket").alias("k"))
         pairs = pairs.groupBy("a", "b", "la", "lb").agg(F.min("bucket").alias("bucket"))
         pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         live = live.where(~F.array_contains("leads.node", F.col("node"))).select("bucket", "node", "label")
         some = pairs.limit(1).count()
         if some:
             tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-            left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-            whole = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "la", "lb", "bucket", "left", "right")
-            found = checkpointed(map_arrow(whole, lambda b: _verify(b, size, least, weighted), "a bigint, b bigint, la bigint, lb bigint, bucket bigint", rows=250))
+            found = _tested(pairs, texts, least, size, weighted)
             some = found.limit(1).count()
         if some:
             links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
@@ -209,9 +223,65 @@ def _linked(met: DataFrame, texts: DataFrame, least: float, size: int, weighted:
         else:
             state = live
         if turn >= TURNS:
+            going = checkpointed(credit.join(found.select("a", "b"), ["a", "b"]).select(F.col("k").alias("bucket")).distinct()) if some else None
+            left = (state.join(going, "bucket", "left_anti") if some else state).select("bucket", "node")
+            rest = left if rest is None else rest.union(left)
             if not some:
-                return links
-            state = state.join(found.select("bucket").distinct(), "bucket", "left_semi")
+                break
+            state = state.join(going, "bucket", "left_semi")
+    more = _by_rare_shingles(rest, links, tested, texts, least, size, weighted)
+    return links if more is None else more if links is None else links.union(more)
+
+
+def _elements(batches: Iterator[pa.RecordBatch], size: int, weighted: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each text (of a bag: for each copy of it), with their number."""
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        for lo, hi in portions(texts):
+            held = shingles(texts[lo:hi], size)
+            if weighted:
+                held = [(np.concatenate([mix(x[n > i] + U(i * 0x9E3779B97F4A7C15 & EMPTY)) for i in range(int(n.max()) if len(n) else 0)] or [x]), n) for x, n in held]
+            sizes = [len(x) for x, _ in held]
+            spread = lambda c: pa.array(np.repeat(c.slice(lo, hi - lo).to_numpy(), sizes))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([spread(b.column("node")), spread(b.column("label")), pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(np.concatenate([x for x, _ in held]).view(np.int64))], names=["node", "label", "n", "element"])
+
+
+def _by_rare_shingles(rest: DataFrame, links: DataFrame | None, tested: DataFrame | None, texts: DataFrame, least: float, size: int, weighted: bool) -> DataFrame | None:
+    """All links (a, b) between components among the nodes of rest (bucket, node), or None.
+
+    With the shingles of each text from rare to common, the first that two similar texts share stands so
+    early in both that enough can follow: in the first n - least * n + 1 of either, and of the
+    smaller in the first n - 2 * least / (1 + least) * n + 1. Only those are joined.
+    """
+    label = F.col("node")
+    if links is not None:
+        known = components(links).select(F.col("node").alias("to"), F.col("label").alias("of"))
+        rest, label = rest.join(known, F.col("node") == F.col("to"), "left"), F.coalesce("of", "node")
+    rest = checkpointed(rest.select("bucket", "node", label.alias("label")))
+    several = rest.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("l0") != F.col("l1")).select("bucket")
+    nodes = checkpointed(rest.join(several, "bucket").select("node", "label").distinct())
+    if not nodes.limit(1).count():
+        return None
+    held = checkpointed(map_arrow(texts.join(nodes, "node").select("node", "label", "text"), lambda b: _elements(b, size, weighted), "node bigint, label bigint, n bigint, element bigint", rows=250))
+    shared = held.groupBy("element").agg(F.count("*").alias("df"), F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("df") > 1)
+    whole = Window.partitionBy("node")
+    # Shingles of one text alone come first and are only counted.
+    place = F.col("n") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("df", "element"))
+    up = lambda share, n: F.ceil(F.lit(share) * n - 1e-9)
+    ranked = held.join(shared, "element").withColumn("place", place).where(F.col("l0") != F.col("l1"))
+    ranked = ranked.where(F.col("place") <= F.col("n") - up(least, F.col("n")) + 1).withColumn("parts", F.ceil(F.col("df") / PART).cast("int"))
+    ranked = checkpointed(ranked.select("element", "node", "label", "n", "place", "parts"))
+    small = ranked.where(F.col("place") <= F.col("n") - up(2 * least / (1 + least), F.col("n")) + 1).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    large = ranked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x, y = small.alias("x"), large.alias("y")
+    nx, ny = F.col("x.n"), F.col("y.n")
+    fits = (F.col("x.label") != F.col("y.label")) & ((nx < ny) | ((nx == ny) & (F.col("x.node") < F.col("y.node")))) & (nx >= up(least, ny))
+    fits = fits & (1 + F.least(nx - F.col("x.place"), ny - F.col("y.place")) >= up(least / (1 + least), nx + ny))
+    met = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.part") == F.col("y.part")) & fits)
+    swap = F.col("x.node") < F.col("y.node")
+    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.when(swap, F.col("x.label")).otherwise(F.col("y.label")).alias("la"), F.when(swap, F.col("y.label")).otherwise(F.col("x.label")).alias("lb"), F.lit(0).cast("long").alias("bucket")).distinct()
+    pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+    return _tested(pairs, texts, least, size, weighted).select("a", "b") if pairs.limit(1).count() else None
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:

@@ -111,6 +111,20 @@ def test_near_duplicates_by_brute_force(spark):
     assert stay.columns == df.columns and sorted(r.doc_id for r in stay.collect()) == sorted(set(got.values()))
 
 
+def test_near_duplicates_in_a_bucket_of_texts_just_under_the_bound(spark):
+    texts = []
+    for i in range(160):
+        # All hold the same 222 words, and each 33 of its own: any two are at 0.74 to 0.8. The first two of every twenty are near copies.
+        own = i - 1 if i % 20 == 1 else i
+        texts.append(" ".join([*(f"t{j}" for j in range(222)), *(f"own{own}x{j}" for j in range(33))]) + (" last" if i != own else ""))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = _brute_classes(texts)
+    assert len(set(want)) == 152
+    for weighted in (False, True):
+        got = {r.doc_id: r.class_id for r in minhash.classes(df, k=2, rows=1, weighted=weighted).collect()}  # two large buckets: few leaders
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = {(r.doc_id, r.class_id, r.class_size) for r in minhash.classes(odd).collect()}
     assert (7, 7, 2) in rows and (5, 5, 1) in rows and (None, 3, 2) in rows  # "x" and the line: 4 of 5 shingles
