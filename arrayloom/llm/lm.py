@@ -4,7 +4,9 @@ A small network predicts every token from the tokens of a window on both its sid
 token itself is masked. A document's score is the sum of the log-probabilities of its tokens.
 
 Tokens are words (see ``wordhash``): the commonest of the whole corpus have a number each, the others
-share numbers by their hash. The vocabulary counts all documents. Training visits all documents
+share numbers by their hash, as classes of words. The probability of such a word is that of its class, by the network, times
+that of the word in its class, by its count in all documents; words of no document of the fit have one count together. The
+table of counts grows with the corpus: it stays a table, and texts meet it by a join. Training visits all documents
 too: from a start that the driver fits on a bounded sample, each task goes on over the positions of
 its own documents, and the parameters are averaged by positions. They are added up as integers,
 in rounds of bounded groups, so the order of tasks doesn't matter and the driver meets a bounded number of rows.
@@ -54,10 +56,15 @@ class Net(NamedTuple):
 
 
 class Vocabulary(NamedTuple):
-    """Sorted hashes of the common words. Numbers: 0 is the border of a text, then the common words, then the shared numbers."""
+    """Sorted hashes of the common words. Numbers: 0 is the border of a text, then the common words, then the shared numbers.
+
+    totals: the tokens of each shared number. counts: (h, n), the words that occur more than once and have no number of their own.
+    """
 
     hashes: np.ndarray
     shared: int = SHARED
+    totals: np.ndarray | None = None
+    counts: DataFrame | None = None
 
     @property
     def size(self) -> int:
@@ -138,11 +145,16 @@ def vocabulary(texts: DataFrame, common: int = COMMON) -> Vocabulary:
             listed = b.column("text").to_pylist()
             for lo, hi in portions(listed):
                 h, n = np.unique(words(listed[lo:hi])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+                c = (mix(h) % U(SHARED)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(n, pa.int64())], names=["h", "c", "n"])
 
-    counts = map_arrow(texts, count, "h bigint, n bigint", rows=250).groupBy("h").agg(F.sum("n").alias("n"))
+    counts = checkpointed(map_arrow(texts, count, "h bigint, c bigint, n bigint", rows=250).groupBy("h", "c").agg(F.sum("n").alias("n")))
     top = counts.orderBy(F.col("n").desc(), "h").limit(common).collect()
-    return Vocabulary(np.sort(np.array([r.h for r in top], np.int64).view(U)))
+    others = counts.where(~F.col("h").isin([r.h for r in top])) if top else counts
+    totals = np.zeros(SHARED, np.int64)
+    for r in others.groupBy("c").agg(F.sum("n").alias("n")).collect():
+        totals[r.c] = r.n
+    return Vocabulary(np.sort(np.array([r.h for r in top], np.int64).view(U)), SHARED, totals, others.where("n > 1").select("h", "n"))
 
 
 def _positions(texts: list[str], words_of: Vocabulary, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +178,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", stride:
     few = texts.where(below(F.col("h"), 2 * START_DOCS, texts.count())).select("h", F.substring("text", 1, 20_000).alias("text"))
     seed = few.orderBy("h", "text").limit(START_DOCS).collect()
     net = train(Net.fresh(known.size), *_positions([r.text for r in seed], known, 1))
-    shared = docs.sparkSession.sparkContext.broadcast((known, net))
+    shared = docs.sparkSession.sparkContext.broadcast((known._replace(counts=None), net))
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, own = shared.value
@@ -210,7 +222,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_texts(texts: list[str], words_of: Vocabulary, net: Net) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, summed log-probabilities) of each text."""
+    """(tokens, summed log-probabilities of the tokens' numbers) of each text."""
     docs = numbered(texts, words_of)
     tokens, near = windows(docs)
     size = np.array([len(d) for d in docs], np.int64)
@@ -219,21 +231,51 @@ def score_texts(texts: list[str], words_of: Vocabulary, net: Net) -> tuple[np.nd
     return size, sums[ends] - sums[ends - size]
 
 
+def _shared_words(texts: list[str], words_of: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts' places, hashes, counts) of the words with shared numbers, and by text the summed logarithms of one more than their classes' tokens."""
+    h, first = words(texts)
+    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+    number = words_of.number(h) - 1 - len(words_of.hashes)
+    doc, h, number = doc[number >= 0], h[number >= 0], number[number >= 0]
+    below_ = np.bincount(doc, np.log(words_of.totals[number] + 1.0), len(texts))
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])[: len(h)])
+    return doc[new], h[new].view(np.int64), np.diff(np.append(new, len(h))), below_
+
+
 def score(docs: DataFrame, model: tuple[Vocabulary, Net], text_col: str = "text") -> DataFrame:
     """All columns and n_tokens, log_prob (the sum), mean_log_prob; these replace input columns of their names.
 
     Null text or text without words: 0 tokens, log_prob 0, null mean. Empty table: empty result.
     Equal texts get equal scores up to the rounding of sums. Whole texts are scored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    words_of, net = model
+    shared = docs.sparkSession.sparkContext.broadcast((words_of._replace(counts=None), net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             listed = [t or "" for t in b.column("__text").to_pylist()]
             for lo, hi in portions(listed):
                 n, s = score_texts(listed[lo:hi], *shared.value)
-                yield pa.RecordBatch.from_arrays([b.column("__row").slice(lo, hi - lo), pa.array(n), pa.array(np.round(s, 6))], names=["__row", "__n", "__s"])
+                s = s - _shared_words(listed[lo:hi], shared.value[0])[3]
+                cut = lambda c: b.column(c).slice(lo, hi - lo)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([cut("__row"), cut("__digest"), pa.array(n), pa.array(s)], names=["__row", "__digest", "__n", "__s"])
 
-    df = packed(docs, __text=F.col(text_col))
-    df = map_arrow(df, run, f"__row {df.schema['__row'].dataType.simpleString()}, __n bigint, __s double", rows=250)
+    def listed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            listed, digests = b.column("text").to_pylist(), b.column("digest")
+            for lo, hi in portions(listed):
+                doc, h, k, _ = _shared_words(listed[lo:hi], shared.value[0])
+                yield pa.RecordBatch.from_arrays([digests.take(pa.array(doc + lo)), pa.array(h), pa.array(k, pa.int64())], names=["d", "h", "k"])
+
+    digest = F.unhex(F.md5(text_col))
+    df = packed(docs, __text=F.col(text_col), __digest=digest)
+    df = map_arrow(df, run, f"__row {df.schema['__row'].dataType.simpleString()}, __digest binary, __n bigint, __s double", rows=250)
+    # The logarithms of the words' own counts; a count of 1 adds nothing.
+    texts = docs.where(F.col(text_col).isNotNull()).select(digest.alias("digest"), F.col(text_col).alias("text"))
+    copies = texts.groupBy("digest").agg(F.count("*").alias("copies"))
+    met = map_arrow(texts, listed_words, "d binary, h bigint, k bigint", rows=250).join(words_of.counts, "h")
+    own = met.groupBy("d").agg(F.sum(F.col("k") * F.log("n")).alias("own")).join(copies, F.col("d") == F.col("digest")).select("d", (F.col("own") / F.col("copies")).alias("own"))
+    df = df.join(own, F.col("__digest") == F.col("d"), "left").withColumn("__s", F.round(F.col("__s") + F.coalesce("own", F.lit(0.0)), 6))
     return unpacked(df, docs.columns, n_tokens=F.col("__n"), log_prob=F.col("__s"), mean_log_prob=F.when(F.col("__n") > 0, F.col("__s") / F.col("__n")))

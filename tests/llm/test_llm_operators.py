@@ -231,6 +231,22 @@ def test_pseudo_likelihood_by_brute_force(spark, odd, none):
     assert lm.score(none, lm.fit(none)).count() == 0
 
 
+def test_pseudo_likelihood_tells_words_of_a_class_apart(spark):
+    texts = ["common often"] * 3 + ["common rare"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known, net = lm.fit(df, common=1)
+    asked = spark.createDataFrame([(0, "often"), (1, "rare"), (2, "often"), (3, "never seen")], "doc_id long, text string")
+    got = {r.doc_id: r.log_prob for r in lm.score(asked, (known, net)).collect()}
+    counts = {"often": 3, "rare": 1}
+    for i, text in ((0, "often"), (1, "rare"), (2, "often"), (3, "never seen")):
+        numbers = lm.numbered(text.split(), known)
+        want = lm.score_texts([text], known, net)[1][0]
+        for word, number in zip(text.split(), numbers, strict=True):
+            total = sum(n for w, n in counts.items() if lm.numbered([w], known)[0][0] == number[0])
+            want += np.log(counts.get(word, 1) / (total + 1))
+        assert abs(got[i] - want) < 1e-5
+
+
 def test_training_lowers_the_loss():
     ids = np.tile(np.arange(1, 9), 400)
     tokens, near = lm.windows([ids])
