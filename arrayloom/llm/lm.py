@@ -6,8 +6,8 @@ token itself is masked. A document's score is the sum of the log-probabilities o
 Tokens are words (see ``wordhash``): the commonest of the whole corpus have a number each, the others
 share numbers by their hash, as classes of words. The probability of such a word is that of its class, by the network, times
 that of the word in its class, by its count in all documents; words of no document of the fit have one count together. The
-table of counts grows with the corpus: it stays a table, and texts meet it by a join. Training visits all documents
-too: from a start that the driver fits on a bounded sample, each task goes on over the positions of
+table of counts grows with the corpus: it stays a table, and texts meet it by a join. Training visits all positions of all documents
+too: from a start that knows only how often each number occurs in them, each task goes on over the positions of
 its own documents, and the parameters are averaged by positions. They are added up as integers,
 in rounds of bounded groups, so the order of tasks doesn't matter and the driver meets a bounded number of rows.
 """
@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import below, checkpointed, map_arrow, packed, unpacked
+from arrayloom.llm.common import checkpointed, map_arrow, packed, unpacked
 from arrayloom.llm.wordhash import U, mix, portions, words
 
 #: Words with a number of their own, numbers for all others, tokens seen to each side, hidden units.
 COMMON, SHARED, SIDE, HIDDEN = 191, 64, 2, 16
-#: Every STRIDE-th position of each document is trained on; positions of one step; rate; documents of the driver's start.
-STRIDE, STEP, RATE, START_DOCS = 4, 256, 0.2, 300
+#: Every STRIDE-th position of each document is trained on; positions of one step; rate.
+STRIDE, STEP, RATE = 1, 256, 0.2
 #: Parameters are added up as integers of this unit, in groups of so many rows.
 UNIT, GROUP = 2.0**-24, 8
 
@@ -58,13 +58,14 @@ class Net(NamedTuple):
 class Vocabulary(NamedTuple):
     """Sorted hashes of the common words. Numbers: 0 is the border of a text, then the common words, then the shared numbers.
 
-    totals: the tokens of each shared number. counts: (h, n), the words that occur more than once and have no number of their own.
+    totals: the tokens of each shared number. common: those of each common word. counts: (h, n), the words that occur more than once and have no number of their own.
     """
 
     hashes: np.ndarray
     shared: int = SHARED
     totals: np.ndarray | None = None
     counts: DataFrame | None = None
+    common: np.ndarray | None = None
 
     @property
     def size(self) -> int:
@@ -154,7 +155,9 @@ def vocabulary(texts: DataFrame, common: int = COMMON) -> Vocabulary:
     totals = np.zeros(SHARED, np.int64)
     for r in others.groupBy("c").agg(F.sum("n").alias("n")).collect():
         totals[r.c] = r.n
-    return Vocabulary(np.sort(np.array([r.h for r in top], np.int64).view(U)), SHARED, totals, others.where("n > 1").select("h", "n"))
+    hashes = np.array([r.h for r in top], np.int64).view(U)
+    order = np.argsort(hashes)
+    return Vocabulary(hashes[order], SHARED, totals, others.where("n > 1").select("h", "n"), np.array([r.n for r in top], np.int64)[order])
 
 
 def _positions(texts: list[str], words_of: Vocabulary, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,14 +173,14 @@ def _positions(texts: list[str], words_of: Vocabulary, stride: int) -> tuple[np.
     return tokens[chosen], near[chosen]
 
 
-def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", stride: int = STRIDE, common: int = COMMON) -> tuple[Vocabulary, Net]:
+def fit(docs: DataFrame, text_col: str = "text", stride: int = STRIDE, common: int = COMMON) -> tuple[Vocabulary, Net]:
     """The vocabulary and network of all non-null texts."""
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    known = vocabulary(texts.select("text"), common)
-    # The start: a bounded sample on the driver (the smallest hashes of ids, 20 000 characters of each text at most).
-    few = texts.where(below(F.col("h"), 2 * START_DOCS, texts.count())).select("h", F.substring("text", 1, 20_000).alias("text"))
-    seed = few.orderBy("h", "text").limit(START_DOCS).collect()
-    net = train(Net.fresh(known.size), *_positions([r.text for r in seed], known, 1))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    known = vocabulary(texts, common)
+    # The start: each number as probable as it is frequent in all texts.
+    often = np.concatenate([[0], known.common, known.totals]) + 1.0
+    net = Net.fresh(known.size)
+    net = net._replace(level=np.clip(np.log(often / often.sum()), -12, 12).astype(np.float32))
     shared = docs.sparkSession.sparkContext.broadcast((known._replace(counts=None), net))
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +196,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", stride:
             whole = np.rint(own.flat().astype(np.float64) / UNIT).astype(np.int64)
             yield _row([int(x) * seen for x in whole.tolist()], seen)
 
-    sums = checkpointed(map_arrow(texts.select("text"), go_on, "sums array<decimal(38,0)>, n bigint", rows=250))
+    sums = checkpointed(map_arrow(texts, go_on, "sums array<decimal(38,0)>, n bigint", rows=250))
     while (left := sums.count()) > GROUP:
         sums = checkpointed(map_arrow(sums.repartition(-(-left // GROUP)), _added, "sums array<decimal(38,0)>, n bigint", rows=8))
     rows = sums.collect()

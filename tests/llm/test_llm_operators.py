@@ -247,6 +247,17 @@ def test_pseudo_likelihood_tells_words_of_a_class_apart(spark):
         assert abs(got[i] - want) < 1e-5
 
 
+def test_training_takes_every_position_of_whole_texts(spark):
+    texts = ["one two three four five six seven " * 5 + f"tail{i}" for i in range(6)] + ["long words " * 2500 + "the end of a long text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    known, net = lm.fit(df)
+    often = np.bincount(np.concatenate(lm.numbered(texts, known)), minlength=known.size) + 1.0
+    start = lm.Net.fresh(known.size)._replace(level=np.log(often / often.sum()).astype(np.float32))
+    want = lm.train(start, *lm._positions(texts, known, 1))
+    for got, part in zip(net, want, strict=True):
+        assert np.allclose(got, part, atol=1e-4)
+
+
 def test_training_lowers_the_loss():
     ids = np.tile(np.arange(1, 9), 400)
     tokens, near = lm.windows([ids])
