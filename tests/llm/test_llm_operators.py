@@ -290,17 +290,84 @@ def test_pieces_like_the_library():
         assert got == ids and back == text
 
 
-def test_unigram_shortest_path():
+def _small_model(kind, entries, dummy=True, strip=False, table=b"", fallback=False):
+    """A model of so many (piece, score), with bytes as pieces if asked for."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
-    for piece, score, kind in [("<unk>", 0, 2), ("▁", -3, 1), ("a", -2, 1), ("b", -2, 1), ("ab", -2.5, 1), ("▁ab", -6, 1), ("abb", -9, 1)]:
+    own = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256 if fallback else 0)), *((p, s, 1) for p, s in entries)]
+    for piece, score, kind_ in own:
         p = m.pieces.add()
-        p.piece, p.score, p.type = piece, score, kind
-    m.trainer_spec.model_type = 1
-    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = True, False
-    machine = pieces.Transducer(m.SerializeToString())
-    assert machine._cheapest("▁abb") == ["▁", "ab", "b"] and machine._cheapest("▁aé") == ["▁", "a", "é"]
+        p.piece, p.score, p.type = piece, score, kind_
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = kind, fallback, len(own)
+    n = m.normalizer_spec
+    n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces, n.precompiled_charsmap = dummy, strip, True, table
+    return m.SerializeToString()
+
+
+def test_shortest_path_by_trying_all_paths():
+    rng = random.Random(11)
+    for _ in range(30):
+        entries = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))): -rng.randrange(100, 1000) / 64 for _ in range(8)}
+        machine = pieces.Transducer(_small_model(1, entries.items(), dummy=False, fallback=True))
+
+        def paths(text):
+            if not text:
+                yield 0.0, []
+            for n in range(1, len(text) + 1):
+                cost = machine.cost.get(text[:n], machine.worst if n == 1 else None)
+                if cost is not None:
+                    yield from ((cost + c, [text[:n], *rest]) for c, rest in paths(text[n:]))
+
+        for _ in range(10):
+            text = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8)))
+            got = [machine.names[p] for p in next(machine.shortest([text]))]
+            assert "".join(got) == text
+            want = sum(machine.cost.get(p, machine.worst) for p in got)
+            assert abs(want - min(c for c, _ in paths(text))) < 1e-9
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("strip", [False, True])
+def test_small_models_like_the_library(kind, fallback, strip):
+    import sentencepiece
+
+    table = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    spec = pb.ModelProto()
+    spec.ParseFromString(table.serialized_model_proto())
+    entries = [("▁", -3.0), ("a", -2.25), ("b", -2.5), ("ab", -3.125), ("▁a", -4.0), ("▁ab", -4.75), ("abb", -6.5), ("ba", -4.25), ("f", -5.0), ("i", -5.5), ("fi", -7.0), ("1", -6.0), ("/", -6.25), ("2", -6.75)]
+    rng = random.Random(kind)
+    for chars in (b"", spec.normalizer_spec.precompiled_charsmap):
+        model = _small_model(kind, entries, strip=strip, table=chars, fallback=fallback)
+        parts = ["a", "b", "ab", " ", "  ", "ﬁ", "½", "Ａ", "é", "é", "\t", "　", "x", "漢", "가"]
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(400)]
+        want = sentencepiece.SentencePieceProcessor(model_proto=model).encode(texts)
+        got = [np.frombuffer(e, "<i4").tolist() for e in pieces.Transducer(model).encode(texts)]
+        assert got == want
+
+
+def test_pieces_through_spark_like_the_library(spark, sf):
+    import sentencepiece
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rows = pieces.decode(pieces.encode(docs)).select("text", "tokens", "n_tokens", "decoded").collect()
+    assert [r.tokens for r in rows] == library.encode([r.text for r in rows])
+    assert all(r.decoded == r.text and r.n_tokens == len(r.tokens) for r in rows)
+
+
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    with open(pieces.MODEL, "rb") as f:
+        machine = pieces.Transducer(f.read())
+    texts = [f"word{i} {'long' * 50}{i}" for i in range(500)]
+    want = machine.encode(texts)
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", 5000)
+    monkeypatch.setattr(pieces, "REMEMBERED_PAIRS", 20)
+    machine.known.clear(), machine.borders.clear()
+    assert machine.encode(texts) == want and len(machine.borders) <= 20
 
 
 def test_pieces_of_odd_rows(odd, none):
