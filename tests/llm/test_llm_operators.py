@@ -213,6 +213,39 @@ def test_mixing(odd, none, spark, sf):
     assert mixing.mixed(docs).count() == mixing.mix(docs).agg(F.sum("copies")).collect()[0][0]
 
 
+def test_mixing_takes_documents_by_their_own_probabilities(spark, monkeypatch):
+    # One source of six sizes; with half as many words as there are, the expected copies rise with the preference.
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.concat_ws(" ", F.array_repeat(F.lit("w"), F.pow(F.lit(4), F.col("id") % 6).cast("int"))).alias("text"))
+    for share in (0.5, 1.3):
+        rows = mixing.decide(df, share=share).collect()
+        by = {}
+        for r in rows:
+            by.setdefault(r.size, []).append(r.copies)
+        grades = {size: 4 + len(bin(size)) - 2 for size in by}
+        total = sum(size * len(c) for size, c in by.items())
+        low, high = 0.0, 1.0
+        for _ in range(80):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(size * len(c) * min(2, level * grades[size]) for size, c in by.items()) < share * total else (low, level)
+        assert abs(sum(r.taken for r in rows) - share * total) <= max(by) / 2 + 1e-6
+        for size, c in by.items():
+            want = min(2.0, low * grades[size])
+            assert set(c) <= {int(want), min(2, int(want) + 1)} and abs(sum(c) / len(c) - want) < 0.06
+    # A table of sources too long to be broadcast gives the same.
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert sorted((r.doc_id, r.taken) for r in mixing.decide(df, share=1.3).collect()) == sorted((r.doc_id, r.taken) for r in rows)
+    with pytest.raises(ValueError, match="whole number"):
+        mixing.mix(df, most=1.5)
+
+
+def test_mixing_gives_one_row_a_document_whatever_is_null(odd, spark):
+    narrow = mixing.decide(odd).collect()
+    assert len(narrow) == odd.count() and {r.taken for r in narrow if r.doc_id in (5, 6)} == {0}
+    empty = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (None, "x y", None), (3, "x", None)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.size, r.source_size, r.taken) for r in mixing.decide(empty).collect()}
+    assert got[1] == (0, 0, 0) and got[2] == (0, 0, 0) and got[None][:2] == (2, 3) and got[3][:2] == (1, 3)
+
+
 def test_pseudo_likelihood_by_brute_force(spark, odd, none):
     texts = ["The cat sat on the mat and the dog sat too", "one", "", "a b c d e f g a b c"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
