@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 
 #: Rows and bytes of an Arrow batch handed to Python; a batch of very long texts stays small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 BATCH_BYTES = 16 << 20
 
 
@@ -21,21 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds, so that Python memory doesn't follow the text length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, so that Python memory doesn't follow the text length.
+
+    Spark has only session settings for that. They are the same for all operators, and a smaller one of the user's own stays.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(name)).lower().rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, most)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only a session that names none (a test on one machine) gets a temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a session on one machine (a test) that names none gets a temporary one."""
     sc = spark.sparkContext
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or _own_folder(spark)
-
-
-def _own_folder(spark: SparkSession) -> str:
-    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
-    return spark.sparkContext.getCheckpointDir()
+    if named := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
+        return named
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
+    return sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -71,8 +76,8 @@ def replaced(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*(by.get(c.lower(), F.col("__row").getField(c)).alias(c) for c in columns))
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    bounded_batches(df.sparkSession, rows)
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
@@ -81,6 +86,26 @@ def sized(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of one key that meet in one task at least; a thousandth of all rows if that is more.
+PART = 1000
+
+
+def spread(rows: DataFrame, few: DataFrame, key: str, counts: DataFrame, total: int, salt: Column, how: str = "inner") -> DataFrame:
+    """rows with their row of few by key; the rows of a frequent key meet it in parts, so that no key fills a task.
+
+    few: one row a key at most. counts: (key, __n), the rows of (at least the frequent) keys. total: all rows. salt: a value that differs between rows of a key.
+    At most some thousand keys are that frequent; they are counted before they are sent.
+    """
+    part = max(PART, total // 1000)
+    hot = checkpointed(counts.where(F.col("__n") > part).select(F.col(key).alias("__hot"), F.ceil(F.col("__n") / part).cast("int").alias("__parts")))
+    if not hot.limit(1).count():
+        return rows.join(few, key, how)
+    hot = sized(hot)
+    rows = rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(salt), F.col("__parts")).cast("int"), F.lit(0))).drop("__hot", "__parts")
+    few = few.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts") - 1, F.lit(0))))).drop("__hot", "__parts")
+    return rows.join(few, [key, "__salt"], how).drop("__salt")
+
+
 def below(h: Column, wanted: int, total: int | Column) -> Column:
     """Whether a 64-bit hash is so small that about ``wanted`` of ``total`` rows are: a sample whose tasks all send little, whatever their number."""
     total = F.lit(total) if isinstance(total, int) else total

@@ -149,7 +149,7 @@ def vocabulary(texts: DataFrame, common: int = COMMON) -> Vocabulary:
                 c = (mix(h) % U(SHARED)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(n, pa.int64())], names=["h", "c", "n"])
 
-    counts = checkpointed(map_arrow(texts, count, "h bigint, c bigint, n bigint", rows=250).groupBy("h", "c").agg(F.sum("n").alias("n")))
+    counts = checkpointed(map_arrow(texts, count, "h bigint, c bigint, n bigint").groupBy("h", "c").agg(F.sum("n").alias("n")))
     top = counts.orderBy(F.col("n").desc(), "h").limit(common).collect()
     others = counts.where(~F.col("h").isin([r.h for r in top])) if top else counts
     totals = np.zeros(SHARED, np.int64)
@@ -196,9 +196,9 @@ def fit(docs: DataFrame, text_col: str = "text", stride: int = STRIDE, common: i
             whole = np.rint(own.flat().astype(np.float64) / UNIT).astype(np.int64)
             yield _row([int(x) * seen for x in whole.tolist()], seen)
 
-    sums = checkpointed(map_arrow(texts, go_on, "sums array<decimal(38,0)>, n bigint", rows=250))
+    sums = checkpointed(map_arrow(texts, go_on, "sums array<decimal(38,0)>, n bigint"))
     while (left := sums.count()) > GROUP:
-        sums = checkpointed(map_arrow(sums.repartition(-(-left // GROUP)), _added, "sums array<decimal(38,0)>, n bigint", rows=8))
+        sums = checkpointed(map_arrow(sums.repartition(-(-left // GROUP)), _added, "sums array<decimal(38,0)>, n bigint"))
     rows = sums.collect()
     seen = sum(r.n for r in rows)
     if not seen:
@@ -274,11 +274,11 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Net], text_col: str = "text"
 
     digest = F.unhex(F.md5(text_col))
     df = packed(docs, __text=F.col(text_col), __digest=digest)
-    df = map_arrow(df, run, f"__row {df.schema['__row'].dataType.simpleString()}, __digest binary, __n bigint, __s double", rows=250)
+    df = map_arrow(df, run, f"__row {df.schema['__row'].dataType.simpleString()}, __digest binary, __n bigint, __s double")
     # The logarithms of the words' own counts; a count of 1 adds nothing.
     texts = docs.where(F.col(text_col).isNotNull()).select(digest.alias("digest"), F.col(text_col).alias("text"))
     copies = texts.groupBy("digest").agg(F.count("*").alias("copies"))
-    met = map_arrow(texts, listed_words, "d binary, h bigint, k bigint", rows=250).join(words_of.counts, "h")
+    met = map_arrow(texts, listed_words, "d binary, h bigint, k bigint").join(words_of.counts, "h")
     own = met.groupBy("d").agg(F.sum(F.col("k") * F.log("n")).alias("own")).join(copies, F.col("d") == F.col("digest")).select("d", (F.col("own") / F.col("copies")).alias("own"))
     df = df.join(own, F.col("__digest") == F.col("d"), "left").withColumn("__s", F.round(F.col("__s") + F.coalesce("own", F.lit(0.0)), 6))
     return unpacked(df, docs.columns, n_tokens=F.col("__n"), log_prob=F.col("__s"), mean_log_prob=F.when(F.col("__n") > 0, F.col("__s") / F.col("__n")))

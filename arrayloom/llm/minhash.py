@@ -1,6 +1,6 @@
 """Near-duplicate detection by DartMinHash.
 
-A text is a set of five-word shingles (or a bag: then a shingle weighs its count). Darts are
+A text is a bag of five-word shingles, in which a shingle weighs its count (or a set, if asked for). Darts are
 thrown at regions of (weight, rank) that belong to a shingle: the darts of a region are a Poisson
 process whose gaps, weights and coordinates are hashes of the shingle, so that two texts share
 the darts of the part of the region that they share. Of the darts under the text's weight and
@@ -26,14 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import checkpointed, map_arrow, packed, unpacked
+from arrayloom.llm.common import PART, checkpointed, map_arrow, packed, sized, spread, unpacked
 from arrayloom.llm.wordhash import U, mix, portions, shingles
 
 COORDINATES, ROWS = 252, 7
 #: Leaders of a bucket in the first round (most buckets hold one class) and in each later one. From the second round on, a bucket whose leaders find no link is left to the join by rare shingles.
 LEADERS, TURNS = (1, 3), 2
-#: Texts of one shingle that the join by rare shingles holds against all others in one part.
-PART = 1000
 SIMILARITY, SHINGLE = 0.8, 5
 EMPTY = np.iinfo(np.uint64).max
 
@@ -112,51 +110,67 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, k: int, rows: int, wei
 
 
 def _verify(batches: Iterator[pa.RecordBatch], size: int, least: float, weighted: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose text is similar to that of the row without b that comes before them."""
+    own = None
     for b in batches:
-        left, right = b.column("left").to_pylist(), b.column("right").to_pylist()
-        texts = list({*left, *right})
-        made = dict(zip(texts, shingles(texts, size), strict=True))
-        good = pa.array([similarity(made[x], made[y], weighted) >= least for x, y in zip(left, right, strict=True)], pa.bool_())
-        yield b.select(["a", "b", "la", "lb", "bucket"]).filter(good)
+        texts, heads = b.column("text").to_pylist(), b.column("b").is_null().to_pylist()
+        good = []
+        for lo, hi in portions(texts):
+            for made, head in zip(shingles(texts[lo:hi], size), heads[lo:hi], strict=True):
+                if head:
+                    own = made
+                good.append(not head and similarity(own, made, weighted) >= least)
+        yield b.select(["a", "b", "la", "lb", "bucket"]).filter(pa.array(good, pa.bool_()))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component. links: a, b (long).
 
     Each round takes the smallest label among a node's neighbours, then the label of that label,
-    until none changes.
+    until none changes. Nodes with many links and labels of many nodes are met in parts.
     """
     both = checkpointed(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    degrees = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("__n"), F.least(F.min("a"), F.min("b")).alias("label"))
+    degrees = checkpointed(degrees)
+    labels, links_in_all, nodes_in_all = degrees.select("node", "label"), both.count(), degrees.count()
+    near_by = both.select(F.col("a").alias("node"), "b")
     while True:
-        told = both.join(labels, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "label")
-        near = told.union(labels).groupBy("node").agg(F.min("label").alias("near"))
-        jump = near.join(labels.select(F.col("node").alias("to"), F.col("label").alias("far")), F.col("near") == F.col("to"), "left")
-        now = jump.select("node", F.least("near", F.coalesce("far", "near")).alias("label"))
-        old = labels.select("node", F.col("label").alias("was"))
-        new = checkpointed(now.join(old, "node"))
+        told = spread(near_by, labels, "node", degrees.select("node", "__n"), links_in_all, F.col("b")).select(F.col("b").alias("node"), "label")
+        near = checkpointed(told.union(labels).groupBy("node").agg(F.min("label").alias("near")))
+        far = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
+        now = spread(near, far, "near", near.groupBy("near").agg(F.count("*").alias("__n")), nodes_in_all, F.col("node"), "left")
+        now = now.select("node", F.least("near", F.coalesce("far", "near")).alias("label"))
+        new = checkpointed(now.join(labels.select("node", F.col("label").alias("was")), "node"))
         changed = new.where(F.col("label") != F.col("was")).limit(1).count()
         labels = new.select("node", "label")
         if not changed:
             return labels
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, size: int = SHINGLE, k: int = COORDINATES, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, size: int = SHINGLE, k: int = COORDINATES, rows: int = ROWS, weighted: bool = True) -> DataFrame:
     """All columns and class_id (the smallest id of the row's class) and class_size (rows); they replace columns of their names.
 
-    A class joins equal texts and all texts that verified links connect. Two texts of similarity s
+    A class joins equal texts and all texts that verified links connect. The similarity of two texts is that of their bags of
+    shingles (weighted: a shingle weighs its count) or of their sets. Two texts of similarity s
     share a band with probability 1 - (1 - s**rows)**(k // rows): 0.9998 at 0.8. A text without words
     is in a class with equal texts only; a row with null text is a class of its own. A null id
-    takes no part in the choice of the smallest. Rows that repeat are copies. Empty table: empty result.
+    takes no part in the choice of the smallest; a class without ids has a null class_id. Rows that repeat are copies. Empty table: empty result.
     """
+    df = _classed(docs, id_col, text_col, least, size, k, rows, weighted)
+    return unpacked(df, docs.columns, class_id=F.col("__class"), class_size=F.col("__n").cast("long"))
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, least: float, size: int, k: int, rows: int, weighted: bool) -> DataFrame:
+    """__row, __id, __label (a number of the class; null for a null text), __class and __n."""
     known = docs.where(F.col(text_col).isNotNull()).select(F.unhex(F.md5(text_col)).alias("digest"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    sketched = map_arrow(known, lambda b: _sketch(b, size, k, rows, weighted), f"digest binary, id {id_type}, bands array<bigint>", rows=250)
+    sketched = map_arrow(known, lambda b: _sketch(b, size, k, rows, weighted), f"digest binary, id {id_type}, bands array<bigint>")
     nodes = sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
     held = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("bucket"))
-    shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("bucket")
-    met = checkpointed(held.join(shared, "bucket"))
+    shared = checkpointed(held.groupBy("bucket").agg(F.count("*").alias("__n")).where(F.col("__n") > 1))
+    number = nodes.count()
+    met = checkpointed(spread(held, shared.select("bucket"), "bucket", shared, number, F.col("node")))
     labels = None
     if met.limit(1).count():
         texts = known.groupBy("digest").agg(F.first("text").alias("text"))
@@ -166,30 +180,41 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         labels = components(links) if links is not None else None
     out = nodes.select("digest", "node", "rep", "copies")
     if labels is None:
-        out = out.select("digest", F.col("rep").alias("class_id"), F.col("copies").alias("class_size"))
+        out = out.select("digest", F.col("node").alias("label"), F.col("rep").alias("class_id"), F.col("copies").alias("class_size"))
     else:
-        out = out.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        whole = out.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-        out = out.select("digest", "label").join(whole, "label").select("digest", "class_id", "class_size")
+        out = checkpointed(out.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        whole = checkpointed(out.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("__n")))
+        out = spread(out.select("digest", "label", "copies"), whole.drop("__n"), "label", whole.select("label", "__n"), number, F.col("digest"))
+    copies = nodes.select(F.col("digest").alias("__digest"), F.col("copies").alias("__n"))
+    out = out.select(F.col("digest").alias("__digest"), F.col("label").alias("__label"), F.col("class_id").alias("__class"), F.col("class_size").alias("__size"))
     df = packed(docs, __id=F.col(id_col), __digest=F.unhex(F.md5(text_col)))
-    out = out.select(F.col("digest").alias("__d"), F.col("class_id").alias("__class"), F.col("class_size").alias("__n"))
-    df = df.join(out, F.col("__digest") == F.col("__d"), "left")
+    df = spread(df, out, "__digest", copies, docs.count(), F.col("__id"), "left")
     alone = F.col("__digest").isNull()
-    return unpacked(df, docs.columns, class_id=F.when(alone, F.col("__id")).otherwise(F.col("__class")), class_size=F.when(alone, F.lit(1)).otherwise(F.col("__n")).cast("long"))
+    return df.select("__row", "__id", "__label", F.when(alone, F.col("__id")).otherwise(F.col("__class")).alias("__class"), F.when(alone, F.lit(1)).otherwise(F.col("__size")).alias("__n"))
 
 
 def _tested(pairs: DataFrame, texts: DataFrame, least: float, size: int, weighted: bool) -> DataFrame:
-    """The similar ones of pairs (a, b, la, lb, bucket), by the texts themselves."""
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    whole = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "la", "lb", "bucket", "left", "right")
-    return checkpointed(map_arrow(whole, lambda b: _verify(b, size, least, weighted), "a bigint, b bigint, la bigint, lb bigint, bucket bigint", rows=250))
+    """The similar ones of pairs (a, b, la, lb, bucket), by the texts themselves.
+
+    In every pair the text of a is a leader's, which many pairs share: it is sent once to each part of its pairs and
+    meets them in a stream. pairs: checkpointed.
+    """
+    total = pairs.count()
+    part = max(PART, total // 1000)
+    hot = sized(checkpointed(pairs.groupBy(F.col("a").alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > part).select("hot", F.ceil(F.col("n") / part).cast("int").alias("parts"))))
+    dealt = pairs.join(hot, F.col("a") == F.col("hot"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))).drop("hot", "parts")
+    heads = dealt.select("a", "part").distinct().join(texts.select(F.col("node").alias("a"), "text"), "a")
+    none = F.lit(None).cast("long")
+    rows = dealt.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "part", "b", "la", "lb", "bucket", "text")
+    rows = rows.union(heads.select("a", "part", none, none, none, none, "text")).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return checkpointed(map_arrow(rows.drop("part"), lambda b: _verify(b, size, least, weighted), "a bigint, b bigint, la bigint, lb bigint, bucket bigint"))
 
 
 def _linked(met: DataFrame, texts: DataFrame, least: float, size: int, weighted: bool) -> DataFrame | None:
     """Verified links (a, b), or None. met: (node, bucket) of buckets with several nodes."""
     state = met.select("bucket", "node", F.col("node").alias("label"))
     links = tested = rest = None
-    turn = 0
+    turn, total = 0, met.count()
     while True:
         turn += 1
         # The leaders of a bucket are its least nodes under a hash of the turn, of different remainders so that they are different nodes.
@@ -198,18 +223,17 @@ def _linked(met: DataFrame, texts: DataFrame, least: float, size: int, weighted:
         key = F.xxhash64("node", F.lit(turn))
         keys = [F.when(F.pmod(key, F.lit(number)) == j, key) for j in range(number)]
         chosen = [c.alias(f"{n}{j}") for j, key in enumerate(keys) for n, c in (("n", F.min_by("node", key)), ("m", F.min_by("label", key)))]
-        lead = state.groupBy(F.col("bucket").alias("k")).agg(*chosen, F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("l0") != F.col("l1"))
+        lead = checkpointed(state.groupBy("bucket").agg(*chosen, F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("__n")).where(F.col("l0") != F.col("l1")))
         leads = F.array(*(F.struct(F.col(f"n{j}").alias("node"), F.col(f"m{j}").alias("label")) for j in range(number)))
-        lead = lead.select("k", F.filter(leads, lambda x: x["node"].isNotNull()).alias("leads"))
-        live = checkpointed(state.join(lead, F.col("bucket") == F.col("k")).select("bucket", "node", "label", "leads"))
+        led = lead.select("bucket", F.filter(leads, lambda x: x["node"].isNotNull()).alias("leads"))
+        live = checkpointed(spread(state, led, "bucket", lead.select("bucket", "__n"), total, F.col("node")).select("bucket", "node", "label", "leads"))
         # Within a component no pair needs a test, and none is tested twice.
         apart = live.select("bucket", "node", "label", F.explode(F.filter("leads", lambda x: x["label"] != F.col("label"))).alias("lead"))
-        swap = F.col("lead.node") < F.col("node")
-        pairs = apart.select("bucket", F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b"), F.when(swap, F.col("lead.label")).otherwise(F.col("label")).alias("la"), F.when(swap, F.col("label")).otherwise(F.col("lead.label")).alias("lb"))
+        pairs = apart.select("bucket", F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.label").alias("la"), F.col("label").alias("lb"))
         # A link counts for all buckets that hold its pair.
         credit = pairs.select("a", "b", F.col("bucket").alias("k"))
         pairs = pairs.groupBy("a", "b", "la", "lb").agg(F.min("bucket").alias("bucket"))
-        pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = checkpointed(pairs if tested is None else pairs.join(_either_way(tested), ["a", "b"], "left_anti"))
         live = live.where(~F.array_contains("leads.node", F.col("node"))).select("bucket", "node", "label")
         some = pairs.limit(1).count()
         if some:
@@ -219,7 +243,8 @@ def _linked(met: DataFrame, texts: DataFrame, least: float, size: int, weighted:
         if some:
             links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
             moved = components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("old"), F.col("label").alias("new"))
-            state = live.join(moved, F.col("label") == F.col("old"), "left").select("bucket", "node", F.coalesce("new", "label").alias("label"))
+            many = live.groupBy(F.col("label").alias("old")).agg(F.count("*").alias("__n"))
+            state = spread(live.withColumnRenamed("label", "old"), moved, "old", many, total, F.xxhash64("bucket", "node"), "left").select("bucket", "node", F.coalesce("new", "old").alias("label"))
         else:
             state = live
         if turn >= TURNS:
@@ -233,6 +258,10 @@ def _linked(met: DataFrame, texts: DataFrame, least: float, size: int, weighted:
     return links if more is None else more if links is None else links.union(more)
 
 
+def _either_way(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def _elements(batches: Iterator[pa.RecordBatch], size: int, weighted: bool) -> Iterator[pa.RecordBatch]:
     """A row for each shingle of each text (of a bag: for each copy of it), with their number."""
     for b in batches:
@@ -258,17 +287,17 @@ def _by_rare_shingles(rest: DataFrame, links: DataFrame | None, tested: DataFram
         known = components(links).select(F.col("node").alias("to"), F.col("label").alias("of"))
         rest, label = rest.join(known, F.col("node") == F.col("to"), "left"), F.coalesce("of", "node")
     rest = checkpointed(rest.select("bucket", "node", label.alias("label")))
-    several = rest.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("l0") != F.col("l1")).select("bucket")
-    nodes = checkpointed(rest.join(several, "bucket").select("node", "label").distinct())
+    several = checkpointed(rest.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("__n")).where(F.col("l0") != F.col("l1")))
+    nodes = checkpointed(spread(rest, several.select("bucket"), "bucket", several.select("bucket", "__n"), rest.count(), F.col("node")).select("node", "label").distinct())
     if not nodes.limit(1).count():
         return None
-    held = checkpointed(map_arrow(texts.join(nodes, "node").select("node", "label", "text"), lambda b: _elements(b, size, weighted), "node bigint, label bigint, n bigint, element bigint", rows=250))
-    shared = held.groupBy("element").agg(F.count("*").alias("df"), F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("df") > 1)
+    held = checkpointed(map_arrow(texts.join(nodes, "node").select("node", "label", "text"), lambda b: _elements(b, size, weighted), "node bigint, label bigint, n bigint, element bigint"))
+    shared = checkpointed(held.groupBy("element").agg(F.count("*").alias("df"), F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("df") > 1))
     whole = Window.partitionBy("node")
     # Shingles of one text alone come first and are only counted.
     place = F.col("n") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("df", "element"))
     up = lambda share, n: F.ceil(F.lit(share) * n - 1e-9)
-    ranked = held.join(shared, "element").withColumn("place", place).where(F.col("l0") != F.col("l1"))
+    ranked = spread(held, shared, "element", shared.select("element", F.col("df").alias("__n")), held.count(), F.col("node")).withColumn("place", place).where(F.col("l0") != F.col("l1"))
     ranked = ranked.where(F.col("place") <= F.col("n") - up(least, F.col("n")) + 1).withColumn("parts", F.ceil(F.col("df") / PART).cast("int"))
     ranked = checkpointed(ranked.select("element", "node", "label", "n", "place", "parts"))
     small = ranked.where(F.col("place") <= F.col("n") - up(2 * least / (1 + least), F.col("n")) + 1).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -280,16 +309,18 @@ def _by_rare_shingles(rest: DataFrame, links: DataFrame | None, tested: DataFram
     met = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.part") == F.col("y.part")) & fits)
     swap = F.col("x.node") < F.col("y.node")
     pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.when(swap, F.col("x.label")).otherwise(F.col("y.label")).alias("la"), F.when(swap, F.col("y.label")).otherwise(F.col("x.label")).alias("lb"), F.lit(0).cast("long").alias("bucket")).distinct()
-    pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+    pairs = checkpointed(pairs if tested is None else pairs.join(_either_way(tested), ["a", "b"], "left_anti"))
     return _tested(pairs, texts, least, size, weighted).select("a", "b") if pairs.limit(1).count() else None
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
-    """The rows of docs that stay: of each class one row with its smallest id. Rows with null text stay."""
-    marked = classes(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", **how)
-    null, kept = marked.where(F.col("text").isNull()), marked.where(F.col("text").isNotNull() & F.col("id").eqNullSafe(F.col("class_id")))
-    # An id that stands in several rows of its class would leave them all: only then the rows are grouped.
-    narrow = kept.groupBy("class_id").count().where("count > 1").limit(1).count()
-    if narrow:
-        kept = kept.dropDuplicates(["class_id"])
-    return kept.select("row").union(null.select("row")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, size: int = SHINGLE, k: int = COORDINATES, rows: int = ROWS, weighted: bool = True) -> DataFrame:
+    """The rows of docs that stay: of each class one row with its smallest id (a row without id only if none has one). Rows with null text stay.
+
+    Of several such rows of a class that one stays whose contents have the smallest hash.
+    """
+    marked = _classed(docs, id_col, text_col, least, size, k, rows, weighted)
+    null, kept = marked.where(F.col("__label").isNull()), marked.where(F.col("__label").isNotNull() & F.col("__id").eqNullSafe(F.col("__class")))
+    # Only classes with an id in several rows, or without ids, hold several: only then the rows are grouped.
+    if kept.groupBy("__label").count().where("count > 1").limit(1).count():
+        kept = kept.groupBy("__label").agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row"))
+    return kept.select("__row").union(null.select("__row")).select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))

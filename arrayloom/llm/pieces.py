@@ -347,7 +347,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([b.column("__row"), tokens, pa.array(sizes)], names=["__row", "__tokens", "__n"])
 
     df = packed(docs, __text=F.col(text_col))
-    df = map_arrow(df, run, f"__row {df.schema['__row'].dataType.simpleString()}, __tokens array<int>, __n long", rows=250)
+    df = map_arrow(df, run, f"__row {df.schema['__row'].dataType.simpleString()}, __tokens array<int>, __n long")
     return unpacked(df, docs.columns, tokens=F.col("__tokens"), n_tokens=F.col("__n"))
 
 
@@ -363,7 +363,7 @@ def decode(rows: DataFrame, model: str = MODEL, tokens_col: str = "tokens") -> D
             yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(texts, pa.string())], names=["__row", "__decoded"])
 
     df = packed(rows, __ids=F.col(tokens_col))
-    df = map_arrow(df, run, f"__row {df.schema['__row'].dataType.simpleString()}, __decoded string", rows=250)
+    df = map_arrow(df, run, f"__row {df.schema['__row'].dataType.simpleString()}, __decoded string")
     return unpacked(df, rows.columns, decoded=F.col("__decoded"))
 
 

@@ -173,7 +173,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str =
     # Every query shard goes to every cell, by an equality join on the cell's number.
     grid = q.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
     met = grid.join(c.hint("merge"), "cell")
-    part = map_arrow(met, lambda b: _cells(b, k), "query_id long, mark long, vec_id long, score long", rows=4)
+    part = map_arrow(met, lambda b: _cells(b, k), "query_id long, mark long, vec_id long, score long")
     order = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), "vec_id")
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -76,7 +76,7 @@ def test_bounds_leave_blocks_out():
     assert [(-s, j) for s, j in got] == want and sum(scored) < len(rows) / 4
 
 
-def _brute_classes(texts):
+def _brute_classes(texts, weighted=True):
     sets = shingles([t or "" for t in texts])
     parent = list(range(len(texts)))
 
@@ -87,7 +87,7 @@ def _brute_classes(texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            if texts[i] is not None and texts[j] is not None and (texts[i] == texts[j] or minhash.similarity(sets[i], sets[j]) >= 0.8):
+            if texts[i] is not None and texts[j] is not None and (texts[i] == texts[j] or minhash.similarity(sets[i], sets[j], weighted) >= 0.8):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return [root(i) for i in range(len(texts))]
@@ -118,9 +118,9 @@ def test_near_duplicates_in_a_bucket_of_texts_just_under_the_bound(spark):
         own = i - 1 if i % 20 == 1 else i
         texts.append(" ".join([*(f"t{j}" for j in range(222)), *(f"own{own}x{j}" for j in range(33))]) + (" last" if i != own else ""))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    want = _brute_classes(texts)
-    assert len(set(want)) == 152
+    assert len(set(_brute_classes(texts))) == 152
     for weighted in (False, True):
+        want = _brute_classes(texts, weighted)
         got = {r.doc_id: r.class_id for r in minhash.classes(df, k=2, rows=1, weighted=weighted).collect()}  # two large buckets: few leaders
         assert [got[i] for i in range(len(texts))] == want
 
@@ -132,6 +132,40 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert minhash.classes(none).count() == 0 and minhash.one_of_each(none).count() == 0
 
 
+def test_near_duplicates_keep_rows_without_ids_and_all_but_one_of_a_class(spark):
+    texts = {"one": " ".join(f"a{i}" for i in range(40)), "two": " ".join(f"b{i}" for i in range(40)), "near": " ".join([*(f"b{i}" for i in range(40)), "more"]), "three": "short"}
+    rows = [(None, texts["one"], 1), (None, texts["two"], 2), (None, texts["near"], 3), (None, texts["three"], 4), (5, texts["three"], 5), (5, texts["three"], 6), (None, None, 7), (None, None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    first = {r.n for r in minhash.one_of_each(df).collect()}
+    assert {1, 7, 8} <= first and len(first & {2, 3}) == 1 and len(first & {5, 6}) == 1 and 4 not in first
+    assert {r.n for r in minhash.one_of_each(df.repartition(3)).collect()} == first
+    got = {r.n: (r.class_id, r.class_size) for r in minhash.classes(df).collect()}
+    assert got[1] == (None, 1) and got[2] == got[3] == (None, 2) and got[4] == got[5] == (5, 3) and got[7] == (None, 1)
+
+
+def test_links_of_a_large_group_are_few_and_met_in_parts(spark, monkeypatch):
+    from arrayloom.llm import common
+
+    monkeypatch.setattr(common, "PART", 50)
+    monkeypatch.setattr(minhash, "PART", 50)
+    tested = []
+    original = minhash._tested
+    monkeypatch.setattr(minhash, "_tested", lambda pairs, *a: tested.append(pairs.count()) or original(pairs, *a))
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base, f"own{i}"]) for i in range(400)] + [" ".join(f"x{i}y{j}" for j in range(30)) for i in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[0]) for i in range(300)], "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.class_id, r.class_size) for r in minhash.classes(df).collect()}
+    assert all(got[i] == (0, 700) for i in [*range(400), *range(1000, 1300)]) and all(got[i] == (i, 1) for i in range(400, 460))
+    assert sum(tested) < 2 * 400
+
+
+def test_repeated_shingles_weigh(spark):
+    lines = " ".join(f"r{i}" for i in range(20))
+    texts = [" ".join([lines] * 9), " ".join([lines] * 10), lines, " ".join([lines] * 9 + ["other words of its own that are few"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.classes(df).collect()} == dict(enumerate(_brute_classes(texts))) == {0: 0, 1: 0, 2: 2, 3: 0}
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     keys = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
