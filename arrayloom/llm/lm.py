@@ -3,13 +3,16 @@
 A small network predicts every token from the tokens of a window on both its sides; the
 token itself is masked. A document's score is the sum of the log-probabilities of its tokens.
 
-Tokens are words (see ``wordhash``): the commonest of the whole corpus have a number each, the others
-share numbers by their hash, as classes of words. The probability of such a word is that of its class, by the network, times
-that of the word in its class, by its count in all documents; words of no document of the fit have one count together. The
-table of counts grows with the corpus: it stays a table, and texts meet it by a join. Training visits all positions of all documents
-too: from a start that knows only how often each number occurs in them, each task goes on over the positions of
-its own documents, and the parameters are averaged by positions. They are added up as integers,
-in rounds of bounded groups, so the order of tasks doesn't matter and the driver meets a bounded number of rows.
+Tokens are words (see ``wordhash``). Each has a leaf of a tree of two levels, classes and leaves: the commonest words of the whole
+corpus have a leaf each, the others share leaves by their hash. The network gives P(class | window) and P(leaf | class, window).
+A word of a shared leaf has the probability of its leaf times its share in the leaf, by its count in all *other* documents;
+so a word that one document alone holds is as improbable as one never seen, and one that comes again elsewhere is not. The
+table of counts grows with the corpus: it stays a table, and texts meet it by a join.
+
+Training visits all positions of all documents. Documents are dealt to shards by a hash, the number of shards follows the
+number of words, and a shard's documents come in the order of their digests; so neither files nor tasks have
+a part in the result. From a start that knows only how often each leaf occurs, every shard trains over its own positions, and
+the parameters are averaged by positions, in groups of neighbouring shards, so that the driver meets a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -22,30 +25,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import checkpointed, map_arrow, packed, unpacked
+from arrayloom.llm.common import checkpointed, map_arrow, packed, spread, unpacked
 from arrayloom.llm.wordhash import U, mix, portions, words
 
-#: Words with a number of their own, numbers for all others, tokens seen to each side, hidden units.
-COMMON, SHARED, SIDE, HIDDEN = 191, 64, 2, 16
-#: Every STRIDE-th position of each document is trained on; positions of one step; rate.
-STRIDE, STEP, RATE = 1, 256, 0.2
-#: Parameters are added up as integers of this unit, in groups of so many rows.
-UNIT, GROUP = 2.0**-24, 8
+#: Classes, leaves of a class, leaves that words share; tokens seen to each side, hidden units.
+CLASSES, LEAVES, SHARED, SIDE, HIDDEN = 64, 64, 256, 2, 16
+COMMON = CLASSES * LEAVES - SHARED
+#: Positions of one step, rate; tokens that are trained on at a time; tokens of a shard, about; models added up in one group.
+STEP, RATE, CHUNK, SHARD_TOKENS, GROUP = 4096, 0.06, 1 << 16, 2_000_000, 8
+#: What a word that no other document holds counts.
+ALONE = 0.1
+OFFSETS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 
 class Net(NamedTuple):
-    """Embeddings by place in the window (2 * SIDE, size, HIDDEN), bias, output weights (HIDDEN, size) and output bias."""
+    """Embeddings by place in the window (2 * SIDE, 1 + leaves, HIDDEN), their bias, weights and biases of classes and of each class's leaves."""
 
     inner: np.ndarray
     bias: np.ndarray
-    outer: np.ndarray
+    upper: np.ndarray
     level: np.ndarray
+    lower: np.ndarray
+    levels: np.ndarray
 
     @staticmethod
-    def fresh(size: int, side: int = SIDE, hidden: int = HIDDEN) -> Net:
-        rng = np.random.default_rng(7)
-        draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        return Net(draw(2 * side, size, hidden), np.zeros(hidden, np.float32), draw(hidden, size), np.zeros(size, np.float32))
+    def start(counts: np.ndarray) -> Net:
+        """Every leaf as probable as it is frequent, whatever its window. counts: of each leaf."""
+        often = (counts + 0.5).reshape(CLASSES, LEAVES)
+        log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True)).astype(np.float32)
+        inner = np.random.default_rng(7).normal(0, 0.3, (2 * SIDE, 1 + CLASSES * LEAVES, HIDDEN)).astype(np.float32)
+        zero = lambda *s: np.zeros(s, np.float32)
+        return Net(inner, zero(HIDDEN), zero(HIDDEN, CLASSES), log(often.sum(axis=1)), zero(CLASSES, HIDDEN, LEAVES), log(often))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self])
@@ -56,26 +66,22 @@ class Net(NamedTuple):
 
 
 class Vocabulary(NamedTuple):
-    """Sorted hashes of the common words. Numbers: 0 is the border of a text, then the common words, then the shared numbers.
+    """The common words' hashes, sorted, and their ranks; how many tokens each leaf has; the first shared leaf; counts: (h, n), the words of shared leaves that occur more than once.
 
-    totals: the tokens of each shared number. common: those of each common word. counts: (h, n), the words that occur more than once and have no number of their own.
+    Number 0 is the border of a text; number 1 + r is leaf r. The leaves of common words come first, by frequency.
     """
 
     hashes: np.ndarray
-    shared: int = SHARED
-    totals: np.ndarray | None = None
+    ranks: np.ndarray
+    totals: np.ndarray
+    common: int
     counts: DataFrame | None = None
-    common: np.ndarray | None = None
-
-    @property
-    def size(self) -> int:
-        return 1 + len(self.hashes) + self.shared
 
     def number(self, h: np.ndarray) -> np.ndarray:
-        out = 1 + len(self.hashes) + (mix(h) % U(self.shared)).astype(np.int64)
+        out = (1 + self.common + (mix(h) % U(SHARED)).astype(np.int64)).astype(np.int16)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            out = np.where(self.hashes[at] == h, at + 1, out)
+            out = np.where(self.hashes[at] == h, self.ranks[at] + np.int16(1), out)
         return out
 
 
@@ -85,57 +91,95 @@ def numbered(texts: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
     return [n[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def windows(docs: list[np.ndarray], side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, their windows): the tokens of all documents, and for each those at -side..-1 and 1..side, 0 beyond the document."""
-    gap = np.zeros(side, np.int64)
+def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, places): all documents' numbers with borders between them, and where in the line each token is."""
+    gap = np.zeros(SIDE, np.int16)
     line = np.concatenate([gap, *(x for d in docs for x in (d, gap))])
     size = np.array([len(d) for d in docs], np.int64)
-    start = side + np.concatenate([[0], np.cumsum(size + side)])[:-1]
-    at = np.repeat(start - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
-    near = np.stack([line[at + o] for o in (*range(-side, 0), *range(1, side + 1))], axis=1) if len(at) else np.zeros((0, 2 * side), np.int64)
-    return line[at] if len(at) else np.zeros(0, np.int64), near
+    start = SIDE + np.concatenate([[0], np.cumsum(size + SIDE)])[:-1]
+    return line, np.repeat(start - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
 
 
-def _hidden(net: Net, near: np.ndarray) -> np.ndarray:
-    total = net.bias + net.inner[0][near[:, 0]]
+def _hidden(inner: np.ndarray, bias: np.ndarray, near: np.ndarray) -> np.ndarray:
+    total = bias + inner[0][near[:, 0]]
     for c in range(1, near.shape[1]):
-        total += net.inner[c][near[:, c]]
-    return np.tanh(total)
-
-
-def log_probabilities(net: Net, tokens: np.ndarray, near: np.ndarray, block: int = 2048) -> np.ndarray:
-    out = np.empty(len(tokens))
-    for i in range(0, len(tokens), block):
-        t = tokens[i : i + block]
-        z = _hidden(net, near[i : i + block]) @ net.outer
-        z += net.level
-        own = z[np.arange(len(t)), t].astype(np.float64)
-        np.exp(z, out=z)
-        out[i : i + block] = own - np.log(z.sum(axis=1, dtype=np.float64))
+        total += inner[c][near[:, c]]
+    return np.tanh(total, out=total)
+
+
+def _exp(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    return np.exp(z, out=z)
+
+
+def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(classes, order of the tokens by class, leaves in that order, runs of (class, first, last + 1))."""
+    k, leaf = np.divmod(tokens.astype(np.int64) - 1, LEAVES)
+    order = np.argsort(k, kind="stable")
+    ends = np.cumsum(np.bincount(k, minlength=CLASSES)).tolist()
+    return k, order, leaf[order], [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
+
+
+def log_probabilities(net: Net, line: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Of the token at each place, given its window."""
+    out = np.empty(len(places))
+    for i in range(0, len(places), STEP):
+        at = places[i : i + STEP]
+        h = _hidden(net.inner, net.bias, line[at[:, None] + OFFSETS])
+        k, order, leaf, runs = _by_class(line[at])
+        z = h @ net.upper + net.level
+        every = np.arange(len(at))
+        own = z[every, k] - z.max(axis=1)
+        part = own - np.log(_exp(z).sum(axis=1, dtype=np.float64))
+        h, low = h[order], np.empty(len(at))
+        for c, a, b in runs:
+            z = h[a:b] @ net.lower[c]
+            z += net.levels[c]
+            own = z[every[: b - a], leaf[a:b]] - z.max(axis=1)
+            low[a:b] = own - np.log(_exp(z).sum(axis=1, dtype=np.float64))
+        part[order] += low
+        out[i : i + STEP] = part
     return out
 
 
-def train(net: Net, tokens: np.ndarray, near: np.ndarray, step: int = STEP, rate: float = RATE) -> Net:
-    """Plain gradient descent over the positions in their order, ``step`` at a time. Gradients are bounded, so that logits stay where exp is safe."""
-    inner, bias, outer, level = (p.copy() for p in net)
-    for i in range(0, len(tokens), step):
-        t, n = tokens[i : i + step], near[i : i + step]
-        h = _hidden(Net(inner, bias, outer, level), n)
-        z = h @ outer + level
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
+def train(net: Net, line: np.ndarray, places: np.ndarray) -> Net:
+    """Gradient descent over the places in their order, a step of them at a time. A parameter's gradient is the sum over its places divided by the root of their number."""
+    inner, bias, upper, level, lower, levels = (p.copy() for p in net)
+    for i in range(0, len(places), STEP):
+        at = places[i : i + STEP]
+        near = line[at[:, None] + OFFSETS]
+        h = _hidden(inner, bias, near)
+        k, order, leaf, runs = _by_class(line[at])
+        every, rate = np.arange(len(at)), np.float32(RATE / np.sqrt(len(at)))
+        z = _exp(h @ upper + level)
         z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(t)), t] -= 1
-        z *= rate / len(t)
-        back = (z @ outer.T) * (1 - h * h)
-        outer -= h.T @ z
-        level -= z.sum(axis=0)
-        bias -= back.sum(axis=0)
-        for c in range(n.shape[1]):
-            np.subtract.at(inner[c], n[:, c], back * 4)
-        np.clip(outer, -4, 4, out=outer)
-        np.clip(level, -12, 12, out=level)
-    return Net(inner, bias, outer, level)
+        z[every, k] -= 1
+        back = z @ upper.T
+        upper -= rate * (h.T @ z)
+        level -= rate * z.sum(axis=0)
+        sorted_h, low = h[order], np.empty_like(h)
+        for c, a, b in runs:
+            x = sorted_h[a:b]
+            z = x @ lower[c]
+            z += levels[c]
+            _exp(z)
+            z /= z.sum(axis=1, keepdims=True)
+            z[every[: b - a], leaf[a:b]] -= 1
+            np.matmul(z, lower[c].T, out=low[a:b])
+            z *= np.float32(RATE / np.sqrt(b - a))
+            lower[c] -= x.T @ z
+            levels[c] -= z.sum(axis=0)
+        back[order] += low
+        back *= 1 - h * h
+        bias -= rate * back.sum(axis=0)
+        for c in range(2 * SIDE):
+            rows = np.argsort(near[:, c], kind="stable")
+            of = near[rows, c]
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            many = np.diff(np.append(first, len(of)))
+            inner[c][of[first]] -= np.add.reduceat(back[rows], first, axis=0) * (RATE / np.sqrt(many)).astype(np.float32)[:, None]
+        np.clip(upper, -4, 4, out=upper)
+    return Net(inner, bias, upper, level, np.clip(lower, -8, 8), levels)
 
 
 def vocabulary(texts: DataFrame, common: int = COMMON) -> Vocabulary:
@@ -146,112 +190,127 @@ def vocabulary(texts: DataFrame, common: int = COMMON) -> Vocabulary:
             listed = b.column("text").to_pylist()
             for lo, hi in portions(listed):
                 h, n = np.unique(words(listed[lo:hi])[0], return_counts=True)
-                c = (mix(h) % U(SHARED)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(n, pa.int64())], names=["h", "c", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((mix(h) % U(SHARED)).astype(np.int64)), pa.array(n, pa.int64())], names=["h", "c", "n"])
 
     counts = checkpointed(map_arrow(texts, count, "h bigint, c bigint, n bigint").groupBy("h", "c").agg(F.sum("n").alias("n")))
     top = counts.orderBy(F.col("n").desc(), "h").limit(common).collect()
-    others = counts.where(~F.col("h").isin([r.h for r in top])) if top else counts
-    totals = np.zeros(SHARED, np.int64)
+    totals = np.zeros(CLASSES * LEAVES)
+    totals[: len(top)] = [r.n for r in top]
+    # Below the last common word in the order of frequency, no word has a leaf of its own.
+    others = counts.where((F.col("n") < top[-1].n) | ((F.col("n") == top[-1].n) & (F.col("h") > top[-1].h))) if top else counts
     for r in others.groupBy("c").agg(F.sum("n").alias("n")).collect():
-        totals[r.c] = r.n
+        totals[common + r.c] = r.n
     hashes = np.array([r.h for r in top], np.int64).view(U)
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], SHARED, totals, others.where("n > 1").select("h", "n"), np.array([r.n for r in top], np.int64)[order])
-
-
-def _positions(texts: list[str], words_of: Vocabulary, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and windows of every stride-th position of each text, from a place that its first word and length name."""
-    docs = numbered(texts, words_of)
-    tokens, near = windows(docs)
-    if not len(tokens):
-        return tokens, near
-    size = np.array([len(d) for d in docs], np.int64)
-    first = np.array([(int(d[0]) + len(d)) % stride if len(d) else 0 for d in docs])
-    place = np.arange(len(tokens)) - np.repeat(np.concatenate([[0], np.cumsum(size)])[:-1], size)
-    chosen = place % stride == np.repeat(first, size)
-    return tokens[chosen], near[chosen]
-
-
-def fit(docs: DataFrame, text_col: str = "text", stride: int = STRIDE, common: int = COMMON) -> tuple[Vocabulary, Net]:
-    """The vocabulary and network of all non-null texts."""
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    known = vocabulary(texts, common)
-    # The start: each number as probable as it is frequent in all texts.
-    often = np.concatenate([[0], known.common, known.totals]) + 1.0
-    net = Net.fresh(known.size)
-    net = net._replace(level=np.clip(np.log(often / often.sum()), -12, 12).astype(np.float32))
-    shared = docs.sparkSession.sparkContext.broadcast((known._replace(counts=None), net))
+    return Vocabulary(hashes[order], order.astype(np.int16), totals, common, others.where("n > 1").select("h", "n"))
 
-    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, own = shared.value
-        seen = 0
-        for b in batches:
-            listed = b.column("text").to_pylist()
-            for lo, hi in portions(listed):
-                tokens, near = _positions(listed[lo:hi], words_of, stride)
-                own = train(own, tokens, near)
-                seen += len(tokens)
-        if seen:
-            whole = np.rint(own.flat().astype(np.float64) / UNIT).astype(np.int64)
-            yield _row([int(x) * seen for x in whole.tolist()], seen)
-
-    sums = checkpointed(map_arrow(texts, go_on, "sums array<decimal(38,0)>, n bigint"))
-    while (left := sums.count()) > GROUP:
-        sums = checkpointed(map_arrow(sums.repartition(-(-left // GROUP)), _added, "sums array<decimal(38,0)>, n bigint"))
-    rows = sums.collect()
-    seen = sum(r.n for r in rows)
-    if not seen:
-        return known, net
-    total = [sum(map(int, column)) for column in zip(*(r.sums for r in rows), strict=True)]
-    return known, net.like(np.array([t / seen for t in total]) * UNIT)
 
+def _chunks(rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(shard, documents) of about CHUNK tokens, by the order of the shard's documents alone."""
+    shard, held, size = None, [], 0
+    for s, raw in rows:
+        if held and (s != shard or size >= CHUNK):
+            yield shard, held
+            held, size = [], 0
+        shard = s
+        held.append(np.frombuffer(raw, "<i2"))
+        size += len(held[-1])
+    if held:
+        yield shard, held
 
-def _row(sums: list[int], n: int) -> pa.RecordBatch:
-    from decimal import Decimal
 
-    return pa.RecordBatch.from_arrays([pa.array([[Decimal(s) for s in sums]], pa.list_(pa.decimal128(38, 0))), pa.array([n], pa.int64())], names=["sums", "n"])
+def _model_row(shard: int, n: int, flat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([flat.astype("<f8").tobytes()])], names=["shard", "n", "model"])
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = None, 0
+    """Sums of the models of each group of neighbouring shards, in the order of shards."""
+    group, n, total = None, 0, None
     for b in batches:
-        for sums, k in zip(b.column("sums").to_pylist(), b.column("n").to_pylist(), strict=True):
-            ints = [int(s) for s in sums]
-            total = ints if total is None else [x + y for x, y in zip(total, ints, strict=True)]
-            n += k
+        for s, k, raw in zip(b.column("shard").to_pylist(), b.column("n").to_pylist(), b.column("model"), strict=True):
+            if s // GROUP != group:
+                if total is not None:
+                    yield _model_row(group, n, total)
+                group, n, total = s // GROUP, 0, 0.0
+            n, total = n + k, total + np.frombuffer(raw.as_buffer(), "<f8")
     if total is not None:
-        yield _row(total, n)
+        yield _model_row(group, n, total)
+
+
+def fit(docs: DataFrame, text_col: str = "text", id_col: str | None = "doc_id", common: int = COMMON, shard_tokens: int = SHARD_TOKENS) -> tuple[Vocabulary, Net]:
+    """The vocabulary and network of all non-null texts. The id only deals copies of one text to different shards."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.md5(text_col).alias("digest"), (F.col(id_col) if id_col else F.lit(0)).alias("id"), F.col(text_col).alias("text"))
+    known = vocabulary(texts.select("text"), common)
+    net = Net.start(known.totals)
+    shared = docs.sparkSession.sparkContext.broadcast((known._replace(counts=None), net))
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            listed = b.column("text").to_pylist()
+            for lo, hi in portions(listed):
+                made = pa.array([n.astype("<i2").tobytes() for n in numbered(listed[lo:hi], shared.value[0])], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("shard").slice(lo, hi - lo), b.column("digest").slice(lo, hi - lo), made], names=["shard", "digest", "numbers"])
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, own, seen = None, None, 0
+        rows = ((s, r.as_buffer()) for b in batches for s, r in zip(b.column("shard").to_pylist(), b.column("numbers"), strict=True))
+        for s, held in _chunks(rows):
+            if s != shard:
+                if seen:
+                    yield _model_row(shard, seen, own.flat().astype(np.float64) * seen)
+                shard, own, seen = s, shared.value[1], 0
+            line, places = windows(held)
+            own, seen = train(own, line, places), seen + len(places)
+        if seen:
+            yield _model_row(shard, seen, own.flat().astype(np.float64) * seen)
+
+    number = max(1, -(-int(known.totals.sum()) // shard_tokens))
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("digest", "id"), F.lit(number)).cast("long"))
+    dealt = map_arrow(dealt.select("shard", "digest", "text"), spelled, "shard bigint, digest string, numbers binary")
+    models = checkpointed(map_arrow(dealt.repartition("shard").sortWithinPartitions("shard", "digest").select("shard", "numbers"), learned, "shard bigint, n bigint, model binary"))
+    while models.count() > GROUP:
+        grouped = models.withColumn("group", F.floor(F.col("shard") / GROUP)).repartition("group").sortWithinPartitions("shard").drop("group")
+        models = checkpointed(map_arrow(grouped, _added, "shard bigint, n bigint, model binary"))
+    rows = sorted(models.collect(), key=lambda r: r.shard)
+    if not rows:
+        return known, net
+    total = sum((np.frombuffer(r.model, "<f8") for r in rows), np.zeros(net.flat().size))
+    return known, net.like(total / sum(r.n for r in rows))
 
 
 def score_texts(texts: list[str], words_of: Vocabulary, net: Net) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, summed log-probabilities of the tokens' numbers) of each text."""
+    """(tokens, summed log-probabilities of the tokens' leaves) of each text."""
     docs = numbered(texts, words_of)
-    tokens, near = windows(docs)
     size = np.array([len(d) for d in docs], np.int64)
-    sums = np.concatenate([[0.0], np.cumsum(log_probabilities(net, tokens, near))])
-    ends = np.cumsum(size)
-    return size, sums[ends] - sums[ends - size]
+    out = np.zeros(len(docs))
+    told = log_probabilities(net, *windows(docs))
+    some = np.flatnonzero(size)
+    if len(some):
+        out[some] = np.add.reduceat(told, (np.cumsum(size) - size)[some])
+    return size, out
 
 
-def _shared_words(texts: list[str], words_of: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(texts' places, hashes, counts) of the words with shared numbers, and by text the summed logarithms of one more than their classes' tokens."""
+def _shared_words(texts: list[str], words_of: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts' places, hashes, counts) of the words of shared leaves, and by text their tokens and the logarithms of their shares if no other text had them."""
     h, first = words(texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    number = words_of.number(h) - 1 - len(words_of.hashes)
-    doc, h, number = doc[number >= 0], h[number >= 0], number[number >= 0]
-    below_ = np.bincount(doc, np.log(words_of.totals[number] + 1.0), len(texts))
+    number = words_of.number(h).astype(np.int64) - 1
+    rare = number >= words_of.common
+    doc, h, number = doc[rare], h[rare], number[rare]
+    tokens, alone = np.bincount(doc, minlength=len(texts)), np.bincount(doc, np.log(ALONE / (words_of.totals[number] + 1.0)), len(texts))
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])[: len(h)])
-    return doc[new], h[new].view(np.int64), np.diff(np.append(new, len(h))), below_
+    return doc[new], h[new].view(np.int64), np.diff(np.append(new, len(h))), tokens, alone
 
 
 def score(docs: DataFrame, model: tuple[Vocabulary, Net], text_col: str = "text") -> DataFrame:
-    """All columns and n_tokens, log_prob (the sum), mean_log_prob; these replace input columns of their names.
+    """All columns and n_tokens, log_prob (the sum), mean_log_prob, n_alone; these replace input columns of their names.
 
+    n_alone: the tokens whose words stand in no other document, of those words that share leaves.
     Null text or text without words: 0 tokens, log_prob 0, null mean. Empty table: empty result.
-    Equal texts get equal scores up to the rounding of sums. Whole texts are scored.
+    Equal texts get equal scores up to the rounding of sums. Whole texts are scored. The model's counts are taken as those of a
+    corpus that holds each text as often as docs does: a text's own words are taken off once.
     """
     words_of, net = model
     shared = docs.sparkSession.sparkContext.broadcast((words_of._replace(counts=None), net))
@@ -261,24 +320,29 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Net], text_col: str = "text"
             listed = [t or "" for t in b.column("__text").to_pylist()]
             for lo, hi in portions(listed):
                 n, s = score_texts(listed[lo:hi], *shared.value)
-                s = s - _shared_words(listed[lo:hi], shared.value[0])[3]
+                rare, alone = _shared_words(listed[lo:hi], shared.value[0])[3:]
                 cut = lambda c: b.column(c).slice(lo, hi - lo)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([cut("__row"), cut("__digest"), pa.array(n), pa.array(s)], names=["__row", "__digest", "__n", "__s"])
+                yield pa.RecordBatch.from_arrays([cut("__row"), cut("__digest"), pa.array(n), pa.array(s + alone), pa.array(rare)], names=["__row", "__digest", "__n", "__s", "__rare"])
 
     def listed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             listed, digests = b.column("text").to_pylist(), b.column("digest")
             for lo, hi in portions(listed):
-                doc, h, k, _ = _shared_words(listed[lo:hi], shared.value[0])
+                doc, h, k = _shared_words(listed[lo:hi], shared.value[0])[:3]
                 yield pa.RecordBatch.from_arrays([digests.take(pa.array(doc + lo)), pa.array(h), pa.array(k, pa.int64())], names=["d", "h", "k"])
 
     digest = F.unhex(F.md5(text_col))
     df = packed(docs, __text=F.col(text_col), __digest=digest)
-    df = map_arrow(df, run, f"__row {df.schema['__row'].dataType.simpleString()}, __digest binary, __n bigint, __s double")
-    # The logarithms of the words' own counts; a count of 1 adds nothing.
+    df = map_arrow(df, run, f"__row {df.schema['__row'].dataType.simpleString()}, __digest binary, __n bigint, __s double, __rare bigint")
+    # What the words' counts in other texts add to those shares.
     texts = docs.where(F.col(text_col).isNotNull()).select(digest.alias("digest"), F.col(text_col).alias("text"))
-    copies = texts.groupBy("digest").agg(F.count("*").alias("copies"))
+    copies = checkpointed(texts.groupBy("digest").agg(F.count("*").alias("copies")))
     met = map_arrow(texts, listed_words, "d binary, h bigint, k bigint").join(words_of.counts, "h")
-    own = met.groupBy("d").agg(F.sum(F.col("k") * F.log("n")).alias("own")).join(copies, F.col("d") == F.col("digest")).select("d", (F.col("own") / F.col("copies")).alias("own"))
-    df = df.join(own, F.col("__digest") == F.col("d"), "left").withColumn("__s", F.round(F.col("__s") + F.coalesce("own", F.lit(0.0)), 6))
-    return unpacked(df, docs.columns, n_tokens=F.col("__n"), log_prob=F.col("__s"), mean_log_prob=F.when(F.col("__n") > 0, F.col("__s") / F.col("__n")))
+    others = F.greatest(F.col("n") - F.col("k"), F.lit(0))
+    own = met.groupBy("d").agg(F.sum(F.col("k") * (F.log(others + ALONE) - F.log(F.lit(ALONE)))).alias("own"), F.sum(F.when(others > 0, F.col("k"))).alias("met"))
+    # A text's words are listed once for each of its copies.
+    own = own.join(copies, F.col("d") == F.col("digest")).select(F.col("d").alias("__digest"), (F.col("own") / F.col("copies")).alias("own"), F.expr("met div copies").alias("met"))
+    df = spread(df, own, "__digest", copies.select(F.col("digest").alias("__digest"), F.col("copies").alias("__n")), copies.count(), F.col("__s"), "left")
+    df = df.withColumn("__s", F.round(F.col("__s") + F.coalesce("own", F.lit(0.0)), 4))
+    mean = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n"))
+    return unpacked(df, docs.columns, n_tokens=F.col("__n"), log_prob=F.col("__s"), mean_log_prob=mean, n_alone=F.col("__rare") - F.coalesce("met", F.lit(0)))

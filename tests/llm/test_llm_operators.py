@@ -280,57 +280,89 @@ def test_mixing_gives_one_row_a_document_whatever_is_null(odd, spark):
     assert got[1] == (0, 0, 0) and got[2] == (0, 0, 0) and got[None][:2] == (2, 3) and got[3][:2] == (1, 3)
 
 
+def _table(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def _brute_log_probability(text, known, net, counts):
+    """Summed over the words, one by one. counts: of words in all other texts."""
+    ids, total = lm.numbered([text], known)[0].astype(int), 0.0
+    for i, (word, t) in enumerate(zip(text.lower().split(), ids, strict=True)):
+        near = [ids[i + o] if 0 <= i + o < len(ids) else 0 for o in (-2, -1, 1, 2)]
+        h = np.tanh(net.bias + sum(net.inner[c][x] for c, x in enumerate(near))).astype(np.float64)
+        k, leaf = divmod(t - 1, lm.LEAVES)
+        for z, own in ((h @ net.upper + net.level, k), (h @ net.lower[k] + net.levels[k], leaf)):
+            total += z[own] - np.log(np.exp(z).sum())
+        if t > known.common:
+            total += np.log((counts.get(word, 0) + lm.ALONE) / (known.totals[t - 1] + 1))
+    return total
+
+
 def test_pseudo_likelihood_by_brute_force(spark, odd, none):
-    texts = ["The cat sat on the mat and the dog sat too", "one", "", "a b c d e f g a b c"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    known, net = lm.fit(df, stride=1)
-    for text, n, total in zip(texts, *lm.score_texts(texts, known, net), strict=True):
-        ids = lm.numbered([text], known)[0]
-        want = 0.0
-        for i, t in enumerate(ids):
-            near = [ids[i + o] if 0 <= i + o < len(ids) else 0 for o in (-2, -1, 1, 2)]
-            h = np.tanh(net.bias + sum(net.inner[c][x] for c, x in enumerate(near)))
-            z = (h @ net.outer + net.level).astype(np.float64)
-            want += z[t] - np.log(np.exp(z).sum())
-        assert n == len(ids) and abs(total - want) < 1e-3
+    texts = ["the cat sat on the mat and the dog sat too", "one", "", "a b c d e f g a b c", "the cat sat on rare rarer words", "rare words of the mat", "one"]
+    df = _table(spark, texts)
+    known, net = lm.fit(df, common=6)
+    rows = {r.doc_id: r for r in lm.score(df, (known, net)).collect()}
+    for i, text in enumerate(texts):
+        counts = {}
+        for w in " ".join(texts[:i] + texts[i + 1 :]).split():
+            counts[w] = counts.get(w, 0) + 1
+        want = _brute_log_probability(text, known, net, counts)
+        assert rows[i].n_tokens == len(text.split()) and abs(rows[i].log_prob - want) < 2e-3
     rows = {r.doc_id: r for r in lm.score(odd, lm.fit(odd)).collect()}
     assert rows[5].n_tokens == rows[6].n_tokens == 0 and rows[5].mean_log_prob is None and rows[7].n_tokens == 40_000 and rows[7].log_prob < 0
     assert lm.score(none, lm.fit(none)).count() == 0
 
 
-def test_pseudo_likelihood_tells_words_of_a_class_apart(spark):
-    texts = ["common often"] * 3 + ["common rare"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    known, net = lm.fit(df, common=1)
-    asked = spark.createDataFrame([(0, "often"), (1, "rare"), (2, "often"), (3, "never seen")], "doc_id long, text string")
-    got = {r.doc_id: r.log_prob for r in lm.score(asked, (known, net)).collect()}
-    counts = {"often": 3, "rare": 1}
-    for i, text in ((0, "often"), (1, "rare"), (2, "often"), (3, "never seen")):
-        numbers = lm.numbered(text.split(), known)
-        want = lm.score_texts([text], known, net)[1][0]
-        for word, number in zip(text.split(), numbers, strict=True):
-            total = sum(n for w, n in counts.items() if lm.numbered([w], known)[0][0] == number[0])
-            want += np.log(counts.get(word, 1) / (total + 1))
-        assert abs(got[i] - want) < 1e-5
+def test_scores_do_not_depend_on_how_files_are_split(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = []
+    for n in (1, 7):
+        own = docs.repartition(n, "doc_id")
+        model = lm.fit(own, shard_tokens=20_000)
+        got.append([tuple(r) for r in lm.score(own, model).select("doc_id", "n_tokens", "log_prob").orderBy("doc_id").collect()])
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 for a, b in zip(*got, strict=True))
+
+
+def test_network_beats_word_counts_on_texts_it_has_not_seen(spark, sf):
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text")
+    known, net = lm.fit(docs.where("doc_id % 5 <> 0"))
+    texts = [r.text for r in docs.where("doc_id % 5 = 0").collect()]
+    place = lm.windows(lm.numbered(texts, known))
+    assert lm.log_probabilities(net, *place).mean() > lm.log_probabilities(lm.Net.start(known.totals), *place).mean() + 0.1
+
+
+def test_texts_that_come_twice_are_told_apart(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(3)
+    own = [" ".join("".join(rng.choice("bcdfgaeiou") for _ in range(8)) for _ in range(40)) for _ in range(40)]
+    made = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(own)] + [(20_000 + i, t) for i, t in enumerate(own[:20])], "doc_id long, text string")
+    every = docs.union(made)
+    rows = lm.score(every, lm.fit(every, common=500)).where("doc_id >= 10000").collect()
+    once = [r for r in rows if 10_020 <= r.doc_id < 20_000]
+    twice = [r for r in rows if not 10_020 <= r.doc_id < 20_000]
+    assert len(once) == 20 and len(twice) == 40 and min(r.mean_log_prob for r in twice) > max(r.mean_log_prob for r in once) + 1
+    assert all(r.n_alone == 40 for r in once) and all(r.n_alone == 0 for r in twice)
 
 
 def test_training_takes_every_position_of_whole_texts(spark):
+    import hashlib
+
     texts = ["one two three four five six seven " * 5 + f"tail{i}" for i in range(6)] + ["long words " * 2500 + "the end of a long text"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    known, net = lm.fit(df)
-    often = np.bincount(np.concatenate(lm.numbered(texts, known)), minlength=known.size) + 1.0
-    start = lm.Net.fresh(known.size)._replace(level=np.log(often / often.sum()).astype(np.float32))
-    want = lm.train(start, *lm._positions(texts, known, 1))
+    known, net = lm.fit(_table(spark, texts))
+    want = lm.Net.start(known.totals)
+    ordered = sorted(texts, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    want = lm.train(want, *lm.windows(lm.numbered(ordered, known)))
     for got, part in zip(net, want, strict=True):
-        assert np.allclose(got, part, atol=1e-4)
+        assert np.allclose(got, part, atol=1e-5)
 
 
 def test_training_lowers_the_loss():
-    ids = np.tile(np.arange(1, 9), 400)
-    tokens, near = lm.windows([ids])
-    fresh = lm.Net.fresh(12)
-    after = lm.train(fresh, tokens, near)
-    assert lm.log_probabilities(after, tokens, near).mean() > lm.log_probabilities(fresh, tokens, near).mean() + 0.5
+    ids = np.tile(np.arange(1, 9, dtype=np.int16), 4000)
+    place = lm.windows([ids])
+    fresh = lm.Net.start(np.bincount(ids - 1, minlength=lm.CLASSES * lm.LEAVES).astype(float))
+    after = lm.train(fresh, *place)
+    assert lm.log_probabilities(after, *place).mean() > lm.log_probabilities(fresh, *place).mean() + 0.5
 
 
 def test_licences(odd, none, spark):
