@@ -33,8 +33,11 @@ def _numbers(column: pa.Array) -> list[np.ndarray]:
 
 def quantise(x: np.ndarray) -> np.ndarray:
     """floor(256 * x), x as double; exact beyond 64 bits by Python's integers."""
-    y = np.floor(SCALE * x.astype(np.float64))
-    return y.astype(np.int64) if not len(y) or np.abs(y).max() < 2**62 else np.array([int(v) for v in y], object)
+    x = x.astype(np.float64)
+    if not len(x) or np.abs(x).max() < 2**54:
+        return np.floor(SCALE * x).astype(np.int64)
+    # A double of 2**54 or more is whole, and 256 times it may be beyond all doubles.
+    return np.array([int(v) * SCALE if abs(v) >= 2**54 else int(np.floor(SCALE * v)) for v in x.tolist()], object)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -85,7 +88,7 @@ class Blocks:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, block: int = BLOCK):
         order = np.lexsort((ids, *_signs(rows)))  # alike vectors share a block, so its bounds are near its scores
-        self.ids, self.rows, self.block = ids[order], rows[order], block
+        self.ids, self.rows, self.block, self.scored = ids[order], rows[order], block, 0
         starts = np.arange(0, len(ids), block)
         self.high = np.maximum.reduceat(self.rows, starts, axis=0) if len(ids) else rows
         self.low = np.minimum.reduceat(self.rows, starts, axis=0) if len(ids) else rows
@@ -94,19 +97,34 @@ class Blocks:
         zero = queries.dtype.type(0) if queries.dtype != object else 0
         return _product(np.maximum(queries, zero), self.high) + _product(np.minimum(queries, zero), self.low)
 
-    def top(self, own: int, query: np.ndarray, bounds: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id; blocks whose bound equals the k-th score may still hold a smaller id."""
-        best: list[tuple[int, int]] = []
-        for j in np.argsort(-bounds, kind="stable"):
-            if len(best) == k and bounds[j] < best[-1][0]:
+    def top(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """The k best (score, id) of each query, ties to the smaller id.
+
+        In round j every query that is still open meets the block of its j-th highest bound; queries that meet the same block
+        are scored in one product. A query is done when its next bound is below its k-th score: a block whose bound equals that score may still hold a smaller id.
+        """
+        bounds = self.bounds(queries)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        best: list[list[tuple[int, int]]] = [[] for _ in own]
+        least: list = [None] * len(own)  # the k-th score, once there are k
+        left = np.arange(len(own))
+        for j in range(bounds.shape[1]):
+            left = np.array([i for i in left if least[i] is None or bounds[i, order[i, j]] >= least[i]], np.int64)
+            if not len(left):
                 break
-            ids = self.ids[j * self.block : (j + 1) * self.block]
-            scores = _product(query[None, :], self.rows[j * self.block : (j + 1) * self.block])[0]
-            may = np.flatnonzero((ids != own) & ((scores >= best[-1][0]) if len(best) == k else True))
-            if len(may) > 4 * k:
-                may = may[np.lexsort((ids[may], -scores[may]))[:k]]
-            if len(may):
-                best = sorted([*best, *((int(scores[i]), int(ids[i])) for i in may)], key=lambda x: (-x[0], x[1]))[:k]
+            blocks = order[left, j]
+            for block in np.unique(blocks):
+                asked = left[blocks == block]
+                rows = slice(block * self.block, (block + 1) * self.block)
+                ids, scores = self.ids[rows], _product(queries[asked], self.rows[rows])
+                self.scored += scores.size
+                for i, of in zip(asked, scores, strict=True):
+                    may = np.flatnonzero((ids != own[i]) & (True if least[i] is None else of >= least[i]))
+                    if len(may) > 4 * k:
+                        may = may[np.lexsort((ids[may], -of[may]))[:k]]
+                    if len(may):
+                        best[i] = sorted([*best[i], *((int(of[m]), int(ids[m])) for m in may)], key=lambda x: (-x[0], x[1]))[:k]
+                        least[i] = best[i][-1][0] if len(best[i]) == k else None
         return best
 
 
@@ -124,10 +142,9 @@ def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             at = {n: b.column(n)[i].as_py() for n in b.schema.names}
             mine, queries = _matrix(at["q_ids"], at["q_ends"], at["q_flat"])
             blocks = Blocks(*_matrix(at["ids"], at["ends"], at["flat"]))
-            bounds = blocks.bounds(queries)
             q, v, s, m = [], [], [], []
-            for j, own in enumerate(mine):
-                for score, vec in blocks.top(int(own), queries[j], bounds[j], k):
+            for j, (own, best) in enumerate(zip(mine, blocks.top(mine, queries, k), strict=True)):
+                for score, vec in best:
                     q.append(int(own))
                     v.append(vec)
                     s.append(score)

@@ -64,16 +64,23 @@ def test_bounds_leave_blocks_out():
     centre = np.repeat(rng.normal(0, 400, (40, 16)), 128, axis=0)
     rows = np.floor(centre + rng.normal(0, 5, centre.shape)).astype(np.int64)
     blocks = topk.Blocks(np.arange(len(rows)), rows)
-    scored = []
-    original, topk._product = topk._product, lambda a, b: scored.append(len(b)) or original(a, b)
-    try:
-        bounds = blocks.bounds(rows[:1])
-        scored.clear()
-        got = blocks.top(0, rows[0], bounds[0], 5)
-    finally:
-        topk._product = original
-    want = sorted((-int(rows[0] @ rows[j]), j) for j in range(1, len(rows)))[:5]
-    assert [(-s, j) for s, j in got] == want and sum(scored) < len(rows) / 4
+    got = blocks.top(np.array([0, 700]), rows[[0, 700]], 5)
+    for own, best in zip((0, 700), got, strict=True):
+        want = sorted((-int(rows[own] @ rows[j]), j) for j in range(len(rows)) if j != own)[:5]
+        assert [(-s, j) for s, j in best] == want
+    assert blocks.scored < 2 * len(rows) / 4
+
+
+def test_topk_of_odd_vectors(spark):
+    assert topk.quantise(np.array([1e307, -1e307, 0.5])).tolist() == [int(1e307) * 256, -int(1e307) * 256, 128]
+    rows = [(0, [1.0, 0.5]), (50, [0.25]), (2, []), (3, [float("inf"), 0.0]), (4, [2.0, -1.0, 7.0]), (5, [float("-inf")]), (6, [1e6, 1e6]), (6, [1e6, 1e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.search(df.where("vec_id % 50 = 0"), df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    big = 256 * 1_000_000
+    assert sorted(got[0]) == [(1, 6, 256 * big + 128 * big), (2, 6, 256 * big + 128 * big), (3, 4, 256 * 512 - 128 * 256), (4, 50, 64 * 256), (5, 2, 0)]
+    assert sorted(got[50]) == [(1, 6, 64 * big), (2, 6, 64 * big), (3, 4, 64 * 512), (4, 0, 64 * 256), (5, 2, 0)]
 
 
 def _brute_classes(texts, weighted=True):
