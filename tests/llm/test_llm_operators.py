@@ -1,6 +1,8 @@
 """Brute force, round trips and edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
+import os
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -373,16 +375,37 @@ def test_training_lowers_the_loss():
 
 
 def test_licences(odd, none, spark):
-    mit = dict(licences.KNOWN[:1])["MIT"]
-    rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENSE")), (2, "text\nReleased under the  MIT licence\nmore"), (3, mit + " and more"), (4, None)]
+    known = {}
+    for name, text in licences.KNOWN:
+        known.setdefault(name, text)
+    mit, bsd = known["MIT"], known["BSD-3-Clause"]
+    wrapped = "\n".join("# " + line for line in textwrap.fill(mit, 60).split("\n"))
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENSE")), (2, "text\nReleased under the  MIT licence\nmore"), (3, mit + " and more"), (4, None),
+        (5, "Copyright 1999 The Owners. All rights reserved.\n" + bsd.replace("the copyright holder nor", "the University nor").replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS").replace("COPYRIGHT HOLDER OR", "REGENTS OR").replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")),
+        (6, f"a file\n\n{wrapped}\n\ncode 1\n{bsd}\nmore code"), (7, "This project is distributed under CC BY-SA 4.0\nApache"), (8, mit.replace("any person", "some persons")), (9, ""),
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(0)).withColumn("licence", F.lit(0))
     got = {r.doc_id: (r.licence, r.notices) for r in licences.scan(df).collect()}
-    assert got == {1: ("MIT", None), 2: (None, "MIT"), 3: (None, None), 4: (None, None)}
+    assert got == {1: ("MIT", "MIT"), 2: (None, "MIT"), 3: (None, "MIT"), 4: (None, None), 5: ("BSD-3-Clause", "BSD-3-Clause"), 6: (None, "BSD-3-Clause,MIT"), 7: (None, "CC-BY-SA-4.0"), 8: (None, None), 9: (None, None)}
     assert licences.scan(odd).count() == odd.count() and licences.scan(none).count() == 0
+    own = licences.known_digests(spark, [("own", "No word here is a usual one"), ("empty", "...")])
+    mine = spark.createDataFrame([(1, "x\nno word HERE is a\nusual one\ny"), (2, "!!")], "doc_id long, text string")
+    assert {r.doc_id: (r.licence, r.notices) for r in licences.scan(mine, own).collect()} == {1: (None, "own"), 2: ("empty", None)}
     plan = licences.scan(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_long_licences_are_found(spark):
+    folder = "/usr/share/common-licenses"
+    if not os.path.exists(f"{folder}/GPL-3"):
+        pytest.skip("no licence files on this machine")
+    read = lambda name: open(f"{folder}/{name}", encoding="utf-8").read()  # noqa: E731, SIM115
+    rows = [(0, read("GPL-3")), (1, "about\n\n" + read("Apache-2.0").upper() + "\n\nmore"), (2, read("MPL-2.0").replace("\n", " \n  ")), (3, read("GPL-2")[:5000])]
+    got = {r.doc_id: (r.licence, r.notices) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0][0] == "GPL-3.0" and got[1][0] is None and "Apache-2.0" in got[1][1].split(",") and got[2][0] == "MPL-2.0" and got[3][0] is None
+
+
 def test_pieces_like_the_library():
     import sentencepiece
 
