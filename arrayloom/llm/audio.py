@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrayloom.llm.common import map_arrow, packed, unpacked
+from arrayloom.llm.wordhash import portions
 
 RATE, ALIGN = 8000, 64
+#: Samples that are widened to more bytes at once.
+BLOCK = 1 << 20
 # WAV format tags.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 # Step sizes and step index changes of IMA ADPCM.
@@ -82,17 +85,19 @@ def adpcm_decode(data: bytes, block: int = ALIGN) -> np.ndarray:
 
 
 def doubled(x: np.ndarray) -> np.ndarray:
-    """Twice the rate: every sample, and between each two the half-band sum of their neighbours (ends are held). Integers only."""
+    """Twice the rate: every sample, and between each two the half-band sum of their neighbours (ends are held). Integers only, a block at a time."""
     if not len(x):
         return x.astype(np.int16)
     n = len(HALF_BAND)
-    wide = np.concatenate([np.repeat(x[:1], n - 1), x, np.repeat(x[-1:], n)]).astype(np.int32)
-    total = np.zeros(len(x), np.int32)
-    for k, weight in enumerate(HALF_BAND.tolist()):
-        total += (wide[n - 1 - k : n - 1 - k + len(x)] + wide[n + k : n + k + len(x)]) * (weight >> 2)
+    held = np.concatenate([np.repeat(x[:1], n - 1), x, np.repeat(x[-1:], n)])
     out = np.empty(2 * len(x), np.int16)
     out[::2] = x
-    out[1::2] = np.clip((total + 4096) >> 13, -32768, 32767)
+    for lo in range(0, len(x), BLOCK):
+        size = min(BLOCK, len(x) - lo)
+        wide, total = held[lo : lo + size + 2 * n - 1].astype(np.int32), np.zeros(size, np.int32)
+        for k, weight in enumerate(HALF_BAND.tolist()):
+            total += (wide[n - 1 - k : n - 1 - k + size] + wide[n + k : n + k + size]) * (weight >> 2)
+        out[1 + 2 * lo : 1 + 2 * (lo + size) : 2] = np.clip((total + 4096) >> 13, -32768, 32767)
     return out
 
 
@@ -139,11 +144,16 @@ def decode(sound: Sound) -> np.ndarray:
 
 
 def features(pcm: np.ndarray) -> str:
-    """Samples, root mean square (rounded down), peak, sign changes and crc32 of 16-bit PCM."""
-    wide = pcm.astype(np.int64)
-    rms = math.isqrt(int((wide * wide).sum()) // max(1, len(pcm)))
-    turns = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return f"{len(pcm)}:{rms}:{int(np.abs(wide).max(initial=0))}:{turns}:{zlib.crc32(pcm.astype('<i2').tobytes())}"
+    """Samples, root mean square (rounded down), peak, sign changes and crc32 of 16-bit PCM, summed over blocks."""
+    power = peak = turns = crc = 0
+    for lo in range(0, len(pcm), BLOCK):
+        part = pcm[lo : lo + BLOCK].astype(np.int64)
+        power += int((part * part).sum())
+        peak = max(peak, int(np.abs(part).max()))
+        down = pcm[lo : lo + BLOCK + 1] < 0
+        turns += int(np.count_nonzero(down[1:] != down[:-1]))
+        crc = zlib.crc32(np.ascontiguousarray(pcm[lo : lo + BLOCK], "<i2"), crc)
+    return f"{len(pcm)}:{math.isqrt(power // max(1, len(pcm)))}:{peak}:{turns}:{crc}"
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -162,16 +172,16 @@ SCHEMA = "__row {row}, __n long, __media binary, __pcm binary, __feature string,
 
 def _store(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column("__text")
-        for lo in range(0, b.num_rows, 64):  # what a few texts make is handed on before the next
+        texts = [t or "" for t in b.column("__text").to_pylist()]
+        for lo, hi in portions(texts, 64):  # what a few texts make is handed on before the next
             part = []
-            for text in texts.slice(lo, 64).to_pylist():
+            for text in texts[lo:hi]:
                 n, payload = payload_of(text)
                 media = wav(codec_of(payload), payload)
                 pcm = doubled(decode(sound := parse(media)))
                 row = (n, media, pcm.astype("<i2").tobytes(), f"{sound.codec}:{features(pcm)}", sound.data)
                 part.append(row if keep else (n, *digests(media, sound.data), row[3]))
-            yield pa.RecordBatch.from_arrays([b.column("__row").slice(lo, 64), *(pa.array(list(c)) for c in zip(*part, strict=True))], names=KEPT if keep else BRIEF)
+            yield pa.RecordBatch.from_arrays([b.column("__row").slice(lo, hi - lo), *(pa.array(list(c)) for c in zip(*part, strict=True))], names=KEPT if keep else BRIEF)
 
 
 KEPT = ["__row", "__n", "__media", "__pcm", "__feature", "__payload"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from arrayloom.llm.common import SPACE, checkpointed, packed, replaced, sized, unpacked
 
-#: Documents that may look one line up in one task, at least.
+#: Occurrences of one line that are looked up in one task, at least.
 HOT_DOCS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,18 +37,18 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_doc
     )
     # One row for each hash and document first: a line of a third of all documents is then counted by partial sums.
     heavy = (
-        lines.groupBy("__h1", "__h2", "__id").agg(F.lit(1).alias("__one"))
-        .groupBy("__h1", "__h2").agg(F.count("*").alias("__docs"), F.max("__id").alias("__keep"))
+        lines.groupBy("__h1", "__h2", "__id").agg(F.count("*").alias("__lines"))
+        .groupBy("__h1", "__h2").agg(F.count("__id").alias("__docs"), F.sum("__lines").alias("__rows"), F.max("__id").alias("__keep"))
         .where(F.col("__docs") >= min_docs)
     )
-    # A line of more than a thousandth of all documents is looked up in parts of about that size. There are at
+    # A line that occurs more often than a thousandth of all documents is looked up in parts of about that size. There are at
     # most a thousand times as many such lines as an average document has, and they are counted before they are sent.
     heavy, part = checkpointed(heavy), max(HOT_DOCS, docs.count() // 1000)
-    parts = F.ceil(F.col("__docs") / part).cast("int")
-    hot = heavy.where(F.col("__docs") > part).select("__h1", "__h2", parts.alias("__parts"))
+    parts = F.ceil(F.col("__rows") / part).cast("int")
+    hot = heavy.where(F.col("__rows") > part).select("__h1", "__h2", parts.alias("__parts"))
     salt = F.pmod(F.xxhash64("__id", "__mark", "__pos"), F.col("__parts")).cast("int")
     lines = lines.join(sized(hot), ["__h1", "__h2"], "left").withColumn("__salt", F.coalesce(salt, F.lit(0)))
-    heavy = heavy.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("__docs") > part, parts - 1).otherwise(0))))
+    heavy = heavy.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("__rows") > part, parts - 1).otherwise(0))))
     drops = (
         lines.join(heavy.select("__h1", "__h2", "__salt", "__keep"), ["__h1", "__h2", "__salt"])
         .where(F.col("__id").isNull() | (F.col("__id") < F.col("__keep")))
@@ -77,7 +77,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns of the same names.
 
     Null or empty text: one empty line, kept. Rows of one id are one document and their
-    lines share its fate. A null id counts as one document that is smaller than all others.
+    lines share its fate. A row without an id counts as no document, and loses the lines that enough documents hold.
     An empty table gives an empty table.
     """
     marked = _marked(docs, id_col, text_col, min_chars, min_docs)
@@ -109,7 +109,7 @@ WITH l AS (
 k AS (SELECT doc_id, pos, line, translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 h AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-m AS (SELECT k.doc_id, k.pos, k.line, (h.key IS NOT NULL AND k.doc_id < h.keep) AS dropped FROM k LEFT JOIN h ON k.key = h.key)
+m AS (SELECT k.doc_id, k.pos, k.line, (h.key IS NOT NULL AND coalesce(k.doc_id < h.keep, true)) AS dropped FROM k LEFT JOIN h ON k.key = h.key)
 SELECT doc_id, count(*)::BIGINT AS n_lines, sum(dropped::INT)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM m GROUP BY doc_id

@@ -124,12 +124,14 @@ SCHEMA = "__row {row}, __host string, __path string, __rule string, __verdict st
 _OPEN: dict[int, DigestArray] = {}
 
 
-def _judge(shared, lengths: list[int], first: bool):
+def _judge(shared, key: int, lengths: list[int], first: bool):
+    """key: the buffer's digest, by which a worker knows the map that it has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.value and id(shared.value) not in _OPEN:
+        if key not in _OPEN:
             _OPEN.clear()
-            _OPEN[id(shared.value)] = DigestArray.mapped(shared.value)
-        found = _OPEN[id(shared.value)]
+            _OPEN[key] = DigestArray.mapped(shared.value)
+        found = _OPEN[key]
         for b in batches:
             if first:
                 pairs = [split_url(u) for u in b.column("__url").to_pylist()]
@@ -169,7 +171,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, url_c
     for k, part in enumerate(_parts(rules, part_bytes)):
         buffer = DigestArray.build((h + p, int(action == "allow")) for action, h, p in part)
         lengths = sorted({len(p) for _, _, p in part})
-        df = map_arrow(df, _judge(spark.sparkContext.broadcast(buffer), lengths, first=k == 0), schema)
+        df = map_arrow(df, _judge(spark.sparkContext.broadcast(buffer), xxhash.xxh3_128_intdigest(buffer), lengths, first=k == 0), schema)
     return unpacked(df, pages.columns, host=F.col("__host"), path=F.col("__path"), rule=F.col("__rule"), verdict=F.coalesce("__verdict", F.lit(default)))
 
 

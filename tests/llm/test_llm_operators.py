@@ -42,6 +42,16 @@ def test_line_dedup(odd, none):
     assert {(r.doc_id, r.text, r.n_chars) for r in kept.where("doc_id in (1, 5, 6)").collect()} == {(1, "own one", 7), (5, None, None), (6, "", 0)}
 
 
+def test_line_dedup_of_rows_without_ids(spark, duck):
+    line = "a line that is long enough to count"
+    rows = [(None, line), (None, f"{line}\nx"), (1, line), (2, f"y\n{line}"), (None, "another line that two documents hold"), (3, "another line that two documents hold"), (4, "another line that two documents hold")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_dropped) for r in line_dedup.line_dedup(df).collect())
+    assert got == [(0, 0), (0, 0), (0, 0), (1, 0), (2, 0), (3, 0), (4, 0)]
+    got = sorted((r.doc_id or 0, r.n_dropped) for r in line_dedup.line_dedup(df.union(spark.createDataFrame([(5, line)], df.schema))).collect())
+    assert got == [(0, 0), (0, 1), (0, 1), (1, 1), (2, 1), (3, 0), (4, 0), (5, 0)]
+
+
 def test_topk_by_brute_force(spark):
     rng = np.random.default_rng(5)
     v = np.round(rng.normal(0, 0.3, (600, 6)), 1)  # rounded: many ties
@@ -245,6 +255,34 @@ def test_audio_of_odd_rows(odd, none):
     assert by[7].n_bytes == 200_000 and audio.described(none).count() == 0
 
 
+def test_audio_columns_by_brute_force(spark, monkeypatch):
+    import hashlib
+
+    texts = ["", None, "short", "é" * 500, "long text " * 3000] + [f"text number {i} " * (i + 1) for i in range(20)]
+    rows = {r.doc_id: r for r in audio.described(_table(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        codec = ["mulaw", "alaw", "adpcm"][zlib.crc32(payload) % 3]
+        media = audio.wav(codec, payload)
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        x = audio.decode(audio.parse(media)).astype(int).tolist()
+        at = lambda j, x=x: x[min(max(j, 0), len(x) - 1)]
+        pcm = []
+        for j in range(len(x)):
+            total = sum((at(j - k) + at(j + 1 + k)) * (w >> 2) for k, w in enumerate(audio.HALF_BAND.tolist()))
+            pcm += [x[j], max(-32768, min(32767, (total + 4096) >> 13))]
+        signs = [v < 0 for v in pcm]
+        crc = zlib.crc32(np.array(pcm, "<i2").tobytes())
+        assert r.feature == f"{codec}:{len(pcm)}:{int((sum(v * v for v in pcm) // len(pcm)) ** 0.5)}:{max(map(abs, pcm))}:{sum(a != b for a, b in zip(signs, signs[1:]))}:{crc}"
+    sound = np.random.default_rng(1).integers(-32768, 32768, 5000).astype(np.int16)
+    want = audio.doubled(sound), audio.features(sound)
+    monkeypatch.setattr(audio, "BLOCK", 33)
+    assert (audio.doubled(sound) == want[0]).all() and audio.features(sound) == want[1]
+
+
 def test_mixing(odd, none, spark, sf):
     out = mixing.mix(odd).collect()
     assert all(r.taken <= 2 * r.size for r in out) and {r.taken for r in out if r.doc_id in (5, 6)} == {0}
@@ -518,6 +556,15 @@ def test_urls(spark):
     assert parts == got and url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_urls_of_repeated_and_long_rows(spark):
+    long = "http://" + "a." * 500 + "example.org/es/" + "x" * 100_000
+    df = spark.createDataFrame([(1, long), (1, long), (2, "http://com/de/"), (2, "http://com/de/")], "page_id long, url string")
+    rows = url_filter.judge(df).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in rows) == [(1, "example.org/es/", "block")] * 2 + [(2, "com/de/", "block")] * 2
+    other = url_filter.judge(df, rules=[("allow", "com", "/de/")]).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in other) == [(1, None, "allow")] * 2 + [(2, "com/de/", "allow")] * 2
+
+
 def test_colliding_digests_are_told_apart(monkeypatch):
     monkeypatch.setattr(url_filter, "digests", lambda strings: np.array([len(s) for s in strings], "<u8"))
     found = url_filter.DigestArray.mapped(url_filter.DigestArray.build([("aa", 1), ("bb", 0), ("cc", 1)]))
