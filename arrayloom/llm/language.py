@@ -20,7 +20,7 @@ from arrayloom.llm.common import below, bounded_batches, packed, unpacked
 #: Bounds of the labelled sample that the dictionaries are cut from: texts a language, characters a text, bytes a dictionary, languages.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES, LANGUAGES = 400, 2000, 400 << 10, 500
 BLOCK_BYTES, LEVEL = 4096, 9
-#: A text is rejected if the second smallest size is less than this share above the smallest.
+#: A text is rejected if the second smallest size is less than this share above the smallest. Sizes are whole bytes: where the share is less than one byte it tells nothing, and the text stays.
 MARGIN = 0.003
 NONE = "und"
 
@@ -75,14 +75,14 @@ class Classifier:
             return self.names[0], 1.0, False
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], self.names[i]))
         gap = (sizes[order[1]] - sizes[order[0]]) / sizes[order[1]]
-        return self.names[order[0]], gap, gap < margin
+        return self.names[order[0]], gap, gap < margin and sizes[order[1]] * margin >= 1
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """All columns and lang_pred, score, rejected; these replace input columns of their names.
 
     lang_pred is a learned language, or ``und`` if the text is null or has no letter. The score is the
-    share by which the best size lies under the second. rejected: ``und``, or a score under ``margin``.
+    share by which the best size lies under the second. rejected: ``und``, or a score under ``margin`` in a text long enough to tell.
     Ties go to the first name. Equal texts get equal results. Empty table: empty result.
     """
     bounded_batches(docs.sparkSession)

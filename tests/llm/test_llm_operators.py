@@ -213,6 +213,38 @@ def test_languages_of_odd_rows(odd, none):
     assert {r.lang_pred for r in language.identify(odd, {}).collect()} == {"und"}
 
 
+def test_short_clean_texts_are_not_rejected(spark):
+    made = {"de": b"der die das und ist nicht ein eine " * 50, "en": b"the of and to in is that it was for " * 50}
+    model = language.Classifier(made)
+    for text in ("The.", "Das", "and", "x"):
+        name, score, rejected = model.predict(text)
+        assert name in made and 0 <= score <= 1 and not rejected
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(3000))
+    assert model.predict(noise)[2] and not model.predict("the of and to in is that it was for " * 400)[2] and model.predict("12 !!") == ("und", 0.0, True)
+
+
+def test_languages_by_a_slow_classifier(spark, sf):
+    """The columns of the query, text by text."""
+    from arrayloom.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.Classifier(language.learn(docs))
+    rows = {r.doc_id: r for r in queries.op4_language_id(spark, sf).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        sizes = {}
+        for name, coder in zip(model.names, model.coders, strict=True):
+            raw = r.text.lower().encode()
+            sizes[name] = sum(len(coder.compress(raw[i : i + language.BLOCK_BYTES])) for i in range(0, len(raw), language.BLOCK_BYTES))
+        best, second = sorted(sizes.values())[:2]
+        got = rows[r.doc_id]
+        assert got.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        if any(map(str.isalpha, r.text)):
+            assert got.lang_pred == min(n for n, s in sizes.items() if s == best) and abs(got.score - (second - best) / second) < 1e-12
+        else:
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+
+
 def test_held_out_is_the_checksum_rule(spark):
     rows = spark.range(50).select("id", language.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)
