@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arrayloom.cut import quotient
+
 # Element types of the container and the Spark types that hold all their values.
 ELEMENT_TYPES: dict[str, T.DataType] = {
     "i8": T.ByteType(), "i16": T.ShortType(), "i32": T.IntegerType(), "i64": T.LongType(),
@@ -48,7 +50,7 @@ def long_to_vectors(df: DataFrame) -> DataFrame:
 
 
 def chunk_of(axis: Column, size: int) -> Column:
-    return F.floor(axis / F.lit(size)).cast("long")
+    return quotient(axis, size)
 
 
 def split_chunks(df: DataFrame, axes: Sequence[str], value: str, chunk: Sequence[int], fill: object = 0) -> DataFrame:
@@ -72,7 +74,7 @@ def assemble_chunks(df: DataFrame, chunk: Sequence[int], dims: Sequence[int]) ->
     """i0.., value from chunk rows; what lies beyond ``dims`` (edge filling) is left out. No shuffle."""
     steps = strides(chunk)
     rows = df.select(*(f"c{d}" for d in range(len(chunk))), F.posexplode("payload").alias("at", "value"))
-    axes = [(F.col(f"c{d}") * s + F.pmod(F.floor(F.col("at") / steps[d]), F.lit(s))).cast("long") for d, s in enumerate(chunk)]
+    axes = [(F.col(f"c{d}") * s + F.pmod(quotient(F.col("at"), steps[d]), F.lit(s))).cast("long") for d, s in enumerate(chunk)]
     out = rows.select(*(a.alias(f"i{d}") for d, a in enumerate(axes)), "value")
     for d, n in enumerate(dims):
         out = out.where(F.col(f"i{d}") < n)
@@ -84,5 +86,5 @@ def implicit_chunks(spark, base: int, dims: Sequence[int], chunk: Sequence[int],
     counts = [-(-n // c) for n, c in zip(dims, chunk, strict=True)]
     step = strides(counts)
     df = spark.range(prod(counts))
-    coord = [F.pmod(F.floor(F.col("id") / step[d]), F.lit(counts[d])).cast("long") for d in range(len(dims))]
+    coord = [F.pmod(quotient(F.col("id"), step[d]), F.lit(counts[d])).cast("long") for d in range(len(dims))]
     return df.select(*(c.alias(f"c{d}") for d, c in enumerate(coord)), *((c * chunk[d]).alias(f"offset{d}") for d, c in enumerate(coord)), (F.lit(base) + F.col("id") * prod(chunk) * element_size).alias("address"))

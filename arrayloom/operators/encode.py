@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arrayloom.cut import numbered, quotient
+
 
 def dictionary(df: DataFrame, value: str, position: str) -> DataFrame:
-    """(value, code): codes from 0 in the order of first appearance. One row a distinct value, aggregated before the window."""
+    """(value, code): codes from 0 in the order of first appearance (position: a number). One row a distinct value, numbered part by part."""
     first = df.groupBy(F.col(value).alias("value")).agg(F.min(position).alias("first"))
-    return first.select("value", (F.row_number().over(Window.orderBy("first", "value")) - 1).cast("int").alias("code"))
+    return numbered(first, "first", "value", name="code").select("value", F.col("code").cast("int").alias("code"))
 
 
 def encode(df: DataFrame, value: str, position: str) -> DataFrame:
@@ -40,29 +42,40 @@ def lane(index: Column, lanes: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), index), F.lit(lanes)).cast("int")
 
 
-def even_lanes(df: DataFrame, index: str, lanes: int, seed: int = 0) -> DataFrame:
+def even_lanes(df: DataFrame, index: str, lanes: int, seed: int = 0, parts: int = 1024) -> DataFrame:
     """df and lane: items in the order of their hashed lanes, cut anew so that sizes differ by one at most.
 
-    Lane totals come first (lanes are few); ranks are taken within a lane, and a lane's offset is added.
+    A lane's items are ordered by a second hash first: they are counted and numbered in so many parts a lane, from offsets of the parts.
     """
-    own = df.withColumn("__l", lane(F.col(index), lanes, seed))
-    totals = own.groupBy("__l").agg(F.count("*").alias("__n"))
-    offsets = totals.select(F.col("__l").alias("__k"), (F.sum("__n").over(Window.orderBy("__l")) - F.col("__n")).alias("__o"), F.sum("__n").over(Window.partitionBy()).alias("__t"))
-    at = F.row_number().over(Window.partitionBy("__l").orderBy(index)) - 1
-    out = own.withColumn("__r", at).join(F.broadcast(offsets), F.col("__l") == F.col("__k"))
-    return out.withColumn("lane", F.floor((F.col("__o") + F.col("__r")) * lanes / F.col("__t")).cast("int")).drop("__l", "__r", "__k", "__o", "__t", "__n")
+    own = df.withColumn("__l", lane(F.col(index), lanes, seed)).withColumn("__s", lane(F.col(index), parts, seed + 1))
+    totals = own.groupBy("__l", "__s").agg(F.count("*").alias("__n"))
+    # One row a part of a lane.
+    offsets = totals.select(F.col("__l").alias("__k"), F.col("__s").alias("__j"), (F.sum("__n").over(Window.orderBy("__l", "__s")) - F.col("__n")).alias("__o"), F.sum("__n").over(Window.partitionBy()).alias("__t"))
+    at = F.row_number().over(Window.partitionBy("__l", "__s").orderBy(index)) - 1
+    out = own.withColumn("__r", at).join(F.broadcast(offsets), (F.col("__l") == F.col("__k")) & (F.col("__s") == F.col("__j")))
+    return out.withColumn("lane", F.call_function("div", (F.col("__o") + F.col("__r")) * lanes, F.col("__t")).cast("int")).drop("__l", "__s", "__r", "__k", "__j", "__o", "__t", "__n")
+
+
+def lane_statistics(lanes: DataFrame, stored: str, whole: str, number: int) -> DataFrame:
+    """lane, chunks, stored_bytes, whole_bytes of every lane (also of empty ones), and most and least, the largest and smallest number of chunks of a lane."""
+    by = lanes.groupBy("lane").agg(F.count("*").alias("c"), F.sum(stored).alias("s"), F.sum(whole).alias("w"))
+    every = lanes.sparkSession.range(number).select(F.col("id").cast("int").alias("lane")).join(by, "lane", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    rows = every.select("lane", zero("c").alias("chunks"), zero("s").alias("stored_bytes"), zero("w").alias("whole_bytes"))
+    ends = Window.partitionBy()  # one row a lane
+    return rows.select("*", F.max("chunks").over(ends).alias("most"), F.min("chunks").over(ends).alias("least"))
 
 
 def subfile(offset: Column, stripe: int, files: int) -> tuple[Column, Column]:
     """(sub-file, offset in it) of a logical offset in stripes dealt round."""
-    block = F.floor(offset / F.lit(stripe))
-    return F.pmod(block, F.lit(files)).cast("int"), (F.floor(block / files) * stripe + F.pmod(offset, F.lit(stripe))).cast("long")
+    block = quotient(offset, stripe)
+    return F.pmod(block, F.lit(files)).cast("int"), (quotient(block, files) * stripe + F.pmod(offset, F.lit(stripe))).cast("long")
 
 
 def subfile_range(offset: Column, length: Column, stripe: int) -> Column:
     """Array of the stripes that [offset, offset + length) touches."""
-    return F.sequence(F.floor(offset / stripe).cast("long"), F.floor((offset + F.greatest(length, F.lit(1)) - 1) / stripe).cast("long"))
+    return F.sequence(quotient(offset, stripe), quotient(offset + F.greatest(length, F.lit(1)) - 1, stripe))
 
 
 def aligned(x: Column, line: int = 64) -> Column:
-    return (F.ceil(x / F.lit(line)) * line).cast("long")
+    return (quotient(x + (line - 1), line) * line).cast("long")

@@ -10,6 +10,8 @@ from math import prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arrayloom.cut import quotient
+
 
 @dataclass(frozen=True)
 class Hyperslab:
@@ -58,8 +60,8 @@ def select(df: DataFrame, axes: Sequence[str], slab: Hyperslab) -> DataFrame:
         return rows
     for axis, start, stride, count, block in zip(axes, slab.start, slab.stride, slab.count, slab.block, strict=True):
         # The blocks that cover i are those b with b * stride <= i - start < b * stride + block.
-        first = F.greatest(F.lit(0), F.floor((F.col(axis) - start - block) / stride) + 1).cast("long")
-        last = F.least(F.lit(count - 1), F.floor((F.col(axis) - start) / stride)).cast("long")
+        first = F.greatest(F.lit(0), quotient(F.col(axis) - start - block, stride) + 1).cast("long")
+        last = F.least(F.lit(count - 1), quotient(F.col(axis) - start, stride)).cast("long")
         rows = rows.withColumn("__b", F.explode(F.sequence(first, last))).drop("__b")
     return rows
 
@@ -68,18 +70,27 @@ def none(df: DataFrame) -> DataFrame:
     return df.where(F.lit(False))
 
 
+#: Different indexes of an axis that are listed in a filter; more are given by their hull.
+LISTED = 100
+
+
 def points(df: DataFrame, axes: Sequence[str], coords: Sequence[Sequence[int]]) -> DataFrame:
     """pos, the axes and the columns of df for each point, in the order asked (sort by pos), repeats kept.
 
-    A point outside the array gives nulls. The points are a literal list; df is only filtered and never sorted.
+    A point outside the array gives nulls. The points are a literal list that is broadcast to the array, which is
+    only filtered; what is found, at most a row a point, meets the list again.
     """
-    shape = ", ".join(["pos int", *(f"__{a} long" for a in axes)])
-    asked = df.sparkSession.createDataFrame([(i, *map(int, c)) for i, c in enumerate(coords)], shape)
+    shape = ", ".join(f"__{a} long" for a in axes)
+    different = sorted({tuple(map(int, c)) for c in coords})
+    asked = df.sparkSession.createDataFrame([(i, *map(int, c)) for i, c in enumerate(coords)], f"pos int, {shape}")
     rest = [c for c in df.columns if c not in axes]
+    near = df
+    for d, a in enumerate(axes):
+        held = sorted({c[d] for c in different})
+        near = near.where(F.col(a).isin(held) if len(held) <= LISTED else F.col(a).between(held[0], held[-1]))
     on = reduce(lambda a, b: a & b, [F.col(f"__{a}") == F.col(a) for a in axes])
-    wanted = {tuple(c) for c in coords}
-    near = df.where(reduce(lambda a, b: a & b, [F.col(a).isin(sorted({c[d] for c in wanted})) for d, a in enumerate(axes)]))
-    return F.broadcast(asked).join(near, on, "left").select("pos", *(F.col(f"__{a}").alias(a) for a in axes), *rest)
+    found = near.join(F.broadcast(df.sparkSession.createDataFrame(different, shape)), on).drop(*(f"__{a}" for a in axes))
+    return asked.join(found, on, "left").select("pos", *(F.col(f"__{a}").alias(a) for a in axes), *rest)
 
 
 def intersects_chunk(offsets: Sequence[Column], chunk: Sequence[int], slab: Hyperslab) -> Column:
