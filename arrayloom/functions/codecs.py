@@ -1,4 +1,4 @@
-"""Storage filters over binary columns: shuffle, deflate, zstd and Fletcher-32, chained as they are stored."""
+"""Storage filters over binary columns: shuffle, deflate, LZ4, zstd and Fletcher-32, chained as they are stored."""
 
 from __future__ import annotations
 
@@ -35,6 +35,8 @@ def _encode(data: bytes, name: str, arg: int) -> bytes:
         import zstandard
 
         return zstandard.ZstdCompressor(level=arg).compress(data)
+    if name == "lz4":  # a block behind its size
+        return len(data).to_bytes(4, "little") + pa.Codec("lz4_raw").compress(data, asbytes=True)
     if name == "fletcher32":
         return data + fletcher32(data).to_bytes(4, "little")
     raise ValueError(f"unknown filter {name}")
@@ -49,6 +51,10 @@ def _decode(data: bytes, name: str, arg: int) -> bytes:
         import zstandard
 
         return zstandard.ZstdDecompressor().decompress(data)
+    if name == "lz4":
+        if len(data) < 4:
+            raise ValueError("no size in front of the block")
+        return pa.Codec("lz4_raw").decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True) if len(data) > 4 else b""
     if name == "fletcher32":
         if len(data) < 4 or fletcher32(data[:-4]) != int.from_bytes(data[-4:], "little"):
             raise ValueError("checksum mismatch")

@@ -23,6 +23,23 @@ def wrap_signed(c: Column, bits: int = 32) -> Column:
     return F.pmod(c + half, whole) - half
 
 
+def as_i64(c: Column, element: str) -> Column:
+    """A stored integer as a signed 64-bit number: its bytes are sign-extended by their width, also where the type is unsigned (u8 255 is -1). Floats are refused."""
+    if element not in RANK or element[0] == "f":
+        raise ValueError(f"{element} can't be read as i64")
+    if element == "u64":
+        d, whole = c.cast("decimal(20,0)"), F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
+        return F.when(d >= F.lit(Decimal(1 << 63)).cast("decimal(20,0)"), d - whole).otherwise(d).cast("bigint")
+    return wrap_signed(c.cast("bigint"), 8 * RANK[element]) if element[0] == "u" else c.cast("bigint")
+
+
+def region_reference(raw: Column, size: int) -> Column:
+    """Region references from the bytes of a dataset: an array of so many bytes each, as they are. Bytes that don't fill the last one are an error."""
+    n = F.octet_length(raw)
+    whole = F.when(F.pmod(n, F.lit(size)) != 0, F.raise_error(F.lit(f"the bytes are no multiple of {size}"))).otherwise(F.call_function("div", n, F.lit(size)))
+    return F.when(n == 0, F.array().cast("array<binary>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(whole, F.lit(1))), lambda i: F.substr(raw, ((i - 1) * size + 1).cast("int"), F.lit(size))))
+
+
 def zero_extend(c: Column, width: int) -> Column:
     """The unsigned value of a number's ``width`` low bytes. 8 bytes need decimal(20,0)."""
     if width == 8:

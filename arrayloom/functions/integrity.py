@@ -16,6 +16,18 @@ def sha256(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def crc32(c: Column) -> Column:
+    return F.crc32(c)
+
+
+def provenance(raw: Column, creator: str, timestamp: str, source: str | None = None) -> Column:
+    """The attributes that tell where a dataset comes from, by name: the SHA-256 of its raw bytes, who made it, when, and from what if that is told."""
+    told = {"_provenance_sha256": sha256(raw), "_provenance_creator": F.lit(creator), "_provenance_timestamp": F.lit(timestamp)}
+    if source is not None:
+        told["_provenance_source"] = F.lit(source)
+    return F.create_map(*(x for k, v in told.items() for x in (F.lit(k), v)))
+
+
 def verify(stored: Column, computed: Column) -> Column:
     """NoHash, Ok or Mismatch."""
     return F.when(stored.isNull(), F.lit("NoHash")).when(stored == computed, F.lit("Ok")).otherwise(F.lit("Mismatch"))

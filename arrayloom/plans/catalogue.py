@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from arrayloom import catalog, model
 from arrayloom.functions import codecs, convert, integrity, vector
+from arrayloom.functions.records import Record
 from arrayloom.operators import access, ann, cf, encode, selection
 from arrayloom.operators.selection import Hyperslab
 from arrayloom.sources import container
@@ -43,8 +45,8 @@ def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(vectors: DataFrame) -> DataFrame:
-    """The stated queries of the search queries: vec_id 0 to 5."""
-    return vectors.where(F.col("id").between(0, 5))
+    """The stated queries of the search queries: every row whose id is divisible by 100, against all rows."""
+    return vectors.where(F.col("id") % 100 == 0)
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,9 +137,11 @@ def selection_write(spark, sf_dir):
     return selection.write(rows, ["o_orderkey"], "o_totalprice", new)
 
 
-@query("SELECT vec_id AS i0, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) IS NOT NULL AS whole, len(embedding)::INT AS n FROM embeddings")
+@query("SELECT vec_id AS i0, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: i * embedding[i]::DOUBLE)), 6) AS weighed, embedding[1]::DOUBLE AS first, embedding[len(embedding)]::DOUBLE AS last, len(embedding)::INT AS n FROM embeddings")
 def layout_round_trip(spark, sf_dir):
-    return model.long_to_vectors(_long(spark, sf_dir)).select("i0", F.lit(True).alias("whole"), F.size("values").alias("n"))
+    back = model.long_to_vectors(_long(spark, sf_dir))
+    weighed = F.aggregate(F.transform("values", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return back.select("i0", F.round(weighed, 6).alias("weighed"), F.get("values", F.lit(0)).cast("double").alias("first"), F.element_at("values", -1).cast("double").alias("last"), F.size("values").alias("n"))
 
 
 # Compounds, catalog and references.
@@ -244,6 +248,41 @@ def conversion_cost(spark, sf_dir):
     return spark.createDataFrame([(a, b, convert.conversion_cost(a, b)) for a, b in pairs], "source string, target string, cost string")
 
 
+@query("SELECT p_partkey, (CASE WHEN p_size % 256 >= 128 THEN p_size % 256 - 256 ELSE p_size % 256 END)::BIGINT AS u8, (CASE WHEN p_partkey * 37 % 65536 >= 32768 THEN p_partkey * 37 % 65536 - 65536 ELSE p_partkey * 37 % 65536 END)::BIGINT AS u16, (-p_partkey)::BIGINT AS u64, p_size::BIGINT AS i32 FROM part")
+def convert_i64_by_width(spark, sf_dir):
+    """Integers read as signed by their width, whatever their own sign."""
+    huge = (F.lit(Decimal(18446744073709551615)).cast("decimal(20,0)") - F.col("p_partkey") + 1).cast("decimal(20,0)")
+    p = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 256).alias("a"), (F.col("p_partkey") * 37 % 65536).alias("b"), huge.alias("c"), F.col("p_size").alias("d"))
+    return p.select("p_partkey", convert.as_i64(F.col("a"), "u8").alias("u8"), convert.as_i64(F.col("b"), "u16").alias("u16"), convert.as_i64(F.col("c"), "u64").alias("u64"), convert.as_i64(F.col("d"), "i32").alias("i32"))
+
+
+@query("SELECT c_custkey, (i - 1)::INT AS pos, substr(c_name, (3 * (i - 1) + 1)::INT, 3) AS part FROM customer, range(1, 7) t(i)")
+def region_references(spark, sf_dir):
+    """Eighteen bytes as six opaque references of three bytes."""
+    raw = _t(spark, sf_dir, "customer").select("c_custkey", convert.region_reference(F.col("c_name").cast("binary"), 3).alias("refs"))
+    return raw.select("c_custkey", F.posexplode("refs").alias("pos", "part")).withColumn("part", F.decode("part", "utf-8"))
+
+
+RECORD = Record({"key": "i64", "nation": "i32", "small": ("u8", 2), "on": "bool"})
+SQL_BYTES = " || ".join([*(f"printf('%02X', ((c_custkey >> {8 * i}) & 255)::INT)" for i in range(8)), *(f"printf('%02X', ((c_nationkey::BIGINT >> {8 * i}) & 255)::INT)" for i in range(4)), "printf('%02X', (c_custkey % 7)::INT)", "printf('%02X', (c_custkey % 11)::INT)", "printf('%02X', (c_custkey % 2)::INT)"])
+
+
+def _records(spark, sf_dir):
+    small = F.array((F.col("c_custkey") % 7).cast("short"), (F.col("c_custkey") % 11).cast("short"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("int").alias("nation"), small.alias("small"), (F.col("c_custkey") % 2 == 1).alias("on")).alias("record"))
+
+
+@query(f"SELECT c_custkey, {SQL_BYTES} AS packed FROM customer")
+def record_bytes(spark, sf_dir):
+    return _records(spark, sf_dir).select("c_custkey", F.hex(RECORD.to_bytes(F.col("record"))).alias("packed"))
+
+
+@query("SELECT c_custkey, c_custkey AS key, c_nationkey::INT AS nation, (c_custkey % 11)::SMALLINT AS second, c_custkey % 2 = 1 AS 'on' FROM customer")
+def record_round_trip(spark, sf_dir):
+    back = _records(spark, sf_dir).select("c_custkey", RECORD.to_bytes(F.col("record")).alias("raw")).select("c_custkey", RECORD.from_bytes(F.col("raw")).alias("r"))
+    return back.select("c_custkey", "r.key", "r.nation", F.get("r.small", F.lit(1)).alias("second"), "r.on")
+
+
 @query()
 def half_precision(spark, sf_dir):
     import pyarrow as pa
@@ -277,13 +316,43 @@ def fletcher32(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", integrity.fletcher32_column(raw, 0).alias("storage"), integrity.fletcher32_column(raw, 0xFFFF).alias("kernel"))
 
 
-@query("SELECT doc_id, strlen(text) AS n, true AS same FROM documents")
+@query("SELECT doc_id, strlen(text) AS n, sha256(text) AS back FROM documents")
 def filter_pipeline(spark, sf_dir):
     steps = [("shuffle", 4), ("deflate", 6), ("fletcher32", 0)]
     raw = F.col("text").cast("binary")
     rows = _t(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"), codecs.column(raw, steps).alias("stored"))
     back = codecs.column(F.col("stored"), steps, back=True)
-    return rows.select("doc_id", F.octet_length("raw").cast("long").alias("n"), (back == F.col("raw")).alias("same"))
+    return rows.select("doc_id", F.octet_length("raw").cast("long").alias("n"), F.sha2(back, 256).alias("back"))
+
+
+@query("SELECT doc_id, strlen(text) AS size, sha256(text) AS back FROM documents")
+def lz4_blocks(spark, sf_dir):
+    steps, raw = [("lz4", 0)], F.col("text").cast("binary")
+    rows = _t(spark, sf_dir, "documents").select("doc_id", codecs.column(raw, steps).alias("stored"))
+    # The size stands in front of the block, lowest byte first.
+    byte = lambda i: F.conv(F.hex(F.substr(F.col("stored"), F.lit(i), F.lit(1))), 16, 10).cast("long")
+    size = byte(1) + 256 * byte(2) + 65536 * byte(3) + 16777216 * byte(4)
+    return rows.select("doc_id", size.alias("size"), F.sha2(codecs.column(F.col("stored"), steps, back=True), 256).alias("back"))
+
+
+@query("SELECT i AS id, (CASE i WHEN 0 THEN 3421780262 WHEN 1 THEN 0 WHEN 2 THEN 3904355907 ELSE 4265440379 END)::BIGINT AS crc FROM range(0, 3) t(i)")
+def crc32_published(spark, sf_dir):
+    """Published values of the checksum: of "123456789", of nothing and of "a"."""
+    rows = spark.createDataFrame([(0, "123456789"), (1, ""), (2, "a")], "id long, s string")
+    return rows.select("id", integrity.crc32(F.col("s").cast("binary")).alias("crc"))
+
+
+@query()
+def crc32_documents(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", integrity.crc32(F.col("text").cast("binary")).alias("crc"))
+
+
+@query("""SELECT doc_id, sha256(text) AS sha256, 'a maker' AS creator, '2020-01-02T03:04:05Z' AS timestamp, source, 4 AS n FROM documents""")
+def provenance_attributes(spark, sf_dir):
+    told = integrity.provenance(F.col("text"), "a maker", "2020-01-02T03:04:05Z", "documents")
+    at = lambda k: F.element_at("told", f"_provenance_{k}").alias(k)
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("from"), told.alias("told"))
+    return rows.select("doc_id", at("sha256"), at("creator"), at("timestamp"), F.when(at("source") == "documents", F.col("from")).alias("source"), F.size("told").alias("n"))
 
 
 # Climate conventions.
@@ -353,10 +422,24 @@ def dict_beneficial(spark, sf_dir):
     return encode.ratio(_t(spark, sf_dir, "part"), "p_name")
 
 
-@query()
+@query("SELECT lane::INT AS lane, n // 8 + (CASE WHEN lane < n % 8 THEN 1 ELSE 0 END) - (n // 8 + (CASE WHEN lane < n % 8 THEN 1 ELSE 0 END)) AS off, d AS items FROM range(0, 8) t(lane), (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS d FROM orders)")
 def lane_partition(spark, sf_dir):
-    rows = _t(spark, sf_dir, "orders").select("o_orderkey")
-    return encode.even_lanes(rows, "o_orderkey", 8, seed=7).groupBy("lane").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
+    """How far each of eight lanes is from the size that even lanes have (0 or 1 more for some), and that no item is lost or comes twice."""
+    rows = encode.even_lanes(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 8, seed=7)
+    one = rows.agg(F.count("*").alias("all"), F.countDistinct("o_orderkey").alias("items"))
+    lanes = rows.groupBy("lane").agg(F.count("*").alias("n")).join(F.broadcast(one))
+    least = F.call_function("div", F.col("all"), F.lit(8))
+    off = F.when(F.col("n").between(least, least + F.when(F.col("all") % 8 > 0, 1).otherwise(0)), F.lit(0)).otherwise(F.col("n") - least)
+    return lanes.select("lane", off.cast("long").alias("off"), "items")
+
+
+SQL_LANES = "l AS (SELECT lane, count(*) AS chunks, sum(s)::BIGINT AS stored_bytes, sum(w)::BIGINT AS whole_bytes FROM (SELECT (l_orderkey % 5)::INT AS lane, l_quantity::BIGINT AS s, l_linenumber * 100 AS w FROM lineitem) GROUP BY 1), e AS (SELECT i::INT AS lane, coalesce(chunks, 0) AS chunks, coalesce(stored_bytes, 0) AS stored_bytes, coalesce(whole_bytes, 0) AS whole_bytes FROM range(0, 7) t(i) LEFT JOIN l ON i = lane)"
+
+
+@query(f"WITH {SQL_LANES} SELECT *, (SELECT max(chunks) FROM e) AS most, (SELECT min(chunks) FROM e) AS least FROM e")
+def lane_statistics(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 5).cast("int").alias("lane"), F.col("l_quantity").cast("long").alias("s"), (F.col("l_linenumber") * 100).alias("w"))
+    return encode.lane_statistics(rows, "s", "w", 7)
 
 
 @query("SELECT doc_id, ((doc_id * 4096 + n_chars) // 65536 % 3)::INT AS subfile, ((doc_id * 4096 + n_chars) // 65536 // 3 * 65536 + (doc_id * 4096 + n_chars) % 65536)::BIGINT AS local_offset, (ceil((doc_id * 4096 + n_chars) / 64) * 64)::BIGINT AS aligned FROM documents")
@@ -398,6 +481,46 @@ def cache_sequential_stats(spark, sf_dir):
     return access.sequential(_accesses(spark, sf_dir), ["user_id"], "event_id", ["i0", "i1"])
 
 
+SQL_SLIDING = f"""{SQL_ACCESS}, g AS (SELECT *, count(*) OVER v AS n, count(CASE WHEN s0 <> 0 THEN 1 END) OVER u AS c0, count(CASE WHEN s1 <> 0 THEN 1 END) OVER u AS c1, avg(CASE WHEN s0 <> 0 THEN s0 END) OVER u AS m0, avg(CASE WHEN s1 <> 0 THEN s1 END) OVER u AS m1
+  FROM s WINDOW v AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), u AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)),
+p AS (SELECT *, CASE WHEN n < 3 THEN 'Random' WHEN c1 >= c0 AND c1 > 0 AND 2 * c1 >= n AND c1 >= 2 * c0 THEN 'RowMajor' WHEN c0 > c1 AND 2 * c0 >= n AND c0 >= 2 * c1 THEN 'ColumnMajor' ELSE 'Random' END AS pattern FROM g)"""
+
+
+@query(f"""WITH {SQL_SLIDING} SELECT event_id, pattern, CASE pattern WHEN 'Random' THEN NULL WHEN 'RowMajor' THEN CASE WHEN i1 + trunc(m1)::BIGINT >= 0 THEN i1 + trunc(m1)::BIGINT END
+  ELSE CASE WHEN i0 + trunc(m0)::BIGINT >= 0 THEN i0 + trunc(m0)::BIGINT END END AS following FROM p""")
+def sliding_detector(spark, sf_dir):
+    """The pattern of each user's last twelve accesses, and the first chunk to fetch ahead unless it lies below 0."""
+    rows = access.sliding(_accesses(spark, sf_dir), ["user_id"], "event_id", ["i0", "i1"])
+    by = F.when(F.col("pattern") == "RowMajor", F.col("i1")).otherwise(F.col("i0"))
+    # Four are named ahead: the first of them, if the last isn't below 0 or the way leads up.
+    first = F.when(F.size("next") == 4, F.get("next", F.lit(0))).when((F.size("next") > 0) & (F.get("next", F.lit(0)) < by), F.get("next", F.lit(0)))
+    return rows.select("event_id", "pattern", first.alias("following"))
+
+
+@query("""WITH a AS (SELECT user_id, event_id, event_id % 7 AS k, lag(event_id) OVER (PARTITION BY user_id, event_id % 7 ORDER BY event_id) AS before FROM events),
+d AS (SELECT a.user_id, a.event_id, a.before, (SELECT count(DISTINCT b.event_id % 7) FROM events b WHERE b.user_id = a.user_id AND b.event_id > a.before AND b.event_id < a.event_id) AS between_ FROM a)
+SELECT user_id, count(*) FILTER (before IS NOT NULL AND between_ < 3) AS hits, count(*) FILTER (before IS NULL OR between_ >= 3) AS misses FROM d GROUP BY 1""")
+def cache_replay(spark, sf_dir):
+    """A cache of three chunks of each user: an access hits if fewer than three other chunks were used since its chunk's last access."""
+    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 7).alias("k"), F.lit(10).alias("size"))
+    return access.replay(rows, ["user_id"], "event_id", ["k"], "size", 30, 3).select("user_id", "hits", "misses")
+
+
+@query("""WITH f AS (SELECT user_id, count(*) AS n, count(DISTINCT event_id % 7) AS d FROM events GROUP BY 1)
+SELECT user_id, n - d AS hits, d AS misses, 0::BIGINT AS evictions, (n - d) * 100 AS bytes_hit, (n - d) / n AS hit_rate FROM f""")
+def metadata_cache_replay(spark, sf_dir):
+    """A cache large enough for all headers misses each of them once."""
+    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 7).alias("k"), F.lit(100).alias("size"))
+    return access.replay(rows, ["user_id"], "event_id", ["k"], "size", access.METADATA_BYTES, None, access.ENTRY_BYTES)
+
+
+@query("""SELECT count(*) FILTER (l_linenumber > 1) AS reads, (sum(l_suppkey) FILTER (l_linenumber > 1))::BIGINT AS bytes_read, (sum(l_partkey) FILTER (l_linenumber > 1))::BIGINT AS bytes_decompressed, count(*) FILTER (l_linenumber = 1) AS hits, count(*) FILTER (l_linenumber > 1) AS misses,
+(sum(l_partkey) FILTER (l_linenumber > 1)) / (sum(l_suppkey) FILTER (l_linenumber > 1)) AS compression_ratio, count(*) FILTER (l_linenumber = 1) / count(*) AS hit_rate FROM lineitem""")
+def io_profile(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_linenumber") == 1).alias("hit"))
+    return access.profile(rows, "l_suppkey", "l_partkey", "hit")
+
+
 # Vectors.
 
 
@@ -406,7 +529,7 @@ def vector_norm(spark, sf_dir):
     return _scaled(spark, sf_dir).select(F.col("id").alias("vec_id"), F.round(vector.norm(F.col("vec")), 6).alias("norm"))
 
 
-@query(f"WITH {SQL_VECTORS} SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.e, v.e), 6) + 0 AS dot FROM v q, v WHERE q.vec_id BETWEEN 0 AND 5")
+@query(f"WITH {SQL_VECTORS} SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.e, v.e), 6) + 0 AS dot FROM v q, v WHERE q.vec_id % 100 = 0")
 def dot_batch(spark, sf_dir):
     v = _scaled(spark, sf_dir)
     return vector.against(_asked(v), v).select("query_id", "vec_id", (F.round(vector.dot(F.col("q"), F.col("v")), 6) + F.lit(0.0)).alias("dot"))
@@ -414,7 +537,7 @@ def dot_batch(spark, sf_dir):
 
 def _knn_sql(score: str, order: str) -> str:
     return f"""WITH {SQL_VECTORS}, n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS m FROM v),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, {score} AS score FROM n q, n v WHERE q.vec_id BETWEEN 0 AND 5)
+s AS (SELECT q.vec_id AS query_id, v.vec_id, {score} AS score FROM n q, n v WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) + 0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) {order}, vec_id) AS rank FROM s) WHERE rank <= 10"""
 
 
@@ -444,7 +567,7 @@ def knn_l2_sq(spark, sf_dir):
     return _knn(spark, sf_dir, lambda: vector.l2_sq(F.col("q"), F.col("v")), False)
 
 
-@query(f"WITH {SQL_VECTORS} SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i]))), 6) AS distance FROM v q, v WHERE q.vec_id BETWEEN 0 AND 5")
+@query(f"WITH {SQL_VECTORS} SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i]))), 6) AS distance FROM v q, v WHERE q.vec_id % 100 = 0")
 def distance_matrix(spark, sf_dir):
     v = _scaled(spark, sf_dir)
     return vector.against(_asked(v), v).select("query_id", "vec_id", F.round(vector.l2_sq(F.col("q"), F.col("v")), 6).alias("distance"))
@@ -456,6 +579,28 @@ def ann_hnsw_search(spark, sf_dir):
     return ann.search(_asked(v), v, 10)
 
 
+@query()
+def ann_hnsw_cosine(spark, sf_dir):
+    v = _scaled(spark, sf_dir)
+    return ann.search(_asked(v), v, 10, metric="cosine")
+
+
+@query()
+def ann_recall(spark, sf_dir):
+    """How many of each query's ten exact nearest the graphs of several shards find, after they were saved and loaded."""
+    import uuid
+
+    from arrayloom.cut import shared_folder
+
+    v = _scaled(spark, sf_dir)
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    ann.Index.build(v, shard=500).save(path)
+    found = ann.Index.load(spark, path).search(_asked(v), 10)
+    exact = _knn(spark, sf_dir, lambda: vector.l2(F.col("q"), F.col("v")), False).select(F.col("query_id").alias("x"), F.col("vec_id").alias("y"))
+    hits = exact.join(found, (F.col("x") == F.col("query_id")) & (F.col("y") == F.col("vec_id")), "left")
+    return hits.groupBy(F.col("x").alias("query_id")).agg(F.count("*").alias("wanted"), F.count("vec_id").alias("found"))
+
+
 # Container files.
 
 
@@ -511,4 +656,20 @@ def windowed_events(spark, sf_dir):
     return append.windowed(_t(spark, sf_dir, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 6))
 
 
+@query("SELECT time_bucket(INTERVAL 5 MINUTES, ts) - INTERVAL (5 * k) MINUTES AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events, range(0, 2) t(k) GROUP BY 1, 2")
+def sliding_events(spark, sf_dir):
+    from arrayloom.streaming import append
+
+    return append.sliding(_t(spark, sf_dir, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 6))
+
+
+@query("""WITH a AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
+SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS 'end', user_id, count(*) AS n, round(sum(value), 6) AS total FROM b GROUP BY user_id, s""")
+def session_events(spark, sf_dir):
+    from arrayloom.streaming import append
+
+    return append.sessions(_t(spark, sf_dir, "events"), "ts", "user_id", "value", "30 minutes").withColumn("total", F.round("total", 6))
+
+
 __all__ = ["ORACLES", "QUERIES"]
