@@ -37,7 +37,7 @@ def region_reference(raw: Column, size: int) -> Column:
     """Region references from the bytes of a dataset: an array of so many bytes each, as they are. Bytes that don't fill the last one are an error."""
     n = F.octet_length(raw)
     whole = F.when(F.pmod(n, F.lit(size)) != 0, F.raise_error(F.lit(f"the bytes are no multiple of {size}"))).otherwise(F.call_function("div", n, F.lit(size)))
-    return F.when(n == 0, F.array().cast("array<binary>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(whole, F.lit(1))), lambda i: F.substr(raw, ((i - 1) * size + 1).cast("int"), F.lit(size))))
+    return F.when(n == 0, F.array().cast("array<binary>")).when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(whole, F.lit(1))), lambda i: F.substr(raw, ((i - 1) * size + 1).cast("int"), F.lit(size))))
 
 
 def zero_extend(c: Column, width: int) -> Column:

@@ -14,7 +14,7 @@ from arrayloom.functions import codecs, convert, integrity, vector
 from arrayloom.functions.records import Record
 from arrayloom.operators import access, ann, cf, encode, selection
 from arrayloom.operators.selection import Hyperslab
-from arrayloom.sources import container
+from arrayloom.sources import climate, container
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,6 +169,19 @@ def link_resolve(spark, sf_dir):
     return catalog.objects(_links(spark, sf_dir))
 
 
+@query(f"WITH {SQL_TREE}, s AS (SELECT r_name || '/' || n_name AS path, (SELECT min(r_name) FROM region) AS target FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 9 = 8) SELECT path, address::BIGINT AS address, kind, depth FROM o UNION ALL SELECT s.path, o.address, o.kind, 2 FROM s JOIN o ON s.target = o.path")
+def soft_links(spark, sf_dir):
+    """Soft links lead to the first region."""
+    links = _links(spark, sf_dir)
+    first = _t(spark, sf_dir, "region").agg(F.concat(F.lit("/"), F.min("r_name")).alias("first"))
+    return catalog.objects(links.join(F.broadcast(first)).withColumn("target", F.when(F.col("link") == "soft", F.col("first"))).drop("first"))
+
+
+@query(f"WITH {SQL_TREE} SELECT path FROM o WHERE path LIKE 'ASIA/%' AND kind = 'dataset'")
+def catalog_group_children(spark, sf_dir):
+    return catalog.children(catalog.objects(_links(spark, sf_dir)), "/ASIA/", "dataset").select("path")
+
+
 @query(f"WITH {SQL_TREE} SELECT split_part(path, '/', 1) AS group_name, count(*)::BIGINT AS n FROM o WHERE kind = 'dataset' GROUP BY 1")
 def catalog_children(spark, sf_dir):
     tree = catalog.objects(_links(spark, sf_dir))
@@ -604,22 +617,106 @@ def ann_recall(spark, sf_dir):
 # Container files.
 
 
-def _written(spark):
-    """Two files of one chunked and compressed 60 x 100 grid each, with an attribute and a group."""
-    import numpy as np
+def _written(spark, sf_dir):
+    """Two files: vectors with even and with odd ids, each as a chunked and compressed grid."""
+    e = _t(spark, sf_dir, "embeddings").select(F.concat(F.lit("file"), (F.col("vec_id") % 2).cast("string")).alias("file"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    rows = e.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("s"))
+    rows = rows.select("file", F.lit("g/vectors").alias("dataset"), F.array(F.size("s").cast("long"), F.lit(64).cast("long")).alias("shape"), F.flatten(F.transform("s", lambda x: x["v"])).alias("payload"))
+    ids = e.groupBy("file").agg(F.array_sort(F.collect_list(F.col("vec_id").cast("double"))).alias("payload"))
+    ids = ids.select("file", F.lit("ids").alias("dataset"), F.array(F.size("payload").cast("long")).alias("shape"), "payload")
+    return container.build(rows.union(ids), (16, 32), [("shuffle", 0), ("deflate", 6)])
+
 
-    box = lambda k: container.write({"g/grid": np.arange(6000, dtype="f8").reshape(60, 100) + k, "names": np.array([b"ab", b"c"])}, {"g/grid": {"scale": 0.5}}, {"g/grid": (16, 32)}, [("shuffle", 0), ("deflate", 6)])
-    return spark.createDataFrame([(f"file{k}", bytearray(box(k))) for k in range(2)], "path string, content binary")
+SQL_FILES = "f AS (SELECT 'file' || vec_id % 2 AS file, vec_id // 2 AS i0, unnest(range(0, 64)) AS i1, unnest(embedding)::DOUBLE AS value FROM embeddings)"
 
 
-@query("SELECT 'file' || k AS file, r // 100 AS i0, r % 100 AS i1, (r + k)::DOUBLE AS value FROM range(0, 6000) a(r), range(0, 2) b(k) WHERE r // 100 BETWEEN 20 AND 29 AND r % 100 BETWEEN 40 AND 59")
+@query(f"WITH {SQL_FILES} SELECT * FROM f WHERE i0 BETWEEN 5 AND 44 AND i1 BETWEEN 20 AND 51")
 def container_selection(spark, sf_dir):
-    return container.read(spark, _written(spark), "g/grid", 2, Hyperslab.slice((20, 30), (40, 60)))
+    return container.read(spark, _written(spark, sf_dir), "g/vectors", 2, Hyperslab.slice((5, 45), (20, 52)))
 
 
-@query("SELECT 'file' || k AS file, path, kind, dtype, layout FROM (VALUES ('', 'group', NULL, NULL), ('g', 'group', NULL, NULL), ('g/grid', 'dataset', 'f64', 'fixed'), ('names', 'dataset', 'string', 'contiguous')) t(path, kind, dtype, layout), range(0, 2) b(k)")
+@query("SELECT 'file' || k AS file, path, kind, dtype, layout, CASE WHEN kind = 'dataset' THEN (SELECT count(*) FROM embeddings WHERE vec_id % 2 = k) END AS rows FROM (VALUES ('', 'group', NULL, NULL), ('g', 'group', NULL, NULL), ('g/vectors', 'dataset', 'f64', 'fixed'), ('ids', 'dataset', 'f64', 'contiguous')) t(path, kind, dtype, layout), range(0, 2) b(k)")
 def container_objects(spark, sf_dir):
-    return container.objects(spark, _written(spark)).select("file", "path", "kind", "dtype", "layout")
+    return container.objects(spark, _written(spark, sf_dir)).select("file", "path", "kind", "dtype", "layout", F.get("shape", F.lit(0)).alias("rows"))
+
+
+@query(f"WITH {SQL_FILES} SELECT * FROM f WHERE i0 >= 3 AND i0 <= 62 AND (i0 - 3) % 7 < 2 AND i1 BETWEEN 10 AND 40")
+def container_source(spark, sf_dir):
+    """The files on disk, their chunks dealt to tasks that read the bytes of their own."""
+    import json
+    import uuid
+
+    from arrayloom.cut import shared_folder
+    from arrayloom.sources.datasource import ContainerSource
+
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    container.save(_written(spark, sf_dir), folder).count()
+    spark.dataSource.register(ContainerSource)
+    rows = spark.read.format("container").option("path", folder).option("dataset", "g/vectors").option("slab", json.dumps([[3, 10], [7, 1], [9, 31], [2, 1]])).load()
+    return rows.withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
+@query("SELECT 'file' || k AS file, pos::INT AS pos, dataset, CASE dataset WHEN 'ids' THEN n ELSE 64 * n END * 8 AS size, first::DOUBLE AS first FROM (SELECT vec_id % 2 AS k, count(*) AS n, min(vec_id) AS least, arg_min(embedding[1], vec_id) AS one FROM embeddings GROUP BY 1), (VALUES (0, 'ids'), (1, 'g/vectors'), (2, 'ids')) t(pos, dataset), LATERAL (SELECT CASE dataset WHEN 'ids' THEN least ELSE one END AS first)")
+def read_multi_data(spark, sf_dir):
+    from arrayloom.functions.records import Record
+
+    rows = container.read_multi(spark, _written(spark, sf_dir), ["ids", "g/vectors", "ids"])
+    first = Record({"x": "f64"}).from_bytes(F.substr("payload", F.lit(1), F.lit(8)))
+    return rows.select("file", "pos", "dataset", F.octet_length("payload").cast("long").alias("size"), first.alias("r")).select("file", "pos", "dataset", "size", F.col("r.x").alias("first"))
+
+
+def _climate(spark, sf_dir):
+    """Three files of packed events, with a time axis, conventions' attributes, and groups in groups."""
+    import numpy as np
+    import pandas as pd
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("event_id")
+        ids = part["event_id"].to_numpy("i8")
+        packed = np.where(ids % 50 == 0, -9999, ids * 7 % 1000).astype("i4")
+        made = {"time": ids, "temp": packed, "deep/depth": np.arange(4, dtype="f4"), "deep/inner/salt": np.arange(4, dtype="i2")}
+        scale = {"CLASS": "DIMENSION_SCALE", "_Netcdf4Dimid": 0}
+        told = {"": {"_NCProperties": "version=2", "title": "events"}, "time": {**scale, "units": "1"}, "temp": {"units": "K", "long_name": "a temperature", "scale_factor": 0.01, "add_offset": 273.15, "_FillValue": np.array([-9999], "i4"), "valid_min": 0, "valid_max": 900}, "deep/depth": {**scale, "axis": "Z", "valid_range": np.array([0.0, 5.0])}}
+        return pd.DataFrame({"path": [f"file{ids[0] % 3}"], "content": [container.write(made, told)]})
+
+    rows = _t(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 3).alias("k"))
+    return rows.groupBy("k").applyInPandas(run, "path string, content binary")
+
+
+SQL_CLIMATE = "c AS (SELECT event_id % 3 AS k, count(*) AS n FROM events GROUP BY 1)"
+
+
+@query(f"""WITH {SQL_CLIMATE}, v(grp, name, type, fixed, dim, coordinate, units, long_name, axis, fill_value, scale_factor, add_offset, valid_min, valid_max) AS (VALUES
+ ('', 'temp', 'NC_INT', NULL, 'time', false, 'K', 'a temperature', NULL, -9999.0::DOUBLE, 0.01::DOUBLE, 273.15::DOUBLE, 0.0::DOUBLE, 900.0::DOUBLE), ('', 'time', 'NC_INT64', NULL, 'time', true, '1', NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+ ('deep', 'depth', 'NC_FLOAT', 4, 'depth', true, NULL, NULL, 'Z', NULL, NULL, NULL, 0.0, 5.0), ('deep/inner', 'salt', 'NC_SHORT', 4, 'dim_4', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL))
+SELECT 'file' || k AS file, grp AS 'group', name, type, coalesce(fixed, n)::BIGINT AS size, dim, coordinate, units, long_name, axis, fill_value, scale_factor, add_offset, valid_min, valid_max FROM c, v""")
+def cf_variables(spark, sf_dir):
+    rows = climate.variables(spark, _climate(spark, sf_dir))
+    return rows.select("file", "group", "name", "type", F.get("shape", F.lit(0)).alias("size"), F.get("dimensions", F.lit(0)).alias("dim"), "coordinate", "units", "long_name", "axis", "fill_value", "scale_factor", "add_offset", "valid_min", "valid_max")
+
+
+@query(f"WITH {SQL_CLIMATE} SELECT 'file' || k AS file, g AS 'group', 0 AS place, name, coalesce(s, n)::BIGINT AS size, false AS unlimited FROM c, (VALUES ('', 'time', NULL), ('deep', 'depth', 4)) t(g, name, s)")
+def cf_file_dimensions(spark, sf_dir):
+    return climate.dimensions(spark, _climate(spark, sf_dir))
+
+
+@query(f"WITH {SQL_CLIMATE} SELECT 'file' || k AS file, p AS path, parent, depth::INT AS depth FROM c, (VALUES ('deep', '', 1), ('deep/inner', 'deep', 2)) t(p, parent, depth)")
+def cf_groups(spark, sf_dir):
+    return climate.groups(spark, _climate(spark, sf_dir))
+
+
+@query(f"WITH {SQL_CLIMATE} SELECT 'file' || k AS file, name, v AS value FROM c, (VALUES ('_NCProperties', 'version=2'), ('title', 'events')) t(name, v)")
+def cf_global_attributes(spark, sf_dir):
+    return climate.attributes(spark, _climate(spark, sf_dir))
+
+
+@query("SELECT 'file' || event_id % 3 AS file, event_id, CASE WHEN event_id % 50 = 0 THEN 'nan'::DOUBLE ELSE round((event_id * 7 % 1000) * 0.01::DOUBLE + 273.15::DOUBLE, 6) END AS value, CASE WHEN event_id % 50 = 0 THEN -9999 ELSE event_id * 7 % 1000 END::DOUBLE AS stored FROM events")
+def cf_read(spark, sf_dir):
+    """Values unpacked by the files' own attributes beside those stored, on the files' time axis."""
+    files = _climate(spark, sf_dir)
+    of = lambda name, raw, column: climate.read(spark, files, name, 1, raw).withColumnRenamed("value", column)
+    rows = of("temp", False, "value").join(of("temp", True, "stored"), ["file", "i0"]).join(of("time", True, "event_id"), ["file", "i0"])
+    return rows.select("file", F.col("event_id").cast("long").alias("event_id"), F.round("value", 6).alias("value"), "stored")
 
 
 # Extensions over long-form arrays.

@@ -1,8 +1,9 @@
 """Container files (signature \\x89HDF): a reader of their public layout, and a small writer.
 
-The reader works on one file's bytes: objects, attributes, and the elements of a dataset, of which only
-chunks that meet the selection are decoded. Spark reads the files as ``binaryFile``, so any store that
-Spark reads will do; a file is one task's work. What isn't understood raises ContainerError.
+The reader works on one file's bytes, or on a file of which only the pages that are asked for are fetched: objects,
+attributes, and the elements of a dataset, of which only chunks that meet the selection are decoded. Headers are parsed when
+they are first needed, and once. ``read`` takes files as Spark's ``binaryFile``, one a task; ``sources.datasource`` deals one file's
+chunks to many tasks. What isn't understood raises ContainerError.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ SIGNATURE = b"\x89HDF\r\n\x1a\n"
 NOWHERE = (1 << 64) - 1
 DEPTH = 64
 # Message types and filter ids of the format.
-SPACE, LINKS, TYPE, LINK, LAYOUT, FILTERS, ATTRIBUTE, MORE, TABLE, DENSE = 1, 2, 3, 6, 8, 11, 12, 16, 17, 21
-FILTER_NAMES = {1: "deflate", 2: "shuffle", 3: "fletcher32", 32015: "zstd"}
+SPACE, LINKS, TYPE, FILL, LINK, LAYOUT, FILTERS, ATTRIBUTE, MORE, TABLE, DENSE = 1, 2, 3, 5, 6, 8, 11, 12, 16, 17, 21
+FILTER_NAMES = {1: "deflate", 2: "shuffle", 3: "fletcher32", 32004: "lz4", 32015: "zstd"}
+#: When unwritten elements are filled, by the marks of the message; soft links that are followed one after another.
+FILL_TIMES = {"never": 0x02, "alloc": 0x0A, "ifset": 0x06}
+FOLLOWED = 32
 
 
 class ContainerError(ValueError):
@@ -53,11 +57,14 @@ class Dataset(NamedTuple):
     filters: list[tuple[str, int]]
     attributes: dict[str, object]
     most: tuple[int | None, ...] = ()  # extents that it may grow to, None without bound
+    fill_time: str = ""  # as FILL_TIMES names it, or empty if the file doesn't tell
 
 
 class Group(NamedTuple):
     links: dict[str, int]
     attributes: dict[str, object]
+    soft: dict[str, str] = {}  # names of soft links and the paths they lead to
+    external: dict[str, tuple[str, str]] = {}  # names of external links, the files and the paths there
 
 
 def bytes_for(n: int) -> int:
@@ -65,6 +72,78 @@ def bytes_for(n: int) -> int:
     return max(1, (n.bit_length() + 7) // 8)
 
 
+class Mapping_(NamedTuple):
+    """A part of a virtual dataset: which elements they are there, and in which dataset of which file they lie. Selections are kept as stored."""
+
+    file: str
+    dataset: str
+    source: bytes
+    target: bytes
+
+
+def virtual_mappings(raw: bytes) -> list[Mapping_]:
+    """The parts that a heap object lists: a version of four bytes, then for each the target selection behind its size, the names of the file and the dataset, each ended by 0, and the source selection behind its size. A part that is cut off ends the list."""
+    c, out = Bytes(raw), []
+    if len(raw) < 4:
+        return out
+    c.take(4)
+    while c.at + 4 <= c.end:
+        n = c.number(4)
+        if c.at + n > c.end:
+            break
+        target, names = c.take(n), []
+        for _ in range(2):
+            end = raw.find(b"\0", c.at)
+            if end < 0:
+                raise ContainerError("a name of a virtual dataset doesn't end")
+            names.append(c.take(end - c.at).decode("utf-8", "replace"))
+            c.take(1)
+        if c.at + 4 > c.end or c.at + 4 + int.from_bytes(raw[c.at : c.at + 4], "little") > c.end:
+            break
+        out.append(Mapping_(*names, c.take(c.number(4)), target))
+    return out
+
+
+class Paged:
+    """A file's bytes, of which only the pages that are asked for are read; a bounded number of them is kept."""
+
+    PAGE, KEPT = 1 << 16, 256
+
+    def __init__(self, file):
+        """file: size() and read_at(length, offset), as pyarrow's random access files have them."""
+        self.file, self.size, self.pages, self.fetched = file, file.size(), {}, 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _page(self, i: int) -> bytes:
+        if i not in self.pages:
+            if len(self.pages) >= self.KEPT:
+                self.pages.pop(next(iter(self.pages)))
+            self.pages[i] = bytes(self.file.read_at(min(self.PAGE, self.size - i * self.PAGE), i * self.PAGE))
+            self.fetched += len(self.pages[i])
+        return self.pages[i]
+
+    def __getitem__(self, at: slice) -> bytes:
+        lo, hi, _ = at.indices(self.size)
+        if hi - lo > self.PAGE:  # a chunk's bytes: read as they are, and not kept
+            self.fetched += hi - lo
+            return bytes(self.file.read_at(hi - lo, lo))
+        if hi <= lo:
+            return b""
+        parts = [self._page(i) for i in range(lo // self.PAGE, (hi - 1) // self.PAGE + 1)]
+        return b"".join(parts)[lo % self.PAGE : lo % self.PAGE + hi - lo]
+
+    def find(self, sub: bytes, start: int = 0, end: int | None = None) -> int:
+        end = self.size if end is None else min(end, self.size)
+        while start < end:
+            stop = min(end, start + self.PAGE)
+            if (at := self[start : min(end, stop + len(sub) - 1)].find(sub)) >= 0:
+                return start + at
+            start = stop
+        return -1
+
+
 class Bytes:
     """A cursor that never reads past the end."""
 
@@ -116,6 +195,7 @@ class Container:
             raise ContainerError("size of offsets or lengths")
         self.nowhere = NOWHERE >> (64 - 8 * self.o)
         self._heaps: dict[int, dict[int, bytes]] = {}
+        self._objects: dict[int, Dataset | Group] = {}
 
     # Object headers.
 
@@ -286,8 +366,10 @@ class Container:
             return "compact", c.take(c.number(2))
         if which == 1:
             return "contiguous", c.number(self.o), c.number(self.l)
+        if which == 3 and version == 4:
+            return "virtual", c.number(self.o), c.number(4)
         if which != 2:
-            raise ContainerError("virtual datasets can't be read")
+            raise ContainerError(f"layout class {which}")
         if version == 3:
             rank, address = c.number(1), c.number(self.o)
             return "btree", address, tuple(c.number(4) for _ in range(rank))[:-1]
@@ -310,8 +392,14 @@ class Container:
     # Objects.
 
     def object(self, address: int) -> Dataset | Group:
+        """The object whose header is at an address; each header is parsed once."""
+        if address not in self._objects:
+            self._objects[address] = self._object(address)
+        return self._objects[address]
+
+    def _object(self, address: int) -> Dataset | Group:
         shape = kind = layout = None
-        filters, attributes, links, most = [], {}, {}, ()
+        filters, attributes, links, most, fill_time = [], {}, {}, (), ""
         for which, c in self._messages(address):
             if which == SPACE:
                 shape = self._space(c)
@@ -320,6 +408,9 @@ class Container:
                 kind = self._kind(c)
             elif which == LAYOUT:
                 layout = self._layout(c)
+            elif which == FILL:
+                version, marks = c.number(1), c.number(1)
+                fill_time = next((name for name, m in FILL_TIMES.items() if version == 3 and m & 15 == marks & 15), "")
             elif which == FILTERS:
                 filters = self._filters(c)
             elif which == ATTRIBUTE:
@@ -341,18 +432,28 @@ class Container:
                 tree, heap = c.number(self.o), c.number(self.o)
                 links.update(self._table(tree, heap))
         if layout is None:
-            return Group(links, attributes)
+            hard, soft, external = ({n: to for n, to in links.items() if isinstance(to, k)} for k in (int, str, tuple))
+            return Group(hard, attributes, soft, external)
         if kind is None:
             raise ContainerError("dataset without a type")
-        return Dataset((0,) if shape is None else shape, kind, layout, filters, attributes, most)
+        return Dataset((0,) if shape is None else shape, kind, layout, filters, attributes, most, fill_time)
 
-    def _link(self, c: Bytes) -> dict[str, int]:
+    def _link(self, c: Bytes) -> dict[str, int | str | tuple[str, str]]:
+        """A name and where it leads: an address, a path, or a file and a path there."""
         c.take(1)
         flags = c.number(1)
         which = c.number(1) if flags & 8 else 0
         c.take(8 * bool(flags & 4) + bool(flags & 16))
         name = c.take(c.number(1 << (flags & 3))).decode("utf-8", "replace")
-        return {name: c.number(self.o)} if which == 0 else {}  # soft and external links lead nowhere here
+        if which == 0:
+            return {name: c.number(self.o)}
+        told = c.take(c.number(2))
+        if which == 1:
+            return {name: told.decode("utf-8", "replace")}
+        if which == 64:
+            file, _, path = told[1:].rstrip(b"\0").partition(b"\0")
+            return {name: (file.decode("utf-8", "replace"), path.decode("utf-8", "replace"))}
+        return {}
 
     def _table(self, tree: int, heap: int, depth: int = 0) -> dict[str, int]:
         if depth > DEPTH:
@@ -513,13 +614,34 @@ class Container:
                 todo += [(f"{path}/{n}".lstrip("/"), a) for n, a in sorted(found.links.items(), reverse=True)]
 
     def find(self, path: str) -> Dataset | Group:
-        found = self.object(self.root)
-        for part in filter(None, path.split("/")):
-            if not isinstance(found, Group) or part not in found.links:
+        """The object at a path; soft links are followed, from their group or from the root."""
+        found, above, left, turns = self.object(self.root), [], [p for p in reversed(path.split("/")) if p], 0
+        while left:
+            name = left.pop()
+            if isinstance(found, Group) and name in found.links:
+                above.append(found)
+                found = self.object(found.links[name])
+            elif isinstance(found, Group) and name in found.soft and (turns := turns + 1) <= FOLLOWED:
+                to = found.soft[name]
+                if to.startswith("/"):
+                    found, above = self.object(self.root), []
+                left += [p for p in reversed(to.split("/")) if p and p != "."]
+            elif name == ".." and above:
+                found = above.pop()
+            else:
                 raise ContainerError(f"no object {path}")
-            found = self.object(found.links[part])
         return found
 
+    def addresses(self) -> dict[str, int]:
+        """Where each dataset's elements, or its index, lie in the file."""
+        return {p: x.layout[1] if x.layout[0] != "compact" else 0 for p, x in self.walk() if isinstance(x, Dataset)}
+
+    def mappings(self, d: Dataset) -> list[Mapping_]:
+        """What a virtual dataset is made of."""
+        if d.layout[0] != "virtual":
+            raise ContainerError("no virtual dataset")
+        return [] if d.layout[1] == self.nowhere else virtual_mappings(self.shared_value(d.layout[1], d.layout[2]))
+
     # Elements.
 
     def _chunks(self, d: Dataset) -> Iterator[tuple[tuple[int, ...], int, int | None, int]]:
@@ -669,19 +791,26 @@ class Container:
             if len(raw) >= prod(d.shape) * item and raw:
                 yield (0,) * len(d.shape), np.frombuffer(raw, d.kind.dtype, prod(d.shape)).reshape(d.shape)
             return
+        if d.layout[0] == "virtual":
+            raise ContainerError("a virtual dataset's elements lie in other datasets: see its mappings")
         chunk = d.layout[2]
         hull = slab.hull() if slab else [(0, n - 1) for n in d.shape]
-        for offsets, address, stored, mask in self._chunks(d):
-            if all(o < n and o <= hi and o + c > lo for n, o, c, (lo, hi) in zip(d.shape, offsets, chunk, hull, strict=True)):
-                raw = Bytes(self.data, self.base + address).take(prod(chunk) * item if stored is None else stored)
-                try:
-                    raw = codecs.undo(raw, d.filters, mask)
-                except Exception as e:
-                    raise ContainerError(f"chunk {offsets}: {e}") from e
-                if len(raw) < prod(chunk) * item:
-                    raise ContainerError(f"chunk {offsets} is short")
-                part = np.frombuffer(raw, d.kind.dtype, prod(chunk)).reshape(chunk)
-                yield offsets, part[tuple(slice(0, n - o) for n, o in zip(d.shape, offsets, strict=True))]
+        for entry in self._chunks(d):
+            if all(o < n and o <= hi and o + c > lo for n, o, c, (lo, hi) in zip(d.shape, entry[0], chunk, hull, strict=True)):
+                yield entry[0], self.chunk(d, *entry)
+
+    def chunk(self, d: Dataset, offsets: tuple[int, ...], address: int, stored: int | None, mask: int) -> np.ndarray:
+        """The elements of a chunk, without what lies beyond the array."""
+        item, size = d.kind.dtype.itemsize, prod(d.layout[2])
+        raw = Bytes(self.data, self.base + address).take(size * item if stored is None else stored)
+        try:
+            raw = codecs.undo(raw, d.filters, mask)
+        except Exception as e:
+            raise ContainerError(f"chunk {offsets}: {e}") from e
+        if len(raw) < size * item:
+            raise ContainerError(f"chunk {offsets} is short")
+        part = np.frombuffer(raw, d.kind.dtype, size).reshape(d.layout[2])
+        return part[tuple(slice(0, n - o) for n, o in zip(d.shape, offsets, strict=True))]
 
     def array(self, path: str) -> np.ndarray:
         """A whole dataset; unwritten chunks are 0."""
@@ -774,6 +903,24 @@ def read(spark: SparkSession, path: str | DataFrame, dataset: str, rank: int, sl
     return select(rows, axes, slab) if slab else rows
 
 
+def read_multi(spark: SparkSession, path: str | DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """file, pos, dataset, payload (the elements' bytes, as stored by their type) of several datasets of every file, in the order asked (sort by pos).
+
+    In a file they are read in the order in which they lie there. An unknown name is an error.
+    """
+    names = list(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                box = Container(content)
+                at = box.addresses()
+                for i in sorted(range(len(names)), key=lambda i: at.get(names[i].strip("/"), 0)):  # noqa: B023
+                    yield pa.RecordBatch.from_arrays([pa.array([file], pa.string()), pa.array([i], pa.int32()), pa.array([names[i]], pa.string()), pa.array([box.array(names[i]).tobytes()], pa.binary())], names=["file", "pos", "dataset", "payload"])
+
+    return _files(spark, path).mapInArrow(run, "file string, pos int, dataset string, payload binary")
+
+
 # Writing.
 
 
@@ -823,21 +970,28 @@ def _attribute_message(name: str, value: object) -> bytes:
 PAGE_BITS, GROWING, HEAP, COMPACT = 10, (32, 4, 4, 16), (4, 512, 65536), 8
 
 
-def write(arrays: Mapping[str, np.ndarray], attributes: Mapping[str, Mapping[str, object]] | None = None, chunks: Mapping[str, Sequence[int]] | None = None, filters: Sequence[tuple[str, int]] = (), most: Mapping[str, Sequence[int | None]] | None = None) -> bytes:
+def write(arrays: Mapping[str, np.ndarray], attributes: Mapping[str, Mapping[str, object]] | None = None, chunks: Mapping[str, Sequence[int]] | None = None, filters: Sequence[tuple[str, int]] = (), most: Mapping[str, Sequence[int | None]] | None = None, compact: Sequence[str] = (), align: int = 1, fill_times: Mapping[str, str] | None = None, links: Mapping[str, str | tuple[str, str]] | None = None) -> bytes:
     """One file's bytes: datasets by path (groups are made), attributes by path, chunk shapes by path.
 
+    compact: paths of datasets of less than 64 KB that lie in their headers. align: a contiguous dataset's elements begin at a multiple of it.
+    fill_times: never, alloc or ifset, by path. links: soft links, path to path, or external ones, path to (file, path).
+
     filters hold for chunked datasets. most: the extents that a chunked dataset may grow to, at most one axis None (without bound).
     Edge chunks are filled with 0. An axis without bound: extensible array; else one chunk: single-chunk index; more: a fixed array.
     Objects with more than eight attributes or links keep them in a heap. Types: numbers, S strings, object arrays of str
     (variable length), structured types, and integers whose dtype.metadata names an "enum".
     """
-    most = most or {}
+    most, fill_times, links = most or {}, fill_times or {}, links or {}
+    if filters and not chunks:
+        raise ContainerError("filters hold for chunks only")
+    if align < 1:
+        raise ContainerError("alignment of 1 at least")
     attributes, chunks = attributes or {}, chunks or {}
     out = bytearray(48)
     ids = {v: k for k, v in FILTER_NAMES.items()}
     put = lambda b: (len(out), out.extend(b))[0]
     tree: dict = {}
-    for path in sorted(arrays):
+    for path in sorted([*arrays, *links]):
         parts = [p for p in path.split("/") if p]
         node = tree
         for p in parts[:-1]:
@@ -907,10 +1061,18 @@ def write(arrays: Mapping[str, np.ndarray], attributes: Mapping[str, Mapping[str
         a = np.ascontiguousarray(arrays[path])
         grows = most.get(path)
         head = [(SPACE, _space_message(a.shape, grows)), (TYPE, _type_message(a.dtype))]
+        if path in fill_times:
+            head.append((FILL, bytes([3, FILL_TIMES[fill_times[path]]])))
         a = in_heaps(a) if a.dtype.kind == "O" else a.astype(a.dtype.newbyteorder("<"))
         if grows and (path not in chunks or sum(n is None for n in grows) > 1 or any(n is not None and n < have for n, have in zip(grows, a.shape, strict=True))):
             raise ContainerError(f"{path} can't grow to {grows}")
+        if path in compact:
+            if path in chunks or a.nbytes > 65535:
+                raise ContainerError(f"{path} can't be compact")
+            return put(_header([*head, (LAYOUT, struct.pack("<BBH", 3, 0, a.nbytes) + a.tobytes()), *attrs(path)]))
         if path not in chunks:
+            if a.size:
+                out.extend(bytes(-len(out) % align))
             at = put(a.tobytes()) if a.size else NOWHERE
             return put(_header([*head, (LAYOUT, struct.pack("<BBQQ", 3, 1, at, a.nbytes)), *attrs(path)]))
         free = list(grows).index(None) if grows and None in grows else None
@@ -993,14 +1155,64 @@ def write(arrays: Mapping[str, np.ndarray], attributes: Mapping[str, Mapping[str
         return head
 
     def group(node: dict, path: str) -> int:
-        links = []
+        listed = []
         for name, x in sorted(node.items()):
+            if isinstance(x, str) and x in links:
+                raw, to = name.encode(), links[x]
+                told = to.encode() if isinstance(to, str) else b"\0" + to[0].encode() + b"\0" + to[1].encode() + b"\0"
+                listed.append((name, struct.pack("<BBBH", 1, 9, 1 if isinstance(to, str) else 64, len(raw)) + raw + struct.pack("<H", len(told)) + told))
+                continue
             to = group(x, f"{path}/{name}".lstrip("/")) if isinstance(x, dict) else dataset(x)
             raw = name.encode()
-            links.append((name, struct.pack("<BBH", 1, 1, len(raw)) + raw + struct.pack("<Q", to)))
-        return put(_header([*kept(LINK, links), *attrs(path)]))
+            listed.append((name, struct.pack("<BBH", 1, 1, len(raw)) + raw + struct.pack("<Q", to)))
+        return put(_header([*kept(LINK, listed), *attrs(path)]))
 
     root = group(tree, "")
     head = SIGNATURE + struct.pack("<BBBBQQQQ", 3, 8, 8, 0, 0, NOWHERE, len(out), root)
     out[:48] = head + struct.pack("<I", lookup3(head))
     return bytes(out)
+
+
+def merged(parts: Sequence[Mapping[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The datasets that several creators have made, by name; a name that two of them made is an error."""
+    out: dict[str, np.ndarray] = {}
+    for part in parts:
+        if twice := sorted(set(out) & set(part)):
+            raise ContainerError(f"made twice: {', '.join(twice)}")
+        out.update(part)
+    return dict(sorted(out.items()))
+
+
+def build(rows: DataFrame, chunk: Sequence[int] | None = None, filters: Sequence[tuple[str, int]] = ()) -> DataFrame:
+    """(path, content): a file for each value of file. rows: file, dataset, shape (array of bigint) and payload (array of double, the last axis fastest), a row a dataset.
+
+    Files are built side by side, each in one task; a dataset that stands twice in a file is an error.
+    """
+    import pandas as pd
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        made = merged([{d: np.asarray(v, "f8").reshape([int(n) for n in s])} for d, s, v in zip(part["dataset"], part["shape"], part["payload"], strict=True)])
+        chunks = {d: [min(c, max(1, n)) for c, n in zip(chunk, a.shape, strict=True)] for d, a in made.items() if chunk and len(chunk) == a.ndim}
+        return pd.DataFrame({"path": [part["file"].iloc[0]], "content": [write(made, chunks=chunks, filters=filters if chunks else ())]})
+
+    return rows.select("file", "dataset", "shape", "payload").groupBy("file").applyInPandas(run, "path string, content binary")
+
+
+def save(files: DataFrame, folder: str) -> DataFrame:
+    """(path, length) of files (path, content) that tasks write to a folder that all of them share."""
+    from pyarrow import fs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store.create_dir(at, recursive=True)
+        for b in batches:
+            names = []
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                # Written aside and then moved, so that a task that runs again leaves no half of a file.
+                with store.open_output_stream(f"{at}/.{name}.part") as f:
+                    f.write(content)
+                store.move(f"{at}/.{name}.part", f"{at}/{name}")
+                names.append(f"{at}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([len(c) for c in b.column(1).to_pylist()], pa.int64())], names=["path", "length"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, length long")
