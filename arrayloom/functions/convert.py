@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,19 @@ def zero_extend(c: Column, width: int) -> Column:
     return F.pmod(c, F.lit(1 << (8 * width)).cast("long"))
 
 
+def byte_swap(raw: Column, size: int) -> Column:
+    """The bytes of elements of so many bytes each, every element's the other way round."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            rows = b.to_pylist()
+            if any(r is not None and len(r) % size for r in rows):
+                raise ValueError(f"the bytes are no multiple of {size}")
+            yield pa.array([None if r is None else np.frombuffer(r, np.uint8).reshape(-1, size)[:, ::-1].tobytes() for r in rows], pa.binary())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "binary")(raw)
+
+
 def fixed_string(c: Column, padding: str) -> Column:
     """null_term: up to the first zero; null_pad: without zeros at the end; space_pad: without spaces at the end."""
     if padding == "null_term":

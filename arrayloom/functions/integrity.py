@@ -82,3 +82,14 @@ def lookup3(data: bytes, seed: int = 0) -> int:
         c = (c ^ b) - _rotate(b, turn) & MASK
         a, b, c = b, c, a
     return b
+
+
+def lookup3_column(c: Column, seed: int = 0) -> Column:
+    """For metadata of some hundred bytes: a loop over each value's words."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([None if x is None else lookup3(x, seed) for x in b.to_pylist()], pa.int64())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "bigint")(c)

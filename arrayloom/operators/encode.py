@@ -77,5 +77,22 @@ def subfile_range(offset: Column, length: Column, stripe: int) -> Column:
     return F.sequence(quotient(offset, stripe), quotient(offset + F.greatest(length, F.lit(1)) - 1, stripe))
 
 
+def pieces(offset: Column, data: Column, stripe: int, files: int) -> Column:
+    """What goes where when bytes are written at a logical offset: an array of (subfile, local_offset, piece), a piece a stripe. Empty data: an empty array."""
+    def one(block: Column) -> Column:
+        start = F.greatest(offset, block * stripe)
+        end = F.least(offset + F.octet_length(data), (block + 1) * stripe)
+        file, local = subfile(start, stripe, files)
+        return F.struct(file.alias("subfile"), local.alias("local_offset"), F.substr(data, (start - offset + 1).cast("int"), (end - start).cast("int")).alias("piece"))
+
+    return F.when(F.octet_length(data) > 0, F.transform(subfile_range(offset, F.octet_length(data).cast("long"), stripe), one)).otherwise(F.array().cast("array<struct<subfile:int,local_offset:bigint,piece:binary>>"))
+
+
+def read_back(written: DataFrame, key: str) -> DataFrame:
+    """(key, data): the pieces of each key joined in their order. written: key, part (the piece's number) and piece."""
+    ordered = F.array_sort(F.collect_list(F.struct("part", F.hex("piece").alias("h"))))
+    return written.groupBy(key).agg(F.unhex(F.array_join(F.transform(ordered, lambda s: s["h"]), "")).alias("data"))
+
+
 def aligned(x: Column, line: int = 64) -> Column:
     return (quotient(x + (line - 1), line) * line).cast("long")

@@ -719,6 +719,107 @@ def cf_read(spark, sf_dir):
     return rows.select("file", F.col("event_id").cast("long").alias("event_id"), F.round("value", 6).alias("value"), "stored")
 
 
+def _packed_files(spark, sf_dir, table, columns, make):
+    """(path, content) of one file, made by a task of some columns of a table, in the order of the first."""
+    import pandas as pd
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"path": ["file"], "content": [make(part.sort_values(columns[0]).reset_index(drop=True))]})
+
+    rows = _t(spark, sf_dir, table).select(F.lit(0).alias("one"), *columns)
+    return rows.groupBy("one").applyInPandas(lambda part: run(part), "path string, content binary")
+
+
+@query("SELECT layout, row_number() OVER (PARTITION BY layout ORDER BY s_suppkey) - 1 AS i0, s_acctbal AS value FROM supplier, (VALUES ('compact'), ('contiguous'), ('single'), ('fixed'), ('extensible'), ('implied')) t(layout) WHERE layout <> 'compact' OR s_suppkey <= 50")
+def container_layouts(spark, sf_dir):
+    """The same numbers in every layout that a file may have, shuffled, compressed and summed where they are chunked."""
+    def make(part):
+        a = part["s_acctbal"].to_numpy("f8")
+        made = {"compact": a[part["s_suppkey"] <= 50], "contiguous": a, "single": a, "fixed": a, "extensible": a}
+        return container.write(made, chunks={"single": container.AUTO, "fixed": (7,), "extensible": (16,)}, filters=container.chain(shuffle=True, deflate=6, fletcher32=True), most={"extensible": (None,)}, compact=["compact"], align=64)
+
+    def implied(part):
+        return container.write({"implied": part["s_acctbal"].to_numpy("f8")}, filters=container.chain(lz4=True))
+
+    columns = ["s_suppkey", "s_acctbal"]
+    files, other = _packed_files(spark, sf_dir, "supplier", columns, make), _packed_files(spark, sf_dir, "supplier", columns, implied)
+    read = lambda f, name: container.read(spark, f, name, 1).select(F.lit(name).alias("layout"), "i0", "value")
+    out = read(other, "implied")
+    for name in ("compact", "contiguous", "single", "fixed", "extensible"):
+        out = out.union(read(files, name))
+    return out
+
+
+@query("SELECT name, row_number() OVER (PARTITION BY name ORDER BY s_suppkey) - 1 AS i0, CASE name WHEN 'kind' THEN CASE s_nationkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'mid' ELSE 'UNKNOWN(0x02000000)' END ELSE s_name END AS value FROM supplier, (VALUES ('variable'), ('fixed'), ('kind')) t(name)")
+def container_strings(spark, sf_dir):
+    """Strings of variable and of fixed length, and enumerated values."""
+    def make(part):
+        import numpy as np
+
+        names = part["s_name"].to_numpy(object)
+        kind = (part["s_nationkey"].to_numpy() % 3).astype(container.enumeration("<i4", {"low": 0, "mid": 1}))
+        return container.write({"variable": names, "fixed": np.array([n.encode() for n in names]), "kind": kind})
+
+    files = _packed_files(spark, sf_dir, "supplier", ["s_suppkey", "s_name", "s_nationkey"], make)
+    read = lambda name: container.read(spark, files, name, 1, kind="string").select(F.lit(name).alias("name"), "i0", "value")
+    return read("variable").union(read("fixed")).union(read("kind"))
+
+
+@query("SELECT 'file' AS file, row_number() OVER (ORDER BY s_suppkey) - 1 AS i0, s_suppkey AS key, s_acctbal AS balance FROM supplier")
+def container_records(spark, sf_dir):
+    """Two fields of structures of three."""
+    def make(part):
+        import numpy as np
+
+        a = np.zeros(len(part), [("key", "<i8"), ("nation", "<i4"), ("balance", "<f8")])
+        a["key"], a["nation"], a["balance"] = part["s_suppkey"], part["s_nationkey"], part["s_acctbal"]
+        return container.write({"rows": a}, chunks={"rows": (13,)}, filters=container.chain(zstd=3))
+
+    files = _packed_files(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"], make)
+    return container.read_records(spark, files, "rows", "key bigint, balance double")
+
+
+@query("SELECT 'file' AS file, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::VARCHAR ELSE 'text ' || n_nationkey END AS value FROM nation")
+def container_attributes(spark, sf_dir):
+    """Numbers and texts of an object with so many attributes that a heap and a tree of names hold them."""
+    def make(part):
+        import numpy as np
+
+        told = {n: int(k) if k % 2 == 0 else f"text {k}" for k, n in zip(part["n_nationkey"], part["n_name"], strict=True)}
+        return container.write({"g/x": np.zeros(1)}, {"": told})
+
+    return climate.attributes(spark, _packed_files(spark, sf_dir, "nation", ["n_nationkey", "n_name"], make))
+
+
+@query("SELECT p_partkey, printf('%016X', p_partkey) AS swapped FROM part")
+def byte_order(spark, sf_dir):
+    """Eight bytes, lowest first, turned to highest first."""
+    raw = Record({"key": "i64"}).to_bytes(F.struct(F.col("p_partkey").alias("key")))
+    return _t(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", F.hex(convert.byte_swap(F.col("raw"), 8)).alias("swapped"))
+
+
+@query("SELECT * FROM (VALUES (0, 3735928559::BIGINT), (1, 393676113::BIGINT)) t(id, hash)")
+def lookup3_published(spark, sf_dir):
+    """Published values of the hash: of nothing, and of a sentence."""
+    rows = spark.createDataFrame([(0, ""), (1, "Four score and seven years ago")], "id int, s string")
+    return rows.select("id", integrity.lookup3_column(F.col("s").cast("binary")).alias("hash"))
+
+
+SQL_STRIPES = "p AS (SELECT p_partkey, p_partkey * 21 AS o, p_name, strlen(p_name) AS n FROM part), s AS (SELECT *, unnest(range(o // 8, (o + n - 1) // 8 + 1)) AS b FROM p)"
+
+
+@query(f"WITH {SQL_STRIPES} SELECT p_partkey, (b % 3)::INT AS subfile, (b // 3 * 8 + greatest(o, b * 8) % 8)::BIGINT AS local_offset, substr(p_name, (greatest(o, b * 8) - o + 1)::INT, (least(o + n, b * 8 + 8) - greatest(o, b * 8))::INT) AS piece FROM s")
+def subfile_pieces(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.explode(encode.pieces(F.col("p_partkey") * 21, F.col("p_name").cast("binary"), 8, 3)).alias("x"))
+    return p.select("p_partkey", "x.subfile", "x.local_offset", F.decode("x.piece", "utf-8").alias("piece"))
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def subfile_read_back(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.posexplode(encode.pieces(F.col("p_partkey") * 21, F.col("p_name").cast("binary"), 8, 3)).alias("part", "x"))
+    return encode.read_back(p.select("p_partkey", "part", "x.piece"), "p_partkey").select("p_partkey", F.decode("data", "utf-8").alias("p_name"))
+
+
 # Extensions over long-form arrays.
 
 

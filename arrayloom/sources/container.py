@@ -921,8 +921,45 @@ def read_multi(spark: SparkSession, path: str | DataFrame, wanted: Sequence[str]
     return _files(spark, path).mapInArrow(run, "file string, pos int, dataset string, payload binary")
 
 
+def read_records(spark: SparkSession, path: str | DataFrame, dataset: str, schema: str) -> DataFrame:
+    """file, i0 and the named fields of a dataset of structures with one axis, in all files: only these fields are taken from the elements. schema: as ``"key bigint, price double"``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    wanted = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                box = Container(content)
+                d = box.find(dataset)
+                if not isinstance(d, Dataset) or d.kind.name != "compound" or len(d.shape) != 1:
+                    raise ContainerError(f"{dataset} is no list of structures")
+                if missing := [f.name for f in wanted if f.name not in d.kind.dtype.names]:
+                    raise ContainerError(f"{dataset} has no field {', '.join(missing)}")
+                for (first,), part in box.blocks(d):
+                    fields = [pa.array(part[f.name].astype(part[f.name].dtype.newbyteorder("="))).cast(f.type) for f in wanted]
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part), pa.string()), pa.array(np.arange(first, first + len(part))), *fields], names=["file", "i0", *wanted.names])
+
+    return _files(spark, path).mapInArrow(run, f"file string, i0 bigint, {schema}")
+
+
 # Writing.
 
+#: A chunk shape: the whole dataset.
+AUTO = "auto"
+
+
+def chain(shuffle: bool = False, deflate: int | None = None, lz4: bool = False, zstd: int | None = None, fletcher32: bool = False) -> list[tuple[str, int]]:
+    """Filters in the order in which they are stored: bytes in their order first, one compression (zstd before lz4 before deflate), the checksum last."""
+    packed = [("zstd", zstd)] if zstd is not None else [("lz4", 0)] if lz4 else [("deflate", deflate)] if deflate is not None else []
+    return [*([("shuffle", 0)] if shuffle else []), *packed, *([("fletcher32", 0)] if fletcher32 else [])]
+
+
+def enumeration(base: str, members: Mapping[str, int]) -> np.dtype:
+    """An integer type whose values have names."""
+    return np.dtype(base, metadata={"enum": dict(members)})
+
 
 def _type_message(dtype: np.dtype) -> bytes:
     size = dtype.itemsize
@@ -970,9 +1007,12 @@ def _attribute_message(name: str, value: object) -> bytes:
 PAGE_BITS, GROWING, HEAP, COMPACT = 10, (32, 4, 4, 16), (4, 512, 65536), 8
 
 
-def write(arrays: Mapping[str, np.ndarray], attributes: Mapping[str, Mapping[str, object]] | None = None, chunks: Mapping[str, Sequence[int]] | None = None, filters: Sequence[tuple[str, int]] = (), most: Mapping[str, Sequence[int | None]] | None = None, compact: Sequence[str] = (), align: int = 1, fill_times: Mapping[str, str] | None = None, links: Mapping[str, str | tuple[str, str]] | None = None) -> bytes:
+def write(arrays: Mapping[str, np.ndarray], attributes: Mapping[str, Mapping[str, object]] | None = None, chunks: Mapping[str, Sequence[int]] | None = None, filters: Sequence[tuple[str, int]] = (), most: Mapping[str, Sequence[int | None]] | None = None, compact: Sequence[str] = (), align: int = 1, fill_times: Mapping[str, str] | None = None, links: Mapping[str, str | tuple[str, str]] | None = None, arrays_of: Mapping[str, int] | None = None) -> bytes:
     """One file's bytes: datasets by path (groups are made), attributes by path, chunk shapes by path.
 
+    A chunk shape may be AUTO, the whole dataset; filters without any chunk shape make all datasets chunked so.
+    arrays_of: by path how many of the last axes are one element, of an array type.
+
     compact: paths of datasets of less than 64 KB that lie in their headers. align: a contiguous dataset's elements begin at a multiple of it.
     fill_times: never, alloc or ifset, by path. links: soft links, path to path, or external ones, path to (file, path).
 
@@ -981,12 +1021,13 @@ def write(arrays: Mapping[str, np.ndarray], attributes: Mapping[str, Mapping[str
     Objects with more than eight attributes or links keep them in a heap. Types: numbers, S strings, object arrays of str
     (variable length), structured types, and integers whose dtype.metadata names an "enum".
     """
-    most, fill_times, links = most or {}, fill_times or {}, links or {}
-    if filters and not chunks:
-        raise ContainerError("filters hold for chunks only")
+    most, fill_times, links, arrays_of = most or {}, fill_times or {}, links or {}, arrays_of or {}
     if align < 1:
         raise ContainerError("alignment of 1 at least")
-    attributes, chunks = attributes or {}, chunks or {}
+    attributes, chunks = attributes or {}, dict(chunks or {})
+    if filters and not chunks:
+        chunks = {p: AUTO for p, a in arrays.items() if np.ndim(a) and np.size(a) and p not in compact}
+    chunks = {p: np.shape(arrays[p]) if c == AUTO else c for p, c in chunks.items()}
     out = bytearray(48)
     ids = {v: k for k, v in FILTER_NAMES.items()}
     put = lambda b: (len(out), out.extend(b))[0]
@@ -1059,7 +1100,13 @@ def write(arrays: Mapping[str, np.ndarray], attributes: Mapping[str, Mapping[str
 
     def dataset(path: str) -> int:
         a = np.ascontiguousarray(arrays[path])
-        grows = most.get(path)
+        grows, inner = most.get(path), arrays_of.get(path, 0)
+        if inner:
+            if path in chunks or path in compact or inner > a.ndim:
+                raise ContainerError(f"{path}: elements that are arrays lie in one piece")
+            outer, kind = a.shape[: a.ndim - inner], np.dtype((a.dtype.newbyteorder("<"), a.shape[a.ndim - inner :]))
+            at = put(a.astype(a.dtype.newbyteorder("<")).tobytes()) if a.size else NOWHERE
+            return put(_header([(SPACE, _space_message(outer)), (TYPE, _type_message(kind)), (LAYOUT, struct.pack("<BBQQ", 3, 1, at, a.nbytes)), *attrs(path)]))
         head = [(SPACE, _space_message(a.shape, grows)), (TYPE, _type_message(a.dtype))]
         if path in fill_times:
             head.append((FILL, bytes([3, FILL_TIMES[fill_times[path]]])))

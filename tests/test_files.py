@@ -47,8 +47,11 @@ def test_storage_of_datasets():
     assert all((box.array(k) == v).all() for k, v in made.items())
     with pytest.raises(container.ContainerError):
         container.write({"x": np.zeros(20_000)}, compact=["x"])
-    with pytest.raises(container.ContainerError):
-        container.write(made, filters=[("deflate", 1)])
+    implied = container.Container(container.write(made, filters=container.chain(shuffle=True, lz4=True, deflate=3)))
+    assert {implied.find(k).layout[0] for k in made} == {"single"} and implied.find("plain").filters == [("shuffle", 8), ("lz4", 0)]
+    pairs = container.Container(container.write({"p": np.arange(12, dtype="i4").reshape(3, 2, 2)}, arrays_of={"p": 2}))
+    d = pairs.find("p")
+    assert d.shape == (3,) and container.decoded(pairs.array("p"), d.kind)[1] == [[4, 5], [6, 7]]
     assert list(container.merged([{"b": 1}, {"a": 2}])) == ["a", "b"]
     with pytest.raises(container.ContainerError, match="twice"):
         container.merged([{"a": 1}, {"a": 2}])

@@ -98,7 +98,7 @@ def test_graph_recall():
     for q in v[:20]:
         want = set(np.argsort(((v - q) ** 2).sum(axis=1))[:10].tolist())
         hits += len(want & {n for _, n in g.search(q, 10)})
-    assert hits >= 0.8 * 200
+    assert hits >= 0.9 * 200
     assert len(list(g.edges())) > 400
 
 
@@ -112,7 +112,7 @@ def test_search_over_shards(spark):
 
 def test_filters():
     data = bytes(range(8))
-    assert codecs.shuffle(bytes([0xA0, 0xA1, 0xA2, 0xA3, 0xB0, 0xB1, 0xB2, 0xB3]), 4) == bytes([0xA0, 0xB0, 0xA1, 0xB1, 0xA2, 0xB2, 0xA3, 0xB3])
+    assert codecs.shuffle(bytes([0x11, 0x22, 0x33, 0x44, 0x15, 0x26, 0x37, 0x48]), 4) == bytes([0x11, 0x15, 0x22, 0x26, 0x33, 0x37, 0x44, 0x48])
     for steps in ([("shuffle", 4), ("deflate", 6)], [("zstd", 3), ("fletcher32", 0)], []):
         assert codecs.undo(codecs.apply(data, steps), steps) == data
     stored = bytearray(codecs.apply(data, [("fletcher32", 0)]))
