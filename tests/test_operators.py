@@ -44,13 +44,13 @@ def test_edge_chunks_are_filled(spark):
 
 
 def test_cf_unpack(spark):
-    df = spark.createDataFrame([(100.0,), (200.0,), (-9999.0,), (300.0,), (150.0,)], "v double")
-    got = [r[0] for r in df.select(cf.unpack(F.col("v"), 0.01, 273.15, -9999)).collect()]
+    df = spark.createDataFrame([(8.0,), (-12.0,), (-77.0,), (40.0,), (6.0,)], "v double")
+    got = [r[0] for r in df.select(cf.unpack(F.col("v"), 0.25, 3.0, -77)).collect()]
     assert math.isnan(got[2])
-    assert np.allclose([got[i] for i in (0, 1, 3, 4)], [274.15, 275.15, 276.15, 274.65])
-    raw = [r[0] for r in df.select(cf.unpack(F.col("v"), fill=-9999)).collect()]
-    assert raw[2] == -9999
-    assert math.isnan(df.select(cf.unpack(F.col("v"), fill=-9999, mask_always=True)).collect()[2][0])
+    assert np.allclose([got[i] for i in (0, 1, 3, 4)], [5.0, 0.0, 13.0, 4.5])
+    raw = [r[0] for r in df.select(cf.unpack(F.col("v"), fill=-77)).collect()]
+    assert raw[2] == -77
+    assert math.isnan(df.select(cf.unpack(F.col("v"), fill=-77, mask_always=True)).collect()[2][0])
 
 
 def test_dimension_matching():
@@ -60,7 +60,7 @@ def test_dimension_matching():
 
 
 def test_dictionary(spark):
-    words = ["cat", "dog", "cat", "bird", "dog", "cat"]
+    words = ["oak", "fir", "oak", "yew", "fir", "oak"]
     df = spark.createDataFrame(list(enumerate(words)), "p int, w string")
     assert [r.code for r in encode.encode(df, "w", "p").orderBy("p").collect()] == [0, 1, 0, 2, 1, 0]
     assert encode.ratio(df.limit(0), "w").collect()[0].ratio == 1.0
