@@ -55,7 +55,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`checkpointed` has made and that nothing will read again."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(t._cut_at)
+        place.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def packed(df: DataFrame, **named: Column) -> DataFrame:

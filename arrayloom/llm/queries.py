@@ -40,7 +40,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.score(docs, lm.fit(docs)).select("doc_id", "n_tokens", "log_prob", "mean_log_prob", (F.col("n_alone") / F.greatest("n_tokens", F.lit(1))).alias("alone_share"))
+    return lm.score(docs, lm.fit(docs), keep=["doc_id"]).select("doc_id", "n_tokens", "log_prob", "mean_log_prob", (F.col("n_alone") / F.greatest("n_tokens", F.lit(1))).alias("alone_share"))
 
 
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
