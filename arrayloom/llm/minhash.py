@@ -7,11 +7,10 @@ the darts of the part of the region that they share. Of the darts under the text
 under a rank bound that makes about k ln k + 2k of them, the earliest on each of the k coordinates
 stays. Coordinates agree with the probability of the weighted Jaccard similarity.
 
-Bands of coordinates are joined to buckets. Texts that are equal are one node from the start. In a bucket every
-node is held against a leader, by the exact similarity of both texts. Verified links join nodes to
-components. Leaders leave their buckets, and buckets in which several components are left get other
-leaders in the next round; from the second round on only while their leaders find links. No bucket
-is ever expanded into its pairs: the nodes of all buckets that then still hold several components
+Bands of coordinates are joined to buckets. Texts that are equal are one node from the start. Every bucket has a leader. A node is first held
+against one leader of its buckets, by the exact similarity of both texts, and then against those of its other buckets that it isn't joined to. Verified links join nodes to
+components, and leaders leave their buckets. No bucket
+is ever expanded into its pairs: the nodes of all buckets that still hold several components
 are joined by their rarest shingles, which finds every similar pair among them. So each similar pair that
 shares a bucket is found, or is in one component without its own test.
 """
@@ -26,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import PART, checkpointed, map_arrow, packed, sized, spread, unpacked
+from arrayloom.llm.common import checkpointed, map_arrow, packed, sized, unpacked
 from arrayloom.llm.wordhash import U, mix, portions, shingles
 
 COORDINATES, ROWS = 252, 7
-#: Leaders of a bucket in the first round (most buckets hold one class) and in each later one. From the second round on, a bucket whose leaders find no link is left to the join by rare shingles.
-LEADERS, TURNS = (1, 3), 2
+#: Leaders of a bucket in each round. In the first a node meets one leader of all its buckets' alone, in the second the same leaders of all of them.
+#: What is left after the last round goes to the join by rare shingles.
+LEADERS = (1, 1, 3)
+#: Texts of one shingle that the join by rare shingles holds against all others in one part, and pairs of a leader that are tested in one part.
+PART, PAIRS = 1000, 100
 SIMILARITY, SHINGLE = 0.8, 5
 EMPTY = np.iinfo(np.uint64).max
 
@@ -44,20 +46,27 @@ def _throw(best: np.ndarray, doc: np.ndarray, x: np.ndarray, w: np.ndarray, boun
         rank, d, e, weight = np.zeros(len(x)), doc, x, w
         step = 0
         while len(e):
-            seed = mix(e + U(cell * 0x9E3779B9 + step * 0xD1B54A32D192ED03 & EMPTY))
-            rank = rank - np.log(((seed >> U(11)).astype(np.float64) + 0.5) / 2**53) / width
-            on = rank < bound[d]
-            rank, d, e, weight, seed = rank[on], d[on], e[on], weight[on], seed[on]
-            dart = mix(seed + U(0x632BE59BD9B4E019))
+            # Of few shingles many darts are thrown at once: a text of one shingle throws them all at it.
+            many = max(1, min(64, 4096 // len(e)))
+            turns = np.array([cell * 0x9E3779B9 + (step + i) * 0xD1B54A32D192ED03 & int(EMPTY) for i in range(many)], U)
+            seed = mix(e[:, None] + turns)
+            ranks = -np.log(((seed >> U(11)).astype(np.float64) + 0.5) / 2**53) / width
+            ranks[:, 0] += rank
+            ranks = np.cumsum(ranks, axis=1)
+            on = ranks < bound[d][:, None]
+            of, nth = np.nonzero(on)
+            dart = mix(seed[of, nth] + U(0x632BE59BD9B4E019))
             at = ((dart >> U(32)) * U(k)) >> U(32)
-            key = (rank.view(U) >> U(23) << U(24)) | (dart & U(0xFFFFFF))
-            flat = d * k + at.astype(np.int64)
+            key = (ranks[of, nth].view(U) >> U(23) << U(24)) | (dart & U(0xFFFFFF))
+            flat = d[of] * k + at.astype(np.int64)
             if low + width > 1.0:  # above the first cell a dart may lie over the weight
                 own = (mix(dart + U(1)) >> U(11)).astype(np.float64) / 2**53
-                under = low + width * own < weight
+                under = low + width * own < weight[of]
                 flat, key = flat[under], key[under]
             np.minimum.at(best, flat, key)
-            step += 1
+            more = on[:, -1]
+            rank, d, e, weight = ranks[more, -1], d[more], e[more], weight[more]
+            step += many
         low += width
         more = w > low
         doc, x, w, cell = doc[more], x[more], w[more], cell + 1
@@ -120,27 +129,24 @@ def _verify(batches: Iterator[pa.RecordBatch], size: int, least: float, weighted
                 if head:
                     own = made
                 good.append(not head and similarity(own, made, weighted) >= least)
-        yield b.select(["a", "b", "la", "lb", "bucket"]).filter(pa.array(good, pa.bool_()))
+        yield b.select(["a", "b", "la", "lb"]).filter(pa.array(good, pa.bool_()))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component. links: a, b (long).
 
     Each round takes the smallest label among a node's neighbours, then the label of that label,
-    until none changes. Nodes with many links and labels of many nodes are met in parts.
+    until none changes. The tables that are joined are written first, so that each join shuffles both of them for itself alone:
+    adaptive execution can then split a node of many links or a label of many nodes.
     """
     both = checkpointed(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    degrees = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("__n"), F.least(F.min("a"), F.min("b")).alias("label"))
-    degrees = checkpointed(degrees)
-    labels, links_in_all, nodes_in_all = degrees.select("node", "label"), both.count(), degrees.count()
-    near_by = both.select(F.col("a").alias("node"), "b")
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
     while True:
-        told = spread(near_by, labels, "node", degrees.select("node", "__n"), links_in_all, F.col("b")).select(F.col("b").alias("node"), "label")
-        near = checkpointed(told.union(labels).groupBy("node").agg(F.min("label").alias("near")))
-        far = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        now = spread(near, far, "near", near.groupBy("near").agg(F.count("*").alias("__n")), nodes_in_all, F.col("node"), "left")
-        now = now.select("node", F.least("near", F.coalesce("far", "near")).alias("label"))
-        new = checkpointed(now.join(labels.select("node", F.col("label").alias("was")), "node"))
+        told = both.join(labels, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "label")
+        old = labels.select("node", "label", F.col("label").alias("was")).union(told.select("node", "label", F.lit(None).cast("long")))
+        near = checkpointed(old.groupBy("node").agg(F.min("label").alias("near"), F.max("was").alias("was")))
+        far = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
+        new = checkpointed(near.join(far, F.col("near") == F.col("to"), "left").select("node", F.least("near", F.coalesce("far", "near")).alias("label"), "was"))
         changed = new.where(F.col("label") != F.col("was")).limit(1).count()
         labels = new.select("node", "label")
         if not changed:
@@ -168,94 +174,95 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, least: float, size: in
     nodes = sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
     held = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("bucket"))
-    shared = checkpointed(held.groupBy("bucket").agg(F.count("*").alias("__n")).where(F.col("__n") > 1))
-    number = nodes.count()
-    met = checkpointed(spread(held, shared.select("bucket"), "bucket", shared, number, F.col("node")))
+    # Written tables meet, here and below, so that adaptive execution can split the rows of a frequent key.
+    shared = checkpointed(held.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("bucket"))
+    met = checkpointed(held.join(shared, "bucket"))
     labels = None
     if met.limit(1).count():
         texts = known.groupBy("digest").agg(F.first("text").alias("text"))
         asked = met.select("node").distinct().join(nodes.select("node", "digest"), "node")
         texts = checkpointed(texts.join(asked, "digest").select("node", "text"))
-        links = _linked(met, texts, least, size, weighted)
-        labels = components(links) if links is not None else None
+        labels = _linked(met, texts, least, size, weighted)
     out = nodes.select("digest", "node", "rep", "copies")
     if labels is None:
         out = out.select("digest", F.col("node").alias("label"), F.col("rep").alias("class_id"), F.col("copies").alias("class_size"))
     else:
         out = checkpointed(out.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")))
-        whole = checkpointed(out.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("__n")))
-        out = spread(out.select("digest", "label", "copies"), whole.drop("__n"), "label", whole.select("label", "__n"), number, F.col("digest"))
-    copies = nodes.select(F.col("digest").alias("__digest"), F.col("copies").alias("__n"))
+        whole = checkpointed(out.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")))
+        out = checkpointed(out.select("digest", "label").join(whole, "label"))
     out = out.select(F.col("digest").alias("__digest"), F.col("label").alias("__label"), F.col("class_id").alias("__class"), F.col("class_size").alias("__size"))
-    df = packed(docs, __id=F.col(id_col), __digest=F.unhex(F.md5(text_col)))
-    df = spread(df, out, "__digest", copies, docs.count(), F.col("__id"), "left")
+    df = packed(docs, __id=F.col(id_col), __digest=F.unhex(F.md5(text_col))).join(out, "__digest", "left")
     alone = F.col("__digest").isNull()
     return df.select("__row", "__id", "__label", F.when(alone, F.col("__id")).otherwise(F.col("__class")).alias("__class"), F.when(alone, F.lit(1)).otherwise(F.col("__size")).alias("__n"))
 
 
 def _tested(pairs: DataFrame, texts: DataFrame, least: float, size: int, weighted: bool) -> DataFrame:
-    """The similar ones of pairs (a, b, la, lb, bucket), by the texts themselves.
+    """The similar ones of pairs (a, b, la, lb), by the texts themselves.
 
     In every pair the text of a is a leader's, which many pairs share: it is sent once to each part of its pairs and
     meets them in a stream. pairs: checkpointed.
     """
-    total = pairs.count()
-    part = max(PART, total // 1000)
-    hot = sized(checkpointed(pairs.groupBy(F.col("a").alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > part).select("hot", F.ceil(F.col("n") / part).cast("int").alias("parts"))))
-    dealt = pairs.join(hot, F.col("a") == F.col("hot"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))).drop("hot", "parts")
+    hot = sized(checkpointed(pairs.groupBy(F.col("a").alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > PAIRS).select("hot", F.ceil(F.col("n") / PAIRS).cast("int").alias("parts"))))
+    dealt = pairs.withColumn("part", F.lit(0))
+    if hot.limit(1).count():
+        dealt = checkpointed(pairs.join(hot, F.col("a") == F.col("hot"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))).drop("hot", "parts"))
     heads = dealt.select("a", "part").distinct().join(texts.select(F.col("node").alias("a"), "text"), "a")
     none = F.lit(None).cast("long")
-    rows = dealt.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "part", "b", "la", "lb", "bucket", "text")
-    rows = rows.union(heads.select("a", "part", none, none, none, none, "text")).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return checkpointed(map_arrow(rows.drop("part"), lambda b: _verify(b, size, least, weighted), "a bigint, b bigint, la bigint, lb bigint, bucket bigint"))
+    rows = dealt.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "part", "b", "la", "lb", "text")
+    rows = rows.union(heads.select("a", "part", none, none, none, "text")).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return checkpointed(map_arrow(rows.drop("part"), lambda b: _verify(b, size, least, weighted), "a bigint, b bigint, la bigint, lb bigint"))
+
+
+def _relabelled(labels: DataFrame | None, moved: DataFrame) -> DataFrame:
+    """(node, label) after components were joined. moved: (node, label) of labels that were joined to smaller ones, or stay."""
+    if labels is None:
+        return moved
+    to = moved.select(F.col("node").alias("old"), F.col("label").alias("new"))
+    known = labels.join(to, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    return checkpointed(known.union(moved.join(labels.select("node"), "node", "left_anti").select("node", "label")))
 
 
 def _linked(met: DataFrame, texts: DataFrame, least: float, size: int, weighted: bool) -> DataFrame | None:
-    """Verified links (a, b), or None. met: (node, bucket) of buckets with several nodes."""
+    """(node, label) of all nodes that verified links join, or None. met: (node, bucket) of buckets with several nodes."""
     state = met.select("bucket", "node", F.col("node").alias("label"))
-    links = tested = rest = None
-    turn, total = 0, met.count()
-    while True:
-        turn += 1
-        # The leaders of a bucket are its least nodes under a hash of the turn, of different remainders so that they are different nodes.
+    labels = tested = None
+    for turn, number in enumerate(LEADERS, 1):
+        # The leaders of a bucket are its least nodes under a hash of the turn (the first two have the same), of different remainders so that they are different nodes.
         # Buckets that hold the same nodes have the same leaders, so that a pair that shares many buckets is one test.
-        number = LEADERS[min(turn, len(LEADERS)) - 1]
-        key = F.xxhash64("node", F.lit(turn))
+        draw = max(1, turn - 1)
+        key = F.xxhash64("node", F.lit(draw))
         keys = [F.when(F.pmod(key, F.lit(number)) == j, key) for j in range(number)]
         chosen = [c.alias(f"{n}{j}") for j, key in enumerate(keys) for n, c in (("n", F.min_by("node", key)), ("m", F.min_by("label", key)))]
-        lead = checkpointed(state.groupBy("bucket").agg(*chosen, F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("__n")).where(F.col("l0") != F.col("l1")))
+        lead = checkpointed(state.groupBy("bucket").agg(*chosen, F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("l0") != F.col("l1")))
         leads = F.array(*(F.struct(F.col(f"n{j}").alias("node"), F.col(f"m{j}").alias("label")) for j in range(number)))
         led = lead.select("bucket", F.filter(leads, lambda x: x["node"].isNotNull()).alias("leads"))
-        live = checkpointed(spread(state, led, "bucket", lead.select("bucket", "__n"), total, F.col("node")).select("bucket", "node", "label", "leads"))
-        # Within a component no pair needs a test, and none is tested twice.
-        apart = live.select("bucket", "node", "label", F.explode(F.filter("leads", lambda x: x["label"] != F.col("label"))).alias("lead"))
-        pairs = apart.select("bucket", F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.label").alias("la"), F.col("label").alias("lb"))
-        # A link counts for all buckets that hold its pair.
-        credit = pairs.select("a", "b", F.col("bucket").alias("k"))
-        pairs = pairs.groupBy("a", "b", "la", "lb").agg(F.min("bucket").alias("bucket"))
+        live = checkpointed(state.join(led, "bucket").select("bucket", "node", "label", "leads"))
+        # Of each node the different leaders of all its buckets: those of its own component need no test, and no pair is tested twice.
+        met_by = live.groupBy("node").agg(F.first("label").alias("label"), F.array_distinct(F.flatten(F.collect_list("leads"))).alias("leads"))
+        others = F.filter("leads", lambda x: x["label"] != F.col("label"))
+        if turn == 1:
+            # At first a node meets one leader alone, the least of all of them, so that a large group of copies has about a link a node.
+            # No leader has met all of its bucket by that, and none leaves it.
+            least_of_all = F.array_min(F.transform("leads", lambda x: F.struct(F.xxhash64(x["node"], F.lit(draw)).alias("h"), x["node"].alias("node"), x["label"].alias("label"))))
+            apart = met_by.withColumn("lead", least_of_all).where(F.col("lead.node") != F.col("node"))
+        else:
+            apart = met_by.select("node", "label", F.explode(others).alias("lead"))
+        pairs = apart.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.label").alias("la"), F.col("label").alias("lb"))
         pairs = checkpointed(pairs if tested is None else pairs.join(_either_way(tested), ["a", "b"], "left_anti"))
-        live = live.where(~F.array_contains("leads.node", F.col("node"))).select("bucket", "node", "label")
         some = pairs.limit(1).count()
         if some:
             tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
             found = _tested(pairs, texts, least, size, weighted)
             some = found.limit(1).count()
+        live = live.select("bucket", "node", "label") if turn == 1 else live.where(~F.array_contains("leads.node", F.col("node"))).select("bucket", "node", "label")
         if some:
-            links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
-            moved = components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("old"), F.col("label").alias("new"))
-            many = live.groupBy(F.col("label").alias("old")).agg(F.count("*").alias("__n"))
-            state = spread(live.withColumnRenamed("label", "old"), moved, "old", many, total, F.xxhash64("bucket", "node"), "left").select("bucket", "node", F.coalesce("new", "old").alias("label"))
+            moved = components(found.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            labels = _relabelled(labels, moved)
+            state = live.join(moved.select(F.col("node").alias("old"), F.col("label").alias("new")), F.col("label") == F.col("old"), "left").select("bucket", "node", F.coalesce("new", "label").alias("label"))
         else:
             state = live
-        if turn >= TURNS:
-            going = checkpointed(credit.join(found.select("a", "b"), ["a", "b"]).select(F.col("k").alias("bucket")).distinct()) if some else None
-            left = (state.join(going, "bucket", "left_anti") if some else state).select("bucket", "node")
-            rest = left if rest is None else rest.union(left)
-            if not some:
-                break
-            state = state.join(going, "bucket", "left_semi")
-    more = _by_rare_shingles(rest, links, tested, texts, least, size, weighted)
-    return links if more is None else more if links is None else links.union(more)
+    found = _by_rare_shingles(state.select("bucket", "node"), labels, tested, texts, least, size, weighted)
+    return labels if found is None else _relabelled(labels, components(found))
 
 
 def _either_way(pairs: DataFrame) -> DataFrame:
@@ -269,26 +276,27 @@ def _elements(batches: Iterator[pa.RecordBatch], size: int, weighted: bool) -> I
         for lo, hi in portions(texts):
             held = shingles(texts[lo:hi], size)
             if weighted:
-                held = [(np.concatenate([mix(x[n > i] + U(i * 0x9E3779B97F4A7C15 & EMPTY)) for i in range(int(n.max()) if len(n) else 0)] or [x]), n) for x, n in held]
+                nth = lambda n: (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(U)
+                held = [(mix(np.repeat(x, n) + nth(n) * U(0x9E3779B97F4A7C15)), n) for x, n in held]
             sizes = [len(x) for x, _ in held]
             spread = lambda c: pa.array(np.repeat(c.slice(lo, hi - lo).to_numpy(), sizes))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([spread(b.column("node")), spread(b.column("label")), pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(np.concatenate([x for x, _ in held]).view(np.int64))], names=["node", "label", "n", "element"])
 
 
-def _by_rare_shingles(rest: DataFrame, links: DataFrame | None, tested: DataFrame | None, texts: DataFrame, least: float, size: int, weighted: bool) -> DataFrame | None:
-    """All links (a, b) between components among the nodes of rest (bucket, node), or None.
+def _by_rare_shingles(rest: DataFrame, labels: DataFrame | None, tested: DataFrame | None, texts: DataFrame, least: float, size: int, weighted: bool) -> DataFrame | None:
+    """All links between components among the nodes of rest (bucket, node), as pairs of labels (a, b), or None.
 
     With the shingles of each text from rare to common, the first that two similar texts share stands so
     early in both that enough can follow: in the first n - least * n + 1 of either, and of the
     smaller in the first n - 2 * least / (1 + least) * n + 1. Only those are joined.
     """
     label = F.col("node")
-    if links is not None:
-        known = components(links).select(F.col("node").alias("to"), F.col("label").alias("of"))
+    if labels is not None:
+        known = labels.select(F.col("node").alias("to"), F.col("label").alias("of"))
         rest, label = rest.join(known, F.col("node") == F.col("to"), "left"), F.coalesce("of", "node")
     rest = checkpointed(rest.select("bucket", "node", label.alias("label")))
-    several = checkpointed(rest.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("__n")).where(F.col("l0") != F.col("l1")))
-    nodes = checkpointed(spread(rest, several.select("bucket"), "bucket", several.select("bucket", "__n"), rest.count(), F.col("node")).select("node", "label").distinct())
+    several = checkpointed(rest.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("l0") != F.col("l1")).select("bucket"))
+    nodes = checkpointed(rest.join(several, "bucket").select("node", "label").distinct())
     if not nodes.limit(1).count():
         return None
     held = checkpointed(map_arrow(texts.join(nodes, "node").select("node", "label", "text"), lambda b: _elements(b, size, weighted), "node bigint, label bigint, n bigint, element bigint"))
@@ -297,7 +305,7 @@ def _by_rare_shingles(rest: DataFrame, links: DataFrame | None, tested: DataFram
     # Shingles of one text alone come first and are only counted.
     place = F.col("n") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("df", "element"))
     up = lambda share, n: F.ceil(F.lit(share) * n - 1e-9)
-    ranked = spread(held, shared, "element", shared.select("element", F.col("df").alias("__n")), held.count(), F.col("node")).withColumn("place", place).where(F.col("l0") != F.col("l1"))
+    ranked = checkpointed(held.join(shared, "element")).withColumn("place", place).where(F.col("l0") != F.col("l1"))
     ranked = ranked.where(F.col("place") <= F.col("n") - up(least, F.col("n")) + 1).withColumn("parts", F.ceil(F.col("df") / PART).cast("int"))
     ranked = checkpointed(ranked.select("element", "node", "label", "n", "place", "parts"))
     small = ranked.where(F.col("place") <= F.col("n") - up(2 * least / (1 + least), F.col("n")) + 1).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -308,9 +316,10 @@ def _by_rare_shingles(rest: DataFrame, links: DataFrame | None, tested: DataFram
     fits = fits & (1 + F.least(nx - F.col("x.place"), ny - F.col("y.place")) >= up(least / (1 + least), nx + ny))
     met = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.part") == F.col("y.part")) & fits)
     swap = F.col("x.node") < F.col("y.node")
-    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.when(swap, F.col("x.label")).otherwise(F.col("y.label")).alias("la"), F.when(swap, F.col("y.label")).otherwise(F.col("x.label")).alias("lb"), F.lit(0).cast("long").alias("bucket")).distinct()
+    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.when(swap, F.col("x.label")).otherwise(F.col("y.label")).alias("la"), F.when(swap, F.col("y.label")).otherwise(F.col("x.label")).alias("lb")).distinct()
     pairs = checkpointed(pairs if tested is None else pairs.join(_either_way(tested), ["a", "b"], "left_anti"))
-    return _tested(pairs, texts, least, size, weighted).select("a", "b") if pairs.limit(1).count() else None
+    found = _tested(pairs, texts, least, size, weighted).select(F.col("la").alias("a"), F.col("lb").alias("b")) if pairs.limit(1).count() else None
+    return found if found is not None and found.limit(1).count() else None
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, size: int = SHINGLE, k: int = COORDINATES, rows: int = ROWS, weighted: bool = True) -> DataFrame:
