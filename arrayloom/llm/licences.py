@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import packed, sized, unpacked
+from arrayloom.llm.common import checkpointed, sized, unpacked
 
 # Texts of public licences and of their usual notices.
 KNOWN = [
@@ -171,8 +171,8 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
     return rows.groupBy("digest").agg(F.min("licence").alias("licence"), F.min("first").alias("first"), F.min("n").alias("n"))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns and digest, licence (of the whole text, or null), notices (sorted names of the known texts inside, by comma, or null).
+def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (None: all) and digest, licence (of the whole text, or null), notices (sorted names of the known texts inside, by comma, or null).
 
     known: what :func:`known_digests` gives. A known text stands inside if it begins with a line; where lines end in it doesn't matter.
     Null text: null digest and no match. An empty canonical form matches nothing unless a known
@@ -180,23 +180,28 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     replace input columns of their names.
     """
     known = known if known is not None else known_digests(docs.sparkSession)
+    columns = docs.columns if keep is None else keep
     whole = sized(known.select(F.col("digest").alias("__k"), F.col("licence").alias("__licence")), 200_000)
     firsts = sized(known.where(F.col("first") != "").groupBy("first").agg(F.collect_set("n").alias("__ns")), 200_000)
-    rows = packed(docs, __id=F.col(id_col), __mark=F.xxhash64(text_col), __digest=digest(F.col(text_col)))
-    rows = rows.join(whole, F.col("__digest") == F.col("__k"), "left").drop("__k")
-    form = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__fid"), F.xxhash64(text_col).alias("__fmark"), _filled(canonical_lines(F.col(text_col))).alias("__ls"))
+    # Every text is brought to its form once; what its lines begin with is kept beside its digest.
+    rows = docs.select(F.struct(*(F.col(c) for c in columns)).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__mark"), canonical_lines(F.col(text_col)).alias("__lines"))
+    rows = rows.select("__row", "__id", "__mark", F.sha2(_flat(F.col("__lines")), 256).alias("__digest"), _filled(F.col("__lines")).alias("__ls"))
     ahead = lambda i, k: F.get("__ls", i + k)
     begins = F.transform("__ls", lambda x, i: _first(F.concat_ws(" ", x, ahead(i, 1), ahead(i, 2)), F.lit(ANCHOR)))
-    begun = form.select("__fid", "__fmark", F.posexplode(begins).alias("__at", "first")).join(firsts, "first")
-    begun = begun.groupBy(F.col("__fid").alias("__i"), F.col("__fmark").alias("__m")).agg(F.collect_set(F.struct("__at", "__ns")).alias("__begun"))
-    told = form.join(begun, F.col("__fid").eqNullSafe(F.col("__i")) & (F.col("__fmark") == F.col("__m")))
+    rows = checkpointed(rows.select("__row", "__id", "__mark", "__digest", begins.alias("__begins")))
+    begun = rows.select("__id", "__mark", F.posexplode("__begins").alias("__at", "first")).join(firsts, "first")
+    begun = checkpointed(begun.groupBy(F.col("__id").alias("__i"), F.col("__mark").alias("__m")).agg(F.collect_set(F.struct("__at", "__ns")).alias("__begun")))
+    # The few texts that begin a known text somewhere are formed again.
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__fid"), F.xxhash64(text_col).alias("__fmark"), F.col(text_col).alias("__text"))
+    told = texts.join(begun, F.col("__fid").eqNullSafe(F.col("__i")) & (F.col("__fmark") == F.col("__m"))).select("__fid", "__fmark", "__begun", _filled(canonical_lines(F.col("__text"))).alias("__ls"))
     # Lines aren't empty, so that n lines hold n words or more.
     run = lambda at, n: F.sha2(_first(F.array_join(F.slice("__ls", at + 1, n), " "), n), 256)
     digests = F.array_distinct(F.flatten(F.transform("__begun", lambda b: F.transform(b["__ns"], lambda n: run(b["__at"], n)))))
     found = told.select("__fid", "__fmark", F.explode(digests).alias("__d")).join(whole, F.col("__d") == F.col("__k"))
     found = found.groupBy("__fid", "__fmark").agg(F.array_join(F.array_sort(F.collect_set("__licence")), ",").alias("__notices"))
-    out = rows.join(found, F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("__mark") == F.col("__fmark")), "left")
-    return unpacked(out, docs.columns, digest=F.col("__digest"), licence=F.col("__licence"), notices=F.col("__notices"))
+    out = rows.select("__row", "__id", "__mark", "__digest").join(whole, F.col("__digest") == F.col("__k"), "left")
+    out = out.join(found, F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("__mark") == F.col("__fmark")), "left")
+    return unpacked(out, columns, digest=F.col("__digest"), licence=F.col("__licence"), notices=F.col("__notices"))
 
 
 def _sql_lines(x: str) -> str:

@@ -44,7 +44,7 @@ def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "digest", "licence", "notices")
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "digest", "licence", "notices")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
