@@ -300,12 +300,13 @@ def _by_rare_shingles(rest: DataFrame, labels: DataFrame | None, tested: DataFra
     if not nodes.limit(1).count():
         return None
     held = checkpointed(map_arrow(texts.join(nodes, "node").select("node", "label", "text"), lambda b: _elements(b, size, weighted), "node bigint, label bigint, n bigint, element bigint"))
-    shared = checkpointed(held.groupBy("element").agg(F.count("*").alias("df"), F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("df") > 1))
+    # Shingles that no two components share come first in the order, whatever their number: they are only counted, and never joined.
+    shared = held.groupBy("element").agg(F.count("*").alias("df"), F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("l0") != F.col("l1"))
+    shared = checkpointed(shared.select("element", "df"))
     whole = Window.partitionBy("node")
-    # Shingles of one text alone come first and are only counted.
     place = F.col("n") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("df", "element"))
     up = lambda share, n: F.ceil(F.lit(share) * n - 1e-9)
-    ranked = checkpointed(held.join(shared, "element")).withColumn("place", place).where(F.col("l0") != F.col("l1"))
+    ranked = checkpointed(held.join(shared, "element")).withColumn("place", place)
     ranked = ranked.where(F.col("place") <= F.col("n") - up(least, F.col("n")) + 1).withColumn("parts", F.ceil(F.col("df") / PART).cast("int"))
     ranked = checkpointed(ranked.select("element", "node", "label", "n", "place", "parts"))
     small = ranked.where(F.col("place") <= F.col("n") - up(2 * least / (1 + least), F.col("n")) + 1).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
