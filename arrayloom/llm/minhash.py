@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrayloom.llm.common import checkpointed, map_arrow, packed, sized, unpacked
@@ -34,6 +34,8 @@ COORDINATES, ROWS = 252, 7
 LEADERS = (1, 1, 3)
 #: Texts of one shingle that the join by rare shingles holds against all others in one part, and pairs of a leader that are tested in one part.
 PART, PAIRS = 1000, 100
+#: First bits of a shingle's number that tell its cell, whose frequency places it in the join by rare shingles.
+CELL_BITS = 20
 SIMILARITY, SHINGLE = 0.8, 5
 EMPTY = np.iinfo(np.uint64).max
 
@@ -269,18 +271,50 @@ def _either_way(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _elements(batches: Iterator[pa.RecordBatch], size: int, weighted: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each text (of a bag: for each copy of it), with their number."""
+def _elements(texts: list[str], size: int, weighted: bool) -> list[np.ndarray]:
+    """Of each text a number for each of its shingles (of a bag: for each copy of it)."""
+    held = shingles(texts, size)
+    if not weighted:
+        return [x for x, _ in held]
+    nth = lambda n: (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(U)
+    return [mix(np.repeat(x, n) + nth(n) * U(0x9E3779B97F4A7C15)) for x, n in held]
+
+
+def _all_elements(batches: Iterator[pa.RecordBatch], size: int, weighted: bool) -> Iterator[pa.RecordBatch]:
+    """label and element, a row for each element of each text."""
     for b in batches:
         texts = b.column("text").to_pylist()
         for lo, hi in portions(texts):
-            held = shingles(texts[lo:hi], size)
-            if weighted:
-                nth = lambda n: (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(U)
-                held = [(mix(np.repeat(x, n) + nth(n) * U(0x9E3779B97F4A7C15)), n) for x, n in held]
-            sizes = [len(x) for x, _ in held]
-            spread = lambda c: pa.array(np.repeat(c.slice(lo, hi - lo).to_numpy(), sizes))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([spread(b.column("node")), spread(b.column("label")), pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(np.concatenate([x for x, _ in held]).view(np.int64))], names=["node", "label", "n", "element"])
+            held = _elements(texts[lo:hi], size, weighted)
+            label = np.repeat(b.column("label").slice(lo, hi - lo).to_numpy(), [len(x) for x in held])
+            yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(np.concatenate(held).view(np.int64))], names=["label", "element"])
+
+
+def _levels(shared: DataFrame) -> np.ndarray:
+    """For each cell (the first bits of an element) how frequent its elements in shared are together; 0: it holds none. Of one size whatever the table's."""
+    often = F.least(F.ceil(8 * F.log2(F.sum("df") + 1.0)), F.lit(255)).cast("smallint")
+    got = shared.groupBy(F.shiftrightunsigned("element", 64 - CELL_BITS).cast("int").alias("cell")).agg(often.alias("level")).toArrow()
+    levels = np.zeros(1 << CELL_BITS, np.uint8)
+    levels[got["cell"].to_numpy()] = got["level"].to_numpy()
+    return levels
+
+
+def _first_elements(batches: Iterator[pa.RecordBatch], levels: np.ndarray, size: int, least: float, weighted: bool) -> Iterator[pa.RecordBatch]:
+    """Of each text of n elements, ordered by their cells' levels, the first n - least * n + 1 with their places from 1; those of level 0 have a place but no row."""
+    shift = U(65 - len(levels).bit_length())
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        for lo, hi in portions(texts):
+            rows = []
+            for x in _elements(texts[lo:hi], size, weighted):
+                level = levels[(x >> shift).astype(np.int64)]
+                first = np.lexsort((x, level))[: len(x) - math.ceil(least * len(x) - 1e-9) + 1]
+                place = np.flatnonzero(level[first])
+                rows.append((len(x), place + 1, x[first[place]]))
+            sizes = [len(place) for _, place, _ in rows]
+            spread = lambda c: np.repeat(c.slice(lo, hi - lo).to_numpy(), sizes)  # noqa: E731, B023
+            columns = [spread(b.column("node")), spread(b.column("label")), np.repeat(np.array([n for n, _, _ in rows], np.int64), sizes), np.concatenate([p for _, p, _ in rows]).astype(np.int64), np.concatenate([x for _, _, x in rows]).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "label", "n", "place", "element"])
 
 
 def _by_rare_shingles(rest: DataFrame, labels: DataFrame | None, tested: DataFrame | None, texts: DataFrame, least: float, size: int, weighted: bool) -> DataFrame | None:
@@ -299,15 +333,19 @@ def _by_rare_shingles(rest: DataFrame, labels: DataFrame | None, tested: DataFra
     nodes = checkpointed(rest.join(several, "bucket").select("node", "label").distinct())
     if not nodes.limit(1).count():
         return None
-    held = checkpointed(map_arrow(texts.join(nodes, "node").select("node", "label", "text"), lambda b: _elements(b, size, weighted), "node bigint, label bigint, n bigint, element bigint"))
-    # Shingles that no two components share come first in the order, whatever their number: they are only counted, and never joined.
+    asked = texts.join(nodes, "node").select("node", "label", "text")
+    held = map_arrow(asked, lambda b: _all_elements(b, size, weighted), "label bigint, element bigint")
+    # Shingles that no two components share are only counted, and never joined. Any order that all texts have in common misses no pair:
+    # the order by cells is known without a join, so that only the first shingles of a text become rows of one.
     shared = held.groupBy("element").agg(F.count("*").alias("df"), F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("l0") != F.col("l1"))
     shared = checkpointed(shared.select("element", "df"))
-    whole = Window.partitionBy("node")
-    place = F.col("n") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("df", "element"))
+    levels = _levels(shared)
+    if not levels.any():
+        return None
+    sent = texts.sparkSession.sparkContext.broadcast(levels)
+    firsts = checkpointed(map_arrow(asked, lambda b: _first_elements(b, sent.value, size, least, weighted), "node bigint, label bigint, n bigint, place bigint, element bigint"))
     up = lambda share, n: F.ceil(F.lit(share) * n - 1e-9)
-    ranked = checkpointed(held.join(shared, "element")).withColumn("place", place)
-    ranked = ranked.where(F.col("place") <= F.col("n") - up(least, F.col("n")) + 1).withColumn("parts", F.ceil(F.col("df") / PART).cast("int"))
+    ranked = firsts.join(shared, "element").withColumn("parts", F.ceil(F.col("df") / PART).cast("int"))
     ranked = checkpointed(ranked.select("element", "node", "label", "n", "place", "parts"))
     small = ranked.where(F.col("place") <= F.col("n") - up(2 * least / (1 + least), F.col("n")) + 1).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     large = ranked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

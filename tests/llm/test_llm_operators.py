@@ -144,6 +144,30 @@ def test_near_duplicates_in_a_bucket_of_texts_just_under_the_bound(spark):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_join_by_rare_shingles_gets_the_first_of_each_text_alone(spark, monkeypatch):
+    texts = []
+    for i in range(60):
+        own = i - 1 if i % 20 == 1 else i
+        texts.append(" ".join([*(f"t{j}" for j in range(222)), *(f"own{own}x{j}" for j in range(33))]) + (" last" if i != own else ""))
+    sets = shingles(texts)
+    want = {(i, j) for j in range(60) for i in range(j) if minhash.similarity(sets[i], sets[j], True) >= 0.8}
+    rows, original = [], minhash.checkpointed
+
+    def counted(table):
+        out = original(table)
+        if {"element", "node"} <= set(out.columns):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "checkpointed", counted)
+    held = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    for bits in (20, 1):  # one bit: all shingles lie in two cells, and the order says next to nothing
+        monkeypatch.setattr(minhash, "CELL_BITS", bits, raising=False)
+        found = minhash._by_rare_shingles(held.select(F.lit(1).alias("bucket"), "node"), None, None, held, 0.8, 5, True)
+        assert {(r.a, r.b) for r in found.collect()} == want and len(want) == 3
+    assert rows and max(rows) < 0.22 * sum(int(n.sum()) for _, n in sets)
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = {(r.doc_id, r.class_id, r.class_size) for r in minhash.classes(odd).collect()}
     assert (7, 7, 2) in rows and (5, 5, 1) in rows and (None, 3, 2) in rows  # "x" and the line: 4 of 5 shingles
