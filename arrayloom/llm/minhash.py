@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import checkpointed, map_arrow, packed, sized, unpacked
+from arrayloom.llm.common import below, checkpointed, map_arrow, packed, sized, unpacked
 from arrayloom.llm.wordhash import U, mix, portions, shingles
 
 COORDINATES, ROWS = 252, 7
@@ -36,6 +36,8 @@ LEADERS = (1, 1, 3)
 PART, PAIRS = 1000, 100
 #: First bits of a shingle's number that tell its cell, whose frequency places it in the join by rare shingles.
 CELL_BITS = 20
+#: Cells' frequencies are told from one text in SHARE, or from SAMPLE texts if that is more. They only order shingles: all texts are joined, whatever the order.
+SAMPLE, SHARE = 500, 8
 SIMILARITY, SHINGLE = 0.8, 5
 EMPTY = np.iinfo(np.uint64).max
 
@@ -291,7 +293,7 @@ def _all_elements(batches: Iterator[pa.RecordBatch], size: int, weighted: bool)
 
 
 def _levels(shared: DataFrame) -> np.ndarray:
-    """For each cell (the first bits of an element) how frequent its elements in shared are together; 0: it holds none. Of one size whatever the table's."""
+    """For each cell (the first bits of an element) how frequent its elements in shared (element, df) are together; 0: it holds none. Of one size whatever the table's."""
     often = F.least(F.ceil(8 * F.log2(F.sum("df") + 1.0)), F.lit(255)).cast("smallint")
     got = shared.groupBy(F.shiftrightunsigned("element", 64 - CELL_BITS).cast("int").alias("cell")).agg(often.alias("level")).toArrow()
     levels = np.zeros(1 << CELL_BITS, np.uint8)
@@ -299,8 +301,14 @@ def _levels(shared: DataFrame) -> np.ndarray:
     return levels
 
 
+def _shared(held: DataFrame) -> DataFrame:
+    """(element, df) of the elements that several labels of held (label, element) have; df: rows."""
+    seen = held.groupBy("element").agg(F.count("*").alias("df"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    return seen.where(F.col("l0") != F.col("l1")).select("element", "df")
+
+
 def _first_elements(batches: Iterator[pa.RecordBatch], levels: np.ndarray, size: int, least: float, weighted: bool) -> Iterator[pa.RecordBatch]:
-    """Of each text of n elements, ordered by their cells' levels, the first n - least * n + 1 with their places from 1; those of level 0 have a place but no row."""
+    """Of each text of n elements, ordered by their cells' levels, the first n - least * n + 1 with their places from 1."""
     shift = U(65 - len(levels).bit_length())
     for b in batches:
         texts = b.column("text").to_pylist()
@@ -309,8 +317,7 @@ def _first_elements(batches: Iterator[pa.RecordBatch], levels: np.ndarray, size:
             for x in _elements(texts[lo:hi], size, weighted):
                 level = levels[(x >> shift).astype(np.int64)]
                 first = np.lexsort((x, level))[: len(x) - math.ceil(least * len(x) - 1e-9) + 1]
-                place = np.flatnonzero(level[first])
-                rows.append((len(x), place + 1, x[first[place]]))
+                rows.append((len(x), np.arange(1, len(first) + 1), x[first]))
             sizes = [len(place) for _, place, _ in rows]
             spread = lambda c: np.repeat(c.slice(lo, hi - lo).to_numpy(), sizes)  # noqa: E731, B023
             columns = [spread(b.column("node")), spread(b.column("label")), np.repeat(np.array([n for n, _, _ in rows], np.int64), sizes), np.concatenate([p for _, p, _ in rows]).astype(np.int64), np.concatenate([x for _, _, x in rows]).view(np.int64)]
@@ -331,19 +338,18 @@ def _by_rare_shingles(rest: DataFrame, labels: DataFrame | None, tested: DataFra
     rest = checkpointed(rest.select("bucket", "node", label.alias("label")))
     several = checkpointed(rest.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("l0") != F.col("l1")).select("bucket"))
     nodes = checkpointed(rest.join(several, "bucket").select("node", "label").distinct())
-    if not nodes.limit(1).count():
+    total = nodes.count()
+    if not total:
         return None
     asked = texts.join(nodes, "node").select("node", "label", "text")
-    held = map_arrow(asked, lambda b: _all_elements(b, size, weighted), "label bigint, element bigint")
-    # Shingles that no two components share are only counted, and never joined. Any order that all texts have in common misses no pair:
-    # the order by cells is known without a join, so that only the first shingles of a text become rows of one.
-    shared = held.groupBy("element").agg(F.count("*").alias("df"), F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("l0") != F.col("l1"))
-    shared = checkpointed(shared.select("element", "df"))
-    levels = _levels(shared)
-    if not levels.any():
-        return None
+    # Any order that all texts have in common misses no pair, so that a sample may tell which shingles are frequent. The order is known
+    # without a join, and of all other texts only the first shingles become rows.
+    some = asked.where(below(F.xxhash64("node"), max(SAMPLE, total // SHARE), total))
+    levels = _levels(_shared(map_arrow(some, lambda b: _all_elements(b, size, weighted), "label bigint, element bigint")))
     sent = texts.sparkSession.sparkContext.broadcast(levels)
     firsts = checkpointed(map_arrow(asked, lambda b: _first_elements(b, sent.value, size, least, weighted), "node bigint, label bigint, n bigint, place bigint, element bigint"))
+    # First shingles that no two components share are only counted, and never joined.
+    shared = checkpointed(_shared(firsts))
     up = lambda share, n: F.ceil(F.lit(share) * n - 1e-9)
     ranked = firsts.join(shared, "element").withColumn("parts", F.ceil(F.col("df") / PART).cast("int"))
     ranked = checkpointed(ranked.select("element", "node", "label", "n", "place", "parts"))

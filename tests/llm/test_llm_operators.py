@@ -168,6 +168,32 @@ def test_join_by_rare_shingles_gets_the_first_of_each_text_alone(spark, monkeypa
     assert rows and max(rows) < 0.22 * sum(int(n.sum()) for _, n in sets)
 
 
+def test_join_by_rare_shingles_makes_rows_of_few_shingles_and_misses_no_pair(spark, monkeypatch):
+    texts = []
+    for i in range(200):
+        own = i - 1 if i % 20 == 1 else i
+        texts.append(" ".join([*(f"t{j}" for j in range(222)), *(f"own{own}x{j}" for j in range(33))]) + (" last" if i != own else ""))
+    sets = shingles(texts)
+    want = {(i, j) for j in range(200) for i in range(j) if minhash.similarity(sets[i], sets[j], True) >= 0.8}
+    made, original = [], minhash.map_arrow
+
+    def counted(table, function, schema):
+        out = original(table, function, schema)
+        if "element" in schema:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "map_arrow", counted)
+    monkeypatch.setattr(minhash, "SAMPLE", 0, raising=False)
+    held = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    for share in (8, 1000):  # of 200 texts a sample of 1 in 1000 is none, and the order says nothing
+        monkeypatch.setattr(minhash, "SHARE", share, raising=False)
+        made.clear()
+        found = minhash._by_rare_shingles(held.select(F.lit(1).alias("bucket"), "node"), None, None, held, 0.8, 5, True)
+        assert {(r.a, r.b) for r in found.collect()} == want and len(want) == 10
+        assert sum(made) < 0.5 * sum(int(n.sum()) for _, n in sets)
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = {(r.doc_id, r.class_id, r.class_size) for r in minhash.classes(odd).collect()}
     assert (7, 7, 2) in rows and (5, 5, 1) in rows and (None, 3, 2) in rows  # "x" and the line: 4 of 5 shingles
